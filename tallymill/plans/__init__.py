@@ -1 +1,8 @@
-"""Part of tallymill; see the README for what each module holds."""
+"""The queries over the tables of the pipeline, by subject; each module registers its own."""
+
+from tallymill.registry import CORE, Registry
+
+
+def load() -> Registry:
+    """Import every module that registers a query, and return the registry."""
+    return CORE
