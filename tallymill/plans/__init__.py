@@ -5,6 +5,6 @@ from tallymill.registry import CORE, Registry
 
 def load() -> Registry:
     """Import every module that registers a query, and return the registry."""
-    from tallymill.plans import metrics  # noqa: F401
+    from tallymill.plans import agreement, ensembles, ingest, metrics  # noqa: F401
 
     return CORE
