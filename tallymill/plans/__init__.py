@@ -5,6 +5,7 @@ from tallymill.registry import CORE, Registry
 
 def load() -> Registry:
     """Import every module that registers a query, and return the registry."""
-    from tallymill.plans import agreement, ensembles, ingest, metrics  # noqa: F401
+    from tallymill.plans import agreement, ensembles, features, ingest, metrics, models  # noqa: F401
+    from tallymill.streaming import events  # noqa: F401
 
     return CORE
