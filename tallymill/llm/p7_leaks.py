@@ -1,9 +1,10 @@
 """Problem 7: evaluation texts leaking into training text.
 
-The training text is indexed by document: a shard of documents is a flat array of term numbers and,
-for every term, the sorted positions at which it stands (its postings). Shards are made and searched
-where their documents are, so the index is distributed by document and nothing is shuffled; only the
-test passages, a small table, go to every task, and their number of words is checked first.
+The training text becomes a positional inverted index that is distributed by document and stored in
+the shared folder: a row is a shard of documents with its terms and, for every term, the sorted
+positions at which it stands (its postings). Making it needs no shuffle, and searching it reads whole
+shards where they lie; of a shard, only the postings of the passages' terms are looked at. Only the
+test passages, a small table, go to every task, and their size is checked first.
 
 Exact matches: a run of 16 words holds a whole block of eight that starts at a multiple of eight. Each
 such block of each passage is looked up from the postings of its term that is rarest in the shard,
@@ -21,17 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm import LLM
 from tallymill.llm.textnorm import plain_words
+from tallymill.session import cut
 from tallymill.sources.tables import table
 
 RUN, BLOCK = 16, 8
 SHARE = 0.6
 GAP = 2
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 MAX_PASSAGE_WORDS = 20_000_000  # words of all passages that are sent to every task
 
 
@@ -48,24 +51,41 @@ class Passages:
                 self.words.append(np.array([self.terms.setdefault(w, len(self.terms)) for w in words], np.int32))
 
 
+INDEX = "doc_ids array<{kind}>, starts binary, terms array<string>, bounds binary, positions binary"
+
+
+def index_row(docs: list[list[str]]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """starts, terms, bounds, positions of a shard. A position between two documents stays free."""
+    number: dict[str, int] = {}
+    flat: list[int] = []
+    starts = [0]
+    for words in docs:
+        flat.extend(number.setdefault(w, len(number)) for w in words)
+        flat.append(-1)
+        starts.append(len(flat))
+    t = np.array(flat, np.int32)
+    order = np.argsort(t, kind="stable").astype(np.int32)
+    bounds = np.searchsorted(t[order], np.arange(len(number) + 1)).astype(np.int32)
+    return np.array(starts, np.int32), list(number), bounds, order
+
+
 class Shard:
-    """Postings of the passages' terms in some documents; -1 is any other word, -2 ends a document."""
-
-    def __init__(self, docs: list[list[str]], terms: dict[str, int]) -> None:
-        get = terms.get
-        flat: list[int] = []
-        starts = [0]
-        for words in docs:
-            flat.extend(get(w, -1) for w in words)
-            flat.append(-2)
-            starts.append(len(flat))
-        pad = [-2] * (BLOCK + 1)
-        self.flat = np.array(flat + pad, np.int32)
-        self.starts = np.array(starts)
-        order = np.argsort(self.flat, kind="stable").astype(np.int32)
-        bounds = np.searchsorted(self.flat[order], np.arange(len(terms) + 1))
-        self.order, self.bounds = order, bounds
-        self.counts = np.diff(bounds)
+    """A shard's postings of the passages' terms; -1 is any other word, -2 ends a document."""
+
+    def __init__(self, starts: np.ndarray, terms: pa.Array, bounds: np.ndarray, positions: np.ndarray, known: pa.Array) -> None:
+        of = pc.index_in(terms, value_set=known)  # the passages' number of each of the shard's terms
+        mine = np.flatnonzero(of.is_valid().to_numpy(zero_copy_only=False))
+        number = of.take(pa.array(mine)).to_numpy(zero_copy_only=False).astype(np.int64)
+        mine, number = mine[np.argsort(number)], np.sort(number)
+        size = np.zeros(len(known), np.int64)
+        size[number] = bounds[mine + 1] - bounds[mine]
+        self.starts, self.counts = starts, size
+        self.bounds = np.concatenate([[0], np.cumsum(size)])
+        self.order = np.concatenate([positions[bounds[k] : bounds[k + 1]] for k in mine]) if len(mine) else np.zeros(0, np.int32)
+        self.flat = np.full(int(starts[-1]) + BLOCK + 1, -1, np.int32)
+        self.flat[self.order] = np.repeat(np.arange(len(known)), size)
+        self.flat[starts[1:] - 1] = -2
+        self.flat[int(starts[-1]) :] = -2
 
     def postings(self, term: int) -> np.ndarray:
         return self.order[self.bounds[term] : self.bounds[term + 1]]
@@ -157,9 +177,8 @@ def _near(shard: Shard, p: np.ndarray, known: set[int], share: float) -> set[int
     return found
 
 
-def search(docs: list[list[str]], passages: Passages, least: int = RUN, share: float = SHARE) -> list[tuple[int, int]]:
+def search(shard: Shard, passages: Passages, least: int = RUN, share: float = SHARE) -> list[tuple[int, int]]:
     """(number of the document, number of the passage) of all matches in one shard."""
-    shard = Shard(docs, passages.terms)
     out = []
     for k, p in enumerate(passages.words):
         exact = _exact(shard, p, least)
@@ -168,33 +187,25 @@ def search(docs: list[list[str]], passages: Passages, least: int = RUN, share: f
     return out
 
 
-def leaks(documents: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", test_id: str = "eval_id", passage: str = "passage") -> DataFrame:
-    """(doc_id, eval_id) of every document that holds a passage or enough of it; distinct.
+def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index of (doc_id, text), a row per shard. Null and empty texts and null ids are left out.
 
-    Null and empty texts and passages match nothing; null ids are left out; equal passages are found
-    under each of their ids. Texts are read whole; a text longer than a shard is a shard of its own.
+    A shard has at most SHARD_WORDS words; a longer text is a shard of its own and is indexed whole.
     """
-    rows = tests.select(test_id, passage).filter(F.col(test_id).isNotNull() & F.col(passage).isNotNull())
-    size = rows.agg(F.coalesce(F.sum(F.length(passage)), F.lit(0))).first()[0]
-    if size > 6 * MAX_PASSAGE_WORDS:
-        raise ValueError(f"{size} characters of passages are more than a task should hold; search them in parts")
-    passages = Passages([(r[0], plain_words(r[1])) for r in rows.distinct().collect()])
-    kinds = [documents.schema[doc_id].dataType.simpleString(), tests.schema[test_id].dataType.simpleString()]
+    kind = documents.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         docs: list[list[str]] = []
-        size = 0
-        schema = None
+        size, of = 0, None
 
         def flush() -> pa.RecordBatch:
-            hits = search(docs, passages)
-            a = pa.array([ids[d] for d, _ in hits], schema.field(0).type)
-            b = pa.array([passages.ids[k] for _, k in hits], pa.int64() if kinds[1] == "bigint" else None)
-            return pa.RecordBatch.from_arrays([a, b], names=[doc_id, test_id])
+            starts, terms, bounds, positions = index_row(docs)
+            cols = [pa.array([ids], pa.list_(of)), pa.array([starts.tobytes()]), pa.array([terms], pa.list_(pa.string())), pa.array([bounds.tobytes()]), pa.array([positions.tobytes()])]
+            return pa.RecordBatch.from_arrays(cols, names=["doc_ids", "starts", "terms", "bounds", "positions"])
 
         for batch in batches:
-            schema = batch.schema
+            of = batch.schema.field(0).type
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = plain_words(t) if t else []
                 if i is None or not words:
@@ -208,7 +219,41 @@ def leaks(documents: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text:
         if docs:
             yield flush()
 
-    return documents.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kinds[0]}, `{test_id}` {kinds[1]}").distinct()
+    return documents.select(doc_id, text).mapInArrow(run, INDEX.format(kind=kind))
+
+
+def search_index(index: DataFrame, tests: DataFrame, test_id: str = "eval_id", passage: str = "passage", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, eval_id) of every document of the index that holds a passage or enough of it; distinct.
+
+    Null and empty passages match nothing; null ids are left out; equal passages are found under each
+    of their ids.
+    """
+    rows = tests.select(test_id, passage).filter(F.col(test_id).isNotNull() & F.col(passage).isNotNull())
+    size = rows.agg(F.coalesce(F.sum(F.length(passage)), F.lit(0))).first()[0]
+    if size > 6 * MAX_PASSAGE_WORDS:
+        raise ValueError(f"{size} characters of passages are more than a task should hold; search them in parts")
+    passages = Passages([(r[0], plain_words(r[1])) for r in rows.distinct().collect()])
+    known = pa.array(list(passages.terms), pa.string())
+    doc_kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    test_kind = tests.schema[test_id].dataType
+    to_test = pa.string() if test_kind.simpleString() == "string" else pa.int64() if test_kind.simpleString() == "bigint" else pa.int32()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                starts, bounds, positions = (np.frombuffer(batch.column(c)[k].as_py(), np.int32) for c in (1, 3, 4))
+                hits = search(Shard(starts, batch.column(2)[k].values, bounds, positions, known), passages) if len(known) else []
+                ids = batch.column(0)[k].values
+                a = ids.take(pa.array([d for d, _ in hits], pa.int64()))
+                yield pa.RecordBatch.from_arrays([a, pa.array([passages.ids[p] for _, p in hits], to_test)], names=[doc_id, test_id])
+
+    out = index.mapInArrow(run, f"`{doc_id}` {doc_kind}, `{test_id}` {test_kind.simpleString()}")
+    return out.distinct()
+
+
+def leaks(documents: DataFrame, tests: DataFrame) -> DataFrame:
+    """Index the documents, store the index, search it."""
+    return search_index(cut(build_index(documents), "postings"), tests)
 
 
 @LLM.query("p7_found")
