@@ -80,8 +80,9 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def _literal(words: str) -> Column:
-    return F.array(*[F.lit(w) for w in dict.fromkeys(words.split())])
+def _among(w: Column, words: str) -> Column:
+    """A hash lookup: an IN over literals becomes a set."""
+    return w.isin(*dict.fromkeys(words.split()))
 
 
 def normal(c: Column) -> Column:
@@ -107,8 +108,7 @@ def _unquoted(c: Column) -> Column:
 
 
 def _hits(words: Column, of: str) -> Column:
-    known = _literal(of)
-    return F.size(F.filter(words, lambda w: F.array_contains(known, w)))
+    return F.size(F.filter(words, lambda w: _among(w, of)))
 
 
 def _any(cols: list[Column]) -> Column:
@@ -210,12 +210,12 @@ def truncated(rows: DataFrame) -> DataFrame:
     quoted = (F.length(F.regexp_replace(end, r'[^"]', "")) % 2 == 1) & ~stop
     comma = end.rlike(r"[\p{L}\p{N}]\s*[,;:(\[{–—-]$")
     last = F.lower(F.regexp_extract(end, r"([\p{L}\p{M}]+)[^\p{L}\p{M}\p{N}]*$", 1))
-    many = F.size("aw") >= 3
-    open_word = F.array_contains(_literal(" ".join(OPEN_WORDS.values())), last) & many & ~end.rlike(r"[.!?][\"')\]]*$")
+    many = F.col("n_words") >= 3
+    open_word = _among(last, " ".join(OPEN_WORDS.values())) & many & ~end.rlike(r"[.!?][\"')\]]*$")
     rows = rows.withColumn("last", last).withColumn("stop", stop)
     rows = rows.withColumn("sure", marker | opened | quoted | (comma & many) | open_word)
     sure = rows.filter("sure").select("gen_id")
-    maybe = rows.filter(~F.col("sure") & ~F.col("stop") & (F.size("aw") >= LEAST_WORDS) & (F.col("last") != "")).select("gen_id", "last", "a")
+    maybe = rows.filter(~F.col("sure") & ~F.col("stop") & (F.col("n_words") >= LEAST_WORDS) & (F.col("last") != "")).select("gen_id", "last", "a")
     counts, stems = endings(rows)
     seen = maybe.join(counts, maybe["last"] == counts["word"], "left")
     broken = seen.filter("word is null").select("gen_id", "last").join(stems, F.col("last") == F.col("stem"), "left_semi").select("gen_id")
@@ -231,22 +231,14 @@ def defects(answers: DataFrame) -> DataFrame:
     the defects of all. finish_reason is not needed: "length" with a complete text is no defect, and
     what breaks off does so whatever it says. Very long answers are read whole.
     """
-    rows = cut(_language_columns(pairs(answers)).drop("pw"), "pairs")
-    flags = rows.select(
-        "gen_id",
-        F.explode(
-            F.filter(
-                F.array(
-                    F.when(is_empty(), F.lit("empty")),
-                    F.when(~is_empty() & is_refusal(), F.lit("refusal")),
-                    F.when(~is_empty() & is_copy(), F.lit("copy")),
-                    F.when(~is_empty() & is_language(), F.lit("language")),
-                ),
-                lambda d: d.isNotNull(),
-            )
-        ).alias("defect"),
-    )
-    cut_off = truncated(rows.filter(~is_empty())).select("gen_id", F.lit("truncated").alias("defect"))
+    rows = _language_columns(pairs(answers)).withColumn("empty", is_empty())
+    rows = rows.select(
+        "gen_id", "q", "a", "end", F.size("aw").alias("n_words"), "empty",
+        (~F.col("empty") & is_refusal()).alias("refusal"), (~F.col("empty") & is_copy()).alias("copy"), (~F.col("empty") & is_language()).alias("language"),
+    )
+    rows = cut(rows, "pairs")
+    flags = rows.select("gen_id", F.explode(F.array_compact(F.array(*[F.when(F.col(x), F.lit(x)) for x in ORDER[:-1]]))).alias("defect"))
+    cut_off = truncated(rows.filter(~F.col("empty"))).select("gen_id", F.lit("truncated").alias("defect"))
     return flags.unionByName(cut_off).distinct()
 
 
