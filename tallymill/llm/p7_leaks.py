@@ -146,6 +146,12 @@ def aligned(text: np.ndarray, p: np.ndarray, gap: int = GAP) -> int:
     return most
 
 
+def has(terms: np.ndarray, p: np.ndarray) -> int:
+    """How many of the passage's places have their word among the (sorted) terms."""
+    at = np.minimum(np.searchsorted(terms, p), len(terms) - 1)
+    return int((terms[at] == p).sum())
+
+
 def _near(shard: Shard, p: np.ndarray, known: set[int], share: float) -> set[int]:
     """Documents with ``share`` of the passage's words in order in one stretch."""
     n = len(p)
@@ -161,6 +167,16 @@ def _near(shard: Shard, p: np.ndarray, known: set[int], share: float) -> set[int
     of = np.repeat(rare, size).astype(np.int64)
     width = n
     band = (at - of + width) // width
+    # Raw votes first (a count); only bands that have enough are looked at for different positions.
+    raw = np.bincount(band, minlength=int(band.max()) + 2)
+    raw[1:] += raw[:-1].copy()
+    enough = np.flatnonzero(raw >= need)
+    if not len(enough):
+        return set()
+    near = np.zeros(len(raw) + 1, bool)
+    near[enough] = True
+    kept = near[band] | near[band + 1]
+    band, of = band[kept], of[kept]
     key = np.concatenate([band, band + 1]) * (n + 1) + np.concatenate([of, of])
     bands, votes = np.unique(np.unique(key) // (n + 1), return_counts=True)
     found: set[int] = set()
@@ -172,7 +188,11 @@ def _near(shard: Shard, p: np.ndarray, known: set[int], share: float) -> set[int
             if d in found or d in known:
                 continue
             text = shard.flat[max(lo, shard.starts[d]) : min(hi, shard.starts[d + 1] - 1)]
-            if len(text) >= least and np.isin(text, p).sum() >= least and aligned(text, p) >= least:
+            if len(text) < least:
+                continue
+            here = np.unique(text)
+            # Enough of the passage's places, and of its rare ones, must have their word in this text.
+            if has(here, p) >= least and has(here, p[rare]) >= need and aligned(text, p) >= least:
                 found.add(d)
     return found
 
