@@ -231,17 +231,17 @@ def aurc(spark: SparkSession, d: str) -> DataFrame:
     "confidence_deciles",
     sql=S.with_(
         V.SQL_PREDICTIONS,
-        "p as (select method, y, pred, abs(score - threshold) as x from pred where score is not null and pred is not null)",
+        "p as (select method, y, pred, round(abs(score - threshold), 9) as x from pred where score is not null and pred is not null)",
         "e as (select method, quantile_cont(x, [0e0, 0.1e0, 0.2e0, 0.3e0, 0.4e0, 0.5e0, 0.6e0, 0.7e0, 0.8e0, 0.9e0, 1e0]) as e from p group by all)",
-        "b as (select p.*, least(9, len(list_filter(e.e, lambda t: t <= x)) - 1) as decile from p join e using (method))",
+        "b as (select p.*, least(9, len(list_filter(e.e, lambda t: round(t, 9) <= x)) - 1) as decile from p join e using (method))",
     )
     + "select method, cast(decile as bigint) as decile, count(*) as n, round(avg(cast(y = pred as int)), 9) as accuracy, round(min(x), 9) as low, round(max(x), 9) as high from b group by all",
 )
 def confidence_deciles(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy by decile of the distance from the threshold; equal edges are allowed."""
-    p = V.predictions(spark, d).filter("score is not null and pred is not null").select("method", "y", "pred", F.abs(F.col("score") - F.col("threshold")).alias("x"))
+    p = V.predictions(spark, d).filter("score is not null and pred is not null").select("method", "y", "pred", F.round(F.abs(F.col("score") - F.col("threshold")), 9).alias("x"))
     e = p.groupBy("method").agg(F.percentile("x", F.array(*[F.lit(k / 10) for k in range(11)])).alias("e"))
-    b = p.join(e, "method").withColumn("decile", F.least(F.lit(9), F.size(F.filter("e", lambda t: t <= F.col("x"))) - 1).cast("long"))
+    b = p.join(e, "method").withColumn("decile", F.least(F.lit(9), F.size(F.filter("e", lambda t: F.round(t, 9) <= F.col("x"))) - 1).cast("long"))
     return b.groupBy("method", "decile").agg(F.count(F.lit(1)).alias("n"), out(F.avg((F.col("y") == F.col("pred")).cast("int"))).alias("accuracy"), out(F.min("x")).alias("low"), out(F.max("x")).alias("high"))
 
 
