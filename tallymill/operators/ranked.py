@@ -47,6 +47,45 @@ def average_ranks(df: DataFrame, by: list[str], value: str = "score") -> DataFra
     return ranked.select(*by, value, (F.col("below") + (F.col("n_ties") + 1) / 2.0).alias("avg_rank"), "n_ties")
 
 
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], weight: str | None = None) -> DataFrame:
+    """(by…, cuts): exact percentiles with linear interpolation, of groups of any size.
+
+    ``percentile`` keeps all distinct values of a group in one task's memory; here the two values next
+    to each place are found from running counts. ``weight`` is a column of row counts, 1 without it.
+    """
+    w = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(w.alias("_n")).filter("_n > 0")
+    d = running(counts.withColumnRenamed("_v", "v_").withColumnRenamed("_n", "n_"), by, "v_", {"below_": "n_"})
+    total = d.groupBy(*by).agg(F.sum("n_").alias("total_"))
+    d = d.join(total, by).withColumn("end_", F.col("below_") + F.col("n_"))
+    # The places that fall on a value: few rows in all, two for each share and group.
+    at = lambda p: p * (F.col("total_") - 1)
+    hit = lambda i: (F.col("below_") <= i) & (i < F.col("end_"))
+    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(shares)])
+    met = F.filter(grid, lambda g: hit(F.floor(at(g["p"]))) | hit(F.ceil(at(g["p"]))))
+    d = d.select(*by, "v_", "below_", "end_", "total_", F.explode(met).alias("met_"))
+    place = at(F.col("met_.p"))
+    d = d.groupBy(*by, F.col("met_.k").alias("k_")).agg(
+        F.max(F.when(hit(F.floor(place)), F.col("v_"))).alias("l_"), F.max(F.when(hit(F.ceil(place)), F.col("v_"))).alias("h_"), F.max(place - F.floor(place)).alias("f_")
+    )
+    cuts = F.array_sort(F.collect_list(F.struct("k_", (F.col("l_") + (F.col("h_") - F.col("l_")) * F.col("f_")).alias("c"))))
+    return d.groupBy(*by).agg(F.transform(cuts, lambda c: c["c"]).alias("cuts"))
+
+
+def places(df: DataFrame, by: list[str], value: str, tie: str, largest: bool = False) -> DataFrame:
+    """Adds ``r``, the row's place in its group by value and then ``tie``, and ``n``, the group's rows.
+
+    A window runs over the rows of one value only; the rows before it are a running count.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+    n = counts.groupBy(*by).agg(F.sum("ties").alias("n"))
+    c = running(counts, by, value, {"below": "ties"}).join(n, by)
+    before = F.col("n") - F.col("below") - F.col("ties") if largest else F.col("below")
+    c = c.select(*by, value, before.alias("before"), "n")
+    inside = F.row_number().over(Window.partitionBy(*by, value).orderBy(tie))
+    return df.join(c, [*by, value]).withColumn("r", F.col("before") + inside).drop("before")
+
+
 def auroc(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """(by…, n_pos, n_neg, auroc) by ranks with ties averaged; null where there is one class."""
     d = running(distinct_scores(df, by, score, y), by, "s", {"neg_below": "neg"})

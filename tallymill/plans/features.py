@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tallymill.functions import expressions as X
 from tallymill.functions import sqltext as S
 from tallymill.functions.expressions import out
+from tallymill.operators import ranked as R
 from tallymill.registry import CORE
 from tallymill.sources import views as V
 from tallymill.sources.tables import table
@@ -112,7 +113,8 @@ def drop_degenerate(spark: SparkSession, d: str) -> DataFrame:
 def median_impute(spark: SparkSession, d: str) -> DataFrame:
     """Missing scores become the median of their data set and method."""
     p = V.predictions(spark, d)
-    m = p.groupBy("dataset", "method").agg(F.percentile("score", F.lit(0.5)).alias("m"))
+    m = R.percentiles(p, ["dataset", "method"], "score", [0.5]).select("dataset", "method", F.col("cuts")[0].alias("m"))
+    m = p.select("dataset", "method").distinct().join(m, ["dataset", "method"], "left")
     return p.join(m, ["dataset", "method"]).select("item_id", "seed", "method", F.col("score").isNull().alias("imputed"), out(F.coalesce("score", "m")).alias("score"))
 
 

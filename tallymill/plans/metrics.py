@@ -11,6 +11,7 @@ from tallymill.functions import sqltext as S
 from tallymill.functions.expressions import out
 from tallymill.operators import ranked as R
 from tallymill.registry import CORE
+from tallymill.session import cut
 from tallymill.sources import views as V
 
 q = CORE.query
@@ -124,23 +125,25 @@ _GRID = [round(0.05 + 0.01 * k, 2) for k in range(91)]
 def held_out_threshold(p: DataFrame, by: list[str], grid: list[float] = _GRID) -> DataFrame:
     """(by…, fold, threshold): for each fold, the quantile of the other folds' scores with their best MCC.
 
-    Equal MCCs go to the first grid point. Scores are counted by (fold, value) first, so the sweep
-    costs distinct scores times grid points.
+    Equal MCCs go to the first grid point. Rows are counted by (fold, score); every distinct score then
+    falls between two quantiles, and the counts beyond each quantile are running sums over those cells.
     """
     cells = p.filter("score is not null").groupBy(*by, "fold", "score").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    folds = cells.select(*by, F.col("fold").alias("held")).distinct()
-    train = folds.join(cells, by).filter("fold <> held")
-    # Quantiles of all training rows: percentile with frequencies gives those of the expanded rows.
-    grid_sql = ", ".join(f"{g}D" for g in grid)
-    cuts = train.groupBy(*by, "held").agg(F.expr(f"percentile(score, array({grid_sql}), n)").alias("t")).select(*by, "held", F.posexplode("t").alias("k", "t"))
-    sides = train.join(cuts, [*by, "held"]).groupBy(*by, "held", "k", "t").agg(
-        F.sum(F.when(F.col("score") >= F.col("t"), F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("score") >= F.col("t"), F.col("n") - F.col("pos")).otherwise(0)).alias("fp"),
-        F.sum(F.when(F.col("score") < F.col("t"), F.col("pos")).otherwise(0)).alias("fn"),
-        F.sum(F.when(F.col("score") < F.col("t"), F.col("n") - F.col("pos")).otherwise(0)).alias("tn"),
-    )
-    best = sides.withColumn("m", F.round(X.mcc(), 12)).groupBy(*by, "held").agg(F.max_by("t", F.struct("m", -F.col("k"))).alias("threshold"))
-    return best.withColumnRenamed("held", "fold")
+    held = cells.groupBy(*by).agg(F.collect_set("fold").alias("folds"))
+    train = cells.join(held, by).withColumn("held", F.explode("folds")).filter("fold <> held")
+    # Distinct scores and their quantiles are read by several branches: each is written once.
+    train = cut(train.groupBy(*by, "held", "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")), "train")
+    key = [*by, "held"]
+    cuts = cut(R.percentiles(train, key, "score", grid, weight="n"), "cuts")
+    # The number of quantiles that a score reaches; they rise with their place in the grid.
+    reach = F.size(F.filter("cuts", lambda c: c <= F.col("score")))
+    bins = train.join(cuts, key).withColumn("reach", reach).groupBy(*key, "reach").agg(F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
+    bins = cuts.select(*key, F.explode(F.sequence(F.lit(0), F.lit(len(grid)))).alias("reach")).join(bins, [*key, "reach"], "left").na.fill(0, ["pos", "neg"])
+    above = Window.partitionBy(*key).orderBy(F.desc("reach")).rowsBetween(Window.unboundedPreceding, 0)  # one row per grid point
+    every = Window.partitionBy(*key)
+    bins = bins.withColumn("tp", F.sum("pos").over(above)).withColumn("fp", F.sum("neg").over(above)).withColumn("fn", F.sum("pos").over(every) - F.col("tp")).withColumn("tn", F.sum("neg").over(every) - F.col("fp"))
+    best = bins.filter("reach > 0").groupBy(*key).agg(F.max_by("reach", F.struct(F.round(X.mcc(), 12), -F.col("reach"))).alias("k"))
+    return best.join(cuts, key).select(*by, F.col("held").alias("fold"), F.element_at("cuts", F.col("k").cast("int")).alias("threshold"))
 
 
 def sql_held_out(source: str, by: str, name: str = "ho") -> str:
@@ -175,13 +178,6 @@ def crossfit_threshold(spark: SparkSession, d: str) -> DataFrame:
 _COVERAGES = (0.5, 0.7, 0.8, 0.9, 1.0)
 
 
-def by_rank(p: DataFrame, by: list[str], largest: bool = False) -> DataFrame:
-    """Rows with ``r``, their place by score (ties by item), and ``n``, the rows of the group."""
-    order = [F.desc("score") if largest else F.asc("score"), F.asc("item_id")]
-    n = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return p.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).join(n, by)
-
-
 @q(
     "risk_coverage",
     sql=S.with_(V.SQL_PREDICTIONS, "p as (select *, row_number() over (partition by seed, method order by score, item_id) as r, count(*) over (partition by seed, method) as n from pred where score is not null)", "g as (select unnest([0.5e0, 0.7e0, 0.8e0, 0.9e0, 1.0e0]) as coverage)")
@@ -189,7 +185,7 @@ def by_rank(p: DataFrame, by: list[str], largest: bool = False) -> DataFrame:
 )
 def risk_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Share of positives among the rows kept at each coverage, lowest scores first."""
-    p = by_rank(V.predictions(spark, d).filter("score is not null"), ["seed", "method"])
+    p = R.places(V.predictions(spark, d).filter("score is not null"), ["seed", "method"], "score", "item_id")
     kept = p.withColumn("coverage", F.explode(F.array(*[F.lit(c) for c in _COVERAGES]))).filter(F.col("r") <= F.greatest(F.lit(1.0), F.bround(F.col("coverage") * F.col("n"), 0)))
     return kept.groupBy("seed", "method", "coverage").agg(F.count(F.lit(1)).alias("n_kept"), out(F.avg(F.col("y").cast("double"))).alias("risk"))
 
@@ -201,7 +197,7 @@ def risk_coverage(spark: SparkSession, d: str) -> DataFrame:
 )
 def precision_at(spark: SparkSession, d: str) -> DataFrame:
     """Precision among the highest scores at each flag rate."""
-    p = by_rank(V.predictions(spark, d).filter("score is not null"), ["seed", "method"], largest=True)
+    p = R.places(V.predictions(spark, d).filter("score is not null"), ["seed", "method"], "score", "item_id", largest=True)
     kept = p.withColumn("flag_rate", F.explode(F.array(F.lit(0.05), F.lit(0.1), F.lit(0.2)))).filter(F.col("r") <= F.greatest(F.lit(1.0), F.bround(F.col("flag_rate") * F.col("n"), 0)))
     return kept.groupBy("seed", "method", "flag_rate").agg(F.count(F.lit(1)).alias("n_flagged"), out(F.avg(F.col("y").cast("double"))).alias("prec"))
 
@@ -218,13 +214,14 @@ def precision_at(spark: SparkSession, d: str) -> DataFrame:
 )
 def aurc(spark: SparkSession, d: str) -> DataFrame:
     """Mean risk over forty coverages from 0.05 to 1."""
-    p = by_rank(V.predictions(spark, d).filter("score is not null"), ["seed", "method"])
-    run = Window.partitionBy("seed", "method").orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = p.withColumn("risk", F.avg(F.col("y").cast("double")).over(run)).select("seed", "method", "r", "risk")
-    g = p.select("seed", "method", "n").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39))))
-    at = F.greatest(F.lit(1.0), F.bround((F.lit(0.05) + F.lit(0.95) * F.col("k") / F.lit(39.0)) * F.col("n"), 0)).cast("long")
-    g = g.select("seed", "method", at.cast("int").alias("r"))
-    return g.join(c, ["seed", "method", "r"]).groupBy("seed", "method").agg(out(F.avg("risk")).alias("aurc"))
+    p = R.places(V.predictions(spark, d).filter("score is not null"), ["seed", "method"], "score", "item_id")
+    at = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.greatest(F.lit(1.0), F.bround((F.lit(0.05) + F.lit(0.95) * k / F.lit(39.0)) * F.col("n"), 0)))
+    # The first grid point that keeps a row; the kept rows of a point are a running sum over the points.
+    cells = p.withColumn("at", at).withColumn("k", F.size(F.filter("at", lambda a: a < F.col("r")))).filter("k < 40").groupBy("seed", "method", "k").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("kept"))
+    grid = cells.select("seed", "method").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    run = Window.partitionBy("seed", "method").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # forty rows
+    c = grid.join(cells, ["seed", "method", "k"], "left").select("seed", "method", (F.sum("pos").over(run) / F.sum("kept").over(run).cast("double")).alias("risk"))
+    return c.groupBy("seed", "method").agg(out(F.avg("risk")).alias("aurc"))
 
 
 @q(
@@ -240,7 +237,7 @@ def aurc(spark: SparkSession, d: str) -> DataFrame:
 def confidence_deciles(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy by decile of the distance from the threshold; equal edges are allowed."""
     p = V.predictions(spark, d).filter("score is not null and pred is not null").select("method", "y", "pred", F.round(F.abs(F.col("score") - F.col("threshold")), 9).alias("x"))
-    e = p.groupBy("method").agg(F.percentile("x", F.array(*[F.lit(k / 10) for k in range(11)])).alias("e"))
+    e = R.percentiles(p, ["method"], "x", [k / 10 for k in range(11)]).withColumnRenamed("cuts", "e")
     b = p.join(e, "method").withColumn("decile", F.least(F.lit(9), F.size(F.filter("e", lambda t: F.round(t, 9) <= F.col("x"))) - 1).cast("long"))
     return b.groupBy("method", "decile").agg(F.count(F.lit(1)).alias("n"), out(F.avg((F.col("y") == F.col("pred")).cast("int"))).alias("accuracy"), out(F.min("x")).alias("low"), out(F.max("x")).alias("high"))
 

@@ -74,6 +74,19 @@ def test_average_ranks(spark):
     assert {r["score"]: r["avg_rank"] for r in R.average_ranks(df, ["g"]).collect()} == {1.0: 1.0, 2.0: 2.0, 3.0: 3.5}
 
 
+def test_percentiles_and_places(spark):
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=700), 1)
+    df = spark.createDataFrame([("g", float(x), k) for k, x in enumerate(v)] + [("h", 4.0, 0), ("h", None, 1)], "g string, v double, i int")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.77, 1.0]
+    got = {r["g"]: r["cuts"] for r in R.percentiles(df, ["g"], "v", shares).collect()}
+    assert got["g"] == pytest.approx(np.quantile(v, shares).tolist()) and got["h"] == [4.0] * 6
+    for largest in (False, True):
+        rows = R.places(df.filter("v is not null and g = 'g'"), ["g"], "v", "i", largest).collect()
+        order = sorted(range(len(v)), key=lambda k: (-v[k] if largest else v[k], k))
+        assert {r["i"]: r["r"] for r in rows} == {k: n + 1 for n, k in enumerate(order)} and {r["n"] for r in rows} == {len(v)}
+
+
 def test_best_threshold_takes_the_lowest_midpoint(spark):
     rows = [("a", 0, 1.0), ("a", 0, 2.0), ("a", 1, 4.0), ("a", 1, 8.0), ("b", 1, 5.0), ("b", 0, 5.0), ("c", 0, 1.0), ("c", 1, 2.0), ("c", 0, 3.0), ("c", 1, 4.0)]
     got = {r["g"]: (r["threshold"], r["mcc"]) for r in R.best_threshold(spark.createDataFrame(rows, "g string, y int, score double"), ["g"]).collect()}
