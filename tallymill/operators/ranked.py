@@ -86,6 +86,25 @@ def places(df: DataFrame, by: list[str], value: str, tie: str, largest: bool = F
     return df.join(c, [*by, value]).withColumn("r", F.col("before") + inside).drop("before")
 
 
+def numbers(df: DataFrame, by: list[str], key: str, name: str = "k", pieces: int = 128) -> DataFrame:
+    """Adds ``name``: the row's number from 0 in its group in the order of a key that is distinct in it.
+
+    The keys' range is cut at quantiles of a bounded sample; a window runs within a group's piece and
+    the pieces' counts are added as offsets, so the numbers are exact and no group passes through one task.
+    """
+    sample = [r[0] for r in df.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(8 * pieces).collect()]
+    sample.sort(key=lambda x: x.encode("utf-8") if isinstance(x, str) else x)
+    cuts = list(dict.fromkeys(sample[8::8]))
+    piece = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    df = df.withColumn("_piece", piece)
+    part = df.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_c"))
+    ahead = Window.partitionBy(*by or [F.lit(1)]).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row per piece
+    part = part.select(*by, "_piece", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(key))
+    df = df.withColumn("_i", inside).join(part, [*by, "_piece"])
+    return df.withColumn(name, F.col("_o") + F.col("_i") - 1).drop("_piece", "_i", "_o")
+
+
 def auroc(df: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """(by…, n_pos, n_neg, auroc) by ranks with ties averaged; null where there is one class."""
     d = running(distinct_scores(df, by, score, y), by, "s", {"neg_below": "neg"})

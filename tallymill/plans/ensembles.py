@@ -166,7 +166,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
         parts += [X.count_if((F.col("y") == y) & (pred == p)).alias(f"{m}_{k}") for k, (y, p) in cells.items()]
     c = w.groupBy("group_id").agg(*parts)
     size = c.count()
-    g = c.withColumn("g", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("group_id")) - 1).cast("long"))  # one row per group
+    g = R.numbers(c, [], "group_id", "g").withColumn("g", F.col("g").cast("long"))
     diff = lambda: X.mcc("a_tp", "a_fp", "a_fn", "a_tn") - X.mcc("b_tp", "b_fp", "b_fn", "b_tn")
     v = G.bootstrap_totals(g, _BOOT_COUNTS, _REPS, "boot", size).select(diff().alias("diff"))
     v = v.agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
@@ -224,8 +224,8 @@ def permutation_null(spark: SparkSession, d: str) -> DataFrame:
         return e.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("rate") - F.col("base"))) / F.sum("n")).alias("v"))
 
     p = r.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(49))))
-    w = Window.partitionBy("r")
-    p = p.withColumn("k", F.row_number().over(w.orderBy("item_id"))).withColumn("h", F.row_number().over(w.orderBy(order_hash(F.lit("perm"), F.col("r").cast("string"), F.col("item_id").cast("string")), "item_id")))
+    p = R.numbers(p, ["r"], "item_id", "k").withColumn("md5", order_hash(F.lit("perm"), F.col("r").cast("string"), F.col("item_id").cast("string")))
+    p = cut(G.hash_numbers(p, ["r"], "md5", "item_id", "h").drop("md5"), "dealt")
     x = p.select("r", "k", "cluster").join(p.select("r", F.col("h").alias("k"), "rescued"), ["r", "k"])
     own = stat(r, []).withColumnRenamed("v", "statistic")
     return stat(x, ["r"]).join(F.broadcast(own)).agg(out(F.max("statistic")).alias("statistic"), out(F.avg("v")).alias("null_mean"), out(F.avg((F.col("v") >= F.col("statistic") - 1e-12).cast("int"))).alias("p"))

@@ -10,6 +10,7 @@ from tallymill.functions import expressions as X
 from tallymill.functions import prompts as T
 from tallymill.functions import sqltext as S
 from tallymill.functions.expressions import order_hash, out
+from tallymill.operators import ranked as R
 from tallymill.operators import records
 from tallymill.plans.agreement import SQL_MAJORITY, majority
 from tallymill.registry import CORE
@@ -42,8 +43,8 @@ def src_dedup_alias(spark: SparkSession, d: str) -> DataFrame:
 def src_row_index(spark: SparkSession, d: str) -> DataFrame:
     """Rows numbered from 0 within their data set in the order of their key."""
     i = table(spark, d, "items", "item_id").filter("item_id is not null").distinct()
-    n = F.row_number().over(Window.partitionBy(V.item_dataset(F.col("item_id"))).orderBy("item_id")) - 1
-    return i.select("item_id", F.concat(F.lit("row:"), n.cast("string")).alias("row_id"))
+    n = R.numbers(i.withColumn("dataset", V.item_dataset(F.col("item_id"))), ["dataset"], "item_id", "n")
+    return n.select("item_id", F.concat(F.lit("row:"), F.col("n").cast("string")).alias("row_id"))
 
 
 @q(

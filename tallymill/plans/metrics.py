@@ -363,7 +363,7 @@ def error_strata(spark: SparkSession, d: str) -> DataFrame:
 def learning_crossing(spark: SparkSession, d: str) -> DataFrame:
     """Size at which the curve first reaches nine tenths of its end, between two sizes by a straight line."""
     s = V.long(V.wide(spark, d)).withColumn("size", F.explode(F.array(*[F.lit(k) for k in (20, 40, 80, 120, 200, 320, 500)])))
-    h = s.withColumn("r", F.row_number().over(Window.partitionBy("method", "size").orderBy(X.order_hash(F.lit("curve"), F.col("item_id").cast("string"))))).filter("r <= size")
+    h = s.withColumn("r", F.row_number().over(Window.partitionBy("method", "size").orderBy(X.order_hash(F.lit("curve"), F.col("item_id").cast("string"))))).filter("r <= 500").filter("r <= size")
     m = h.groupBy("method", "size").agg(*X.confusion()).select("method", "size", X.mcc().alias("v"))
     w = Window.partitionBy("method").orderBy("size")
     m = m.withColumn("size0", F.lag("size").over(w)).withColumn("v0", F.lag("v").over(w))

@@ -87,6 +87,21 @@ def test_percentiles_and_places(spark):
         assert {r["i"]: r["r"] for r in rows} == {k: n + 1 for n, k in enumerate(order)} and {r["n"] for r in rows} == {len(v)}
 
 
+def test_numbers_over_pieces(spark):
+    rows = [("g", f"k{k:04d}") for k in range(3000)] + [("h", "k0500"), ("h", "a")]
+    df = spark.createDataFrame(rows, "g string, key string").repartition(5)
+    got = {(r["g"], r["key"]): r["k"] for r in R.numbers(df, ["g"], "key").collect()}
+    assert got == {("g", f"k{k:04d}"): k for k in range(3000)} | {("h", "a"): 0, ("h", "k0500"): 1}
+    assert sorted(r["k"] for r in R.numbers(df, [], "key").collect()) == list(range(3002))
+    assert R.numbers(df.limit(0), ["g"], "key").collect() == []
+    h = df.withColumn("h", F.md5("key"))
+    turns = {(r["g"], r["key"]): r["t"] for r in G.hash_numbers(h, ["g"], "h", "key", "t").collect()}
+    import hashlib
+
+    order = sorted((f"k{k:04d}" for k in range(3000)), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    assert all(turns["g", x] == n for n, x in enumerate(order))
+
+
 def test_best_threshold_takes_the_lowest_midpoint(spark):
     rows = [("a", 0, 1.0), ("a", 0, 2.0), ("a", 1, 4.0), ("a", 1, 8.0), ("b", 1, 5.0), ("b", 0, 5.0), ("c", 0, 1.0), ("c", 1, 2.0), ("c", 0, 3.0), ("c", 1, 4.0)]
     got = {r["g"]: (r["threshold"], r["mcc"]) for r in R.best_threshold(spark.createDataFrame(rows, "g string, y int, score double"), ["g"]).collect()}
