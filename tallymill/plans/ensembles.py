@@ -350,21 +350,27 @@ def vote_on_errors(spark: SparkSession, d: str) -> DataFrame:
 _BITS = "[" + ", ".join(f"{{'method': '{m}', 'bit': {1 << k}}}" for k, m in enumerate(V.METHODS)) + "]"
 
 
-def subsets(p: DataFrame) -> DataFrame:
-    """Rows of every non-empty subset of the methods that holds the row's method."""
-    bit = F.create_map(*[x for k, m in enumerate(V.METHODS) for x in (F.lit(m), F.lit(1 << k))])
-    return p.withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit((1 << len(V.METHODS)) - 1)))).filter(F.col("mask").bitwiseAND(bit[F.col("method")]) > 0)
+def subsets(w: DataFrame) -> DataFrame:
+    """(mask, k, y, pred, score): strict majority and mean score of every non-empty subset of the methods.
+
+    An item's methods stand in one row, so subsets are made inside it and nothing is shuffled per subset.
+    """
+    m = w.withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit((1 << len(V.METHODS)) - 1))))
+    inside = [F.col("mask").bitwiseAND(F.lit(1 << b)) > 0 for b in range(len(V.METHODS))]
+    k = F.bit_count("mask")
+    votes = X.total([(i & (F.col(c) >= 0)).cast("int") for i, c in zip(inside, V.METHODS, strict=True)])
+    score = X.total([F.when(i, F.col(c)).otherwise(0.0) for i, c in zip(inside, V.METHODS, strict=True)]) / k
+    return m.select("mask", k.cast("long").alias("k"), "y", (2 * votes > k).cast("int").alias("pred"), F.round(score, 12).alias("score"))
 
 
 @q(
     "subset_vote",
-    sql=S.with_(V.SQL_LONG, f"b as (select unnest({_BITS}, recursive := true))", "s as (select mask, emb.item_id, emb.y, emb.pred, emb.score from emb join b using (method), (select unnest(range(1, 32)) as mask) where mask & bit > 0)", "v as (select mask, item_id, y, cast(2 * sum(pred) > count(*) as int) as pred, avg(score) as score, count(*) as k from s group by all)", f"c as (select mask, max(k) as k, {S.confusion()} from v group by all)", S.auroc("v", "mask"))
+    sql=S.with_(V.SQL_LONG, f"b as (select unnest({_BITS}, recursive := true))", "s as (select mask, emb.item_id, emb.y, emb.pred, emb.score from emb join b using (method), (select unnest(range(1, 32)) as mask) where mask & bit > 0)", "v as (select mask, item_id, y, cast(2 * sum(pred) > count(*) as int) as pred, round(avg(score), 12) as score, count(*) as k from s group by all)", f"c as (select mask, max(k) as k, {S.confusion()} from v group by all)", S.auroc("v", "mask"))
     + f"select cast(mask as int) as mask, k as n_methods, round({S.mcc()}, 9) as mcc_majority, round(auroc, 9) as auroc_mean from c join roc using (mask)",
 )
 def subset_vote(spark: SparkSession, d: str) -> DataFrame:
     """Strict majority and mean score of all 31 subsets of the five methods."""
-    s = subsets(V.long(V.wide(spark, d)))
-    v = s.groupBy("mask", "item_id", "y").agg((2 * F.sum("pred") > F.count(F.lit(1))).cast("int").alias("pred"), F.avg("score").alias("score"), F.count(F.lit(1)).alias("k"))
+    v = subsets(V.wide(spark, d))
     c = v.groupBy("mask").agg(F.max("k").alias("n_methods"), *X.confusion())
     return c.join(R.auroc(v, ["mask"]), "mask").select("mask", "n_methods", out(X.mcc()).alias("mcc_majority"), out("auroc").alias("auroc_mean"))
 
@@ -376,8 +382,7 @@ def subset_vote(spark: SparkSession, d: str) -> DataFrame:
 )
 def subset_best(spark: SparkSession, d: str) -> DataFrame:
     """The best subset of each size; the lowest mask of equals."""
-    v = subsets(V.long(V.wide(spark, d))).groupBy("mask", "item_id", "y").agg((2 * F.sum("pred") > F.count(F.lit(1))).cast("int").alias("pred"), F.count(F.lit(1)).alias("k"))
-    m = v.groupBy("mask").agg(F.max("k").alias("n_methods"), *X.confusion()).select("mask", "n_methods", out(X.mcc()).alias("m"))
+    m = subsets(V.wide(spark, d)).groupBy("mask").agg(F.max("k").alias("n_methods"), *X.confusion()).select("mask", "n_methods", out(X.mcc()).alias("m"))
     return m.groupBy("n_methods").agg(F.max_by("mask", F.struct("m", -F.col("mask"))).alias("mask"), F.max("m").alias("mcc"))
 
 
