@@ -87,13 +87,16 @@ def _among(w: Column, words: str) -> Column:
 
 def normal(c: Column) -> Column:
     """One width, one kind of space, apostrophe and quote; unseen characters and tags dropped."""
-    c = one_width(F.coalesce(c, F.lit("")))
+    raw = F.coalesce(c, F.lit(""))
+    c = one_width(raw)
     c = F.regexp_replace(c, r"(?i)&nbsp;|<br\s*/?>", " ")
     c = F.regexp_replace(c, r"</?\p{Alpha}[^<>]{0,80}>", "")
     c = F.regexp_replace(c, r"[\p{Z}\t\x0B\f\x85\u2800\u3164]", " ")
     c = F.regexp_replace(c, r"[\p{C}&&[^\n\r]]|[\u034F\u115F\u1160\u17B4\u17B5\u180B-\u180F\uFE00-\uFE0F]", "")
     c = F.translate(c, "’‘‛`´“”„‟«»…", "'''''\"\"\"\"\"\"" + "…")
-    return F.regexp_replace(c, r"\r\n?", "\n")
+    c = F.regexp_replace(c, r"\r\n?", "\n")
+    # Most texts hold none of the characters above and stay as they are.
+    return F.when(raw.rlike(r"[^\x20-\x7E\n]|[<&`]"), c).otherwise(raw)
 
 
 def _without_lead(c: Column) -> Column:
@@ -108,9 +111,15 @@ def _unquoted(c: Column) -> Column:
 
 
 def _hits(words: Column, of: str) -> Column:
+    """How many words are among the given ones."""
     return F.size(F.filter(words, lambda w: _among(w, of)))
 
 
+def _kinds(words: Column, of: str) -> Column:
+    """How many different ones of the given words are there."""
+    return F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in dict.fromkeys(of.split())])))
+
+
 def _any(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cols)
 
@@ -130,34 +139,46 @@ def is_empty() -> Column:
     return (F.regexp_replace(bare, "[' ]", "") == "") | only_label | bare.rlike(rf"^(?:{LEAD_PHRASES})$")
 
 
+def _refusal_columns(rows: DataFrame) -> DataFrame:
+    """core: the text without its polite beginning; tail: what follows a contrast, in its own case."""
+    raw = F.trim(F.regexp_replace(_unquoted(F.col("body")), r"\s+", " "))
+    rows = rows.withColumn("core", F.regexp_replace("plain", rf"^[^\p{{L}}]*{POLITE}", ""))
+    return rows.withColumn("tail", F.regexp_extract(F.regexp_replace(raw, rf"(?i)^[^\p{{L}}]*{POLITE}", ""), rf"(?i){CONTRAST}(.*)$", 1))
+
+
 def is_refusal() -> Column:
-    core = F.regexp_replace(F.col("plain"), rf"^[^\p{{L}}]*{POLITE}", "")
-    # After a contrast, a capital inside the sentence or a number means that an answer is given.
-    raw = F.regexp_replace(F.trim(F.regexp_replace(_unquoted(F.col("body")), r"\s+", " ")), rf"(?i)^[^\p{{L}}]*{POLITE}", "")
-    tail = F.regexp_extract(raw, rf"(?i){CONTRAST}(.*)$", 1)
-    answered = tail.rlike(r"\p{N}|(?<=[\p{L},] )\p{Lu}\p{Ll}+") | F.col("plain").rlike(GIVES)
-    return _any([core.rlike(f"^(?:{r})") for r in REFUSALS]) & ~answered
+    """A refusal's words begin the text, and no answer is given after a contrast (a number or a name)."""
+    answered = F.col("tail").rlike(r"\p{N}|(?<=[\p{L},] )\p{Lu}\p{Ll}+") | F.col("plain").rlike(GIVES)
+    return F.col("core").rlike("^(?:" + "|".join(f"(?:{r})" for r in REFUSALS) + ")") & ~answered
 
 
-def is_copy() -> Column:
-    q, a = F.col("qw"), F.col("aw")
-    n, m = F.size(q), F.size(a)
+def _copy_columns(rows: DataFrame) -> DataFrame:
+    """front, back: words that agree from either end with the question, repeated as often as it takes."""
+    n, m = F.size("qw"), F.size("aw")
     times = F.greatest(F.lit(1), F.ceil((m - 1) / F.greatest(n, F.lit(1)))).cast("int")
-    rep = F.flatten(F.array_repeat(q, F.least(times, F.lit(1) + F.floor(m / F.greatest(n, F.lit(1))).cast("int"))))
+    rep = F.flatten(F.array_repeat("qw", F.least(times, F.lit(1) + F.floor(m / F.greatest(n, F.lit(1))).cast("int"))))
 
     def lead(x: Column, y: Column) -> Column:
         same = F.zip_with(x, y, lambda s, t: F.coalesce(s == t, F.lit(False)))
         at = F.array_position(same, False)
         return F.when(at == 0, F.size(same)).otherwise(at - 1)
 
-    front, back, size = lead(a, rep), lead(F.reverse(a), F.reverse(rep)), F.size(rep)
-    # A word more at the very end is an answer if it is a name or a number.
+    # Only an answer that begins or ends as the question does can be a copy of it.
+    near = (n >= 4) & (m >= 3) & ((F.get("aw", F.lit(0)) == F.get("qw", F.lit(0))) | (F.get("aw", m - 1) == F.get("qw", n - 1)))
+    rows = rows.withColumn("rep", F.when(near, rep))
+    return rows.withColumn("front", lead(F.col("aw"), F.col("rep"))).withColumn("back", lead(F.reverse("aw"), F.reverse("rep")))
+
+
+def is_copy() -> Column:
+    """No more than the question, up to one word; a word more at the very end is an answer if it is a name or a number."""
+    n, m, size = F.size("qw"), F.size("aw"), F.size("rep")
+    front, back = F.col("front"), F.col("back")
     last = F.regexp_extract(F.col("body"), r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)
     more = (m == size + 1) & (front + back >= size) & ~((front == size) & last.rlike(r"^[\p{Lu}\p{N}]"))
     other = (m == size) & (front + back >= size - 1)
     less = (m == size - 1) & (front + back >= size - 1)
     cyclic = (m >= n) & (front == m)
-    return (n >= 4) & (m >= 3) & (other | less | more | cyclic)
+    return F.col("rep").isNotNull() & (other | less | more | cyclic)
 
 
 def is_language() -> Column:
@@ -172,8 +193,8 @@ def _language_columns(rows: DataFrame) -> DataFrame:
     for k in LANGUAGES:
         others = set(" ".join(FUNCTION_WORDS[x] for x in LANGUAGES if x != k).split())
         own = " ".join(w for w in dict.fromkeys(FUNCTION_WORDS[k].split()) if w not in others)
-        out = out.withColumn(f"q_{k}", _hits(F.col("qw"), FUNCTION_WORDS[k])).withColumn(f"a_{k}", _hits(F.col("pw"), FUNCTION_WORDS[k]))
-        out = out.withColumn(f"s_{k}", _hits(F.col("pw"), own))
+        out = out.withColumn(f"q_{k}", _kinds(F.col("qw"), FUNCTION_WORDS[k])).withColumn(f"a_{k}", _hits(F.col("pw"), FUNCTION_WORDS[k]))
+        out = out.withColumn(f"s_{k}", _kinds(F.col("pw"), own))
     best = F.greatest(*[F.col(f"q_{k}") for k in LANGUAGES])
     ql = F.when(best == 0, F.lit(None))
     ql = ql.when(F.col("q").contains("¿"), F.lit("es"))
@@ -190,10 +211,11 @@ def _language_columns(rows: DataFrame) -> DataFrame:
 
 def endings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(word, inside, final) of all texts, and (stem) of beginnings of words."""
-    text = F.explode(F.array("q", "a"))
-    token = F.explode(F.regexp_extract_all(F.col("t"), F.lit(r"([\p{L}\p{M}]++[.!?]?+)(?!\s*\z)"), F.lit(1)))
-    words = rows.select(text.alias("t")).select(token.alias("w"))
-    words = words.select(F.lower(F.regexp_replace("w", r"[.!?]$", "")).alias("word"), F.col("w").rlike(r"[.!?]$").cast("long").alias("f"))
+    text = rows.select(F.explode(F.array("q", "a")).alias("t"))
+    tokens = F.split(F.lower("t"), r"[^\p{L}\p{M}.!?]+")
+    words = text.select(F.explode(F.slice(tokens, F.lit(1), F.greatest(F.lit(0), F.size(tokens) - 1))).alias("w"))  # all but the last
+    stop = F.endswith("w", F.lit(".")) | F.endswith("w", F.lit("!")) | F.endswith("w", F.lit("?"))
+    words = words.select(F.translate("w", ".!?", "").alias("word"), stop.cast("long").alias("f")).filter("word <> ''")
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.sum("f").alias("final"))
     counts = cut(counts, "words")
     longer = counts.filter((F.col("seen") >= LEAST_STEM) & (F.length("word") > 2))
@@ -201,8 +223,8 @@ def endings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, stems.distinct()
 
 
-def truncated(rows: DataFrame) -> DataFrame:
-    """gen_id of answers that break off."""
+def _ending_columns(rows: DataFrame) -> DataFrame:
+    """last: the last word; stop: a stop ends the text; sure: it breaks off by its form alone."""
     end = F.col("end")
     stop = end.rlike(r"[.!?。！？؟][\"')\]*_]*$") & ~end.rlike(r"(?:\.\.\.|…)$")
     marker = end.rlike(r"\n\s*(?:\d{1,3}[.)]|[-*•])$")  # a bare number alone is an answer
@@ -210,10 +232,14 @@ def truncated(rows: DataFrame) -> DataFrame:
     quoted = (F.length(F.regexp_replace(end, r'[^"]', "")) % 2 == 1) & ~stop
     comma = end.rlike(r"[\p{L}\p{N}]\s*[,;:(\[{–—-]$")
     last = F.lower(F.regexp_extract(end, r"([\p{L}\p{M}]+)[^\p{L}\p{M}\p{N}]*$", 1))
-    many = F.col("n_words") >= 3
+    many = F.size("aw") >= 3
     open_word = _among(last, " ".join(OPEN_WORDS.values())) & many & ~end.rlike(r"[.!?][\"')\]]*$")
     rows = rows.withColumn("last", last).withColumn("stop", stop)
-    rows = rows.withColumn("sure", marker | opened | quoted | (comma & many) | open_word)
+    return rows.withColumn("sure", marker | opened | quoted | (comma & many) | open_word)
+
+
+def truncated(rows: DataFrame) -> DataFrame:
+    """gen_id of answers that break off."""
     sure = rows.filter("sure").select("gen_id")
     maybe = rows.filter(~F.col("sure") & ~F.col("stop") & (F.col("n_words") >= LEAST_WORDS) & (F.col("last") != "")).select("gen_id", "last", "a")
     counts, stems = endings(rows)
@@ -231,9 +257,9 @@ def defects(answers: DataFrame) -> DataFrame:
     the defects of all. finish_reason is not needed: "length" with a complete text is no defect, and
     what breaks off does so whatever it says. Very long answers are read whole.
     """
-    rows = _language_columns(pairs(answers)).withColumn("empty", is_empty())
+    rows = _ending_columns(_copy_columns(_refusal_columns(_language_columns(pairs(answers))))).withColumn("empty", is_empty())
     rows = rows.select(
-        "gen_id", "q", "a", "end", F.size("aw").alias("n_words"), "empty",
+        "gen_id", "q", "a", "last", "stop", "sure", F.size("aw").alias("n_words"), "empty",
         (~F.col("empty") & is_refusal()).alias("refusal"), (~F.col("empty") & is_copy()).alias("copy"), (~F.col("empty") & is_language()).alias("language"),
     )
     rows = cut(rows, "pairs")
