@@ -13,6 +13,9 @@ BLOCK = frozenset("br p div li ul ol td th tr table h1 h2 h3 h4 h5 h6 hr section
 NOTE = re.compile(r"\[\d{1,4}\]")
 BROKEN_WORD = re.compile(r"(?<=[^\W\d_])[-‐­][ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
 UNSEEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻\x00-\x08\x0e-\x1b\x7f]")
+# The unseen characters that count as printable, and letters of scripts that hold look-alikes.
+FILLER = re.compile("[͏ᅟᅠ឴឵᠋-᠏︀-️]")
+FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
 # UTF-8 read as Latin-1 or Windows-1252: a lead byte's letter and the letters of its trail bytes.
 TRAIL = "\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 MISREAD = re.compile(f"[Â-ß][{TRAIL}]|[à-ï][{TRAIL}]{{2}}|[ð-ô][{TRAIL}]{{3}}")
@@ -49,15 +52,19 @@ def clean(text: str) -> str:
         text = html.unescape(text)
         if "<" in text:
             text = TAG.sub(_tag, text)
-    if not text.isascii():
-        text = MISREAD.sub(_read_again, text)
-        text = unicodedata.normalize("NFKC", text)
+    plain = text.isascii()
+    if not plain:
+        text = unicodedata.normalize("NFKC", MISREAD.sub(_read_again, text))
+    if "\n" in text and ("-" in text or not plain):
         text = BROKEN_WORD.sub("", text)
+    # Most texts hold no unseen character; a printable text surely has none.
+    if not text.replace("\n", " ").replace("\t", " ").isprintable():
+        text = UNSEEN.sub("", text)
+    elif not plain and FILLER.search(text):
         text = UNSEEN.sub("", text)
-        text = MIXED.sub(lambda m: m.group(0).translate(_LOOK), text)
-    else:
-        text = UNSEEN.sub("", BROKEN_WORD.sub("", text))
-    return NOTE.sub("", text)
+    if not plain:
+        text = MIXED.sub(lambda m: m.group(0).translate(_LOOK), text) if FOREIGN.search(text) else text
+    return NOTE.sub("", text) if "[" in text else text
 
 
 def plain_words(text: str) -> list[str]:
