@@ -195,13 +195,26 @@ def attn_diag_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @q("last_token_state", sql="with f as (select item_id, layer, i, extracted_at, hidden_states[1] as x from forward_traces where item_id is not null and len(hidden_states) = 64 and hidden_states[1] is not null and isfinite(hidden_states[1])) select item_id, layer, max(i) as i, round(cast(arg_max(x, struct_pack(i := i, t := extracted_at)) as double), 6) as x from f group by all")
 def last_token_state(spark: SparkSession, d: str) -> DataFrame:
-    """The state of the last token in each layer; the newest of equals."""
+    """The first component of the last token's state in each layer; the newest of equals. ``last_token_vector`` has all."""
     f = table(spark, d, "forward_traces", "item_id", "layer", "i", "extracted_at", "hidden_states").filter((F.size("hidden_states") == 64) & F.col("item_id").isNotNull())
     f = f.select("item_id", "layer", "i", "extracted_at", F.get("hidden_states", F.lit(0)).cast("double").alias("x"))
     f = f.filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
     return f.groupBy("item_id", "layer").agg(F.max("i").alias("i"), F.round(F.max_by("x", F.struct("i", "extracted_at")), 6).alias("x"))
 
 
+@q("last_token_vector", sql="with f as (select item_id, layer, i, coalesce(extracted_at, timestamp '0001-01-01') as t, list_transform(hidden_states, lambda v: round(cast(v as double), 6)) as x from forward_traces where item_id is not null and len(hidden_states) = 64 and len(list_filter(hidden_states, lambda v: v is not null and isfinite(v))) = 64) select item_id, layer, max(i) as i, arg_max(x, struct_pack(i := i, t := t, x := x)) as x from f group by all")
+def last_token_vector(spark: SparkSession, d: str) -> DataFrame:
+    """The whole state of the last token in each layer; the newest of equals. A vector with a null, NaN or infinite element does not count."""
+    return last_vectors(table(spark, d, "forward_traces", "item_id", "layer", "i", "extracted_at", "hidden_states"))
+
+
+def last_vectors(traces: DataFrame) -> DataFrame:
+    f = traces.filter((F.size("hidden_states") == 64) & F.col("item_id").isNotNull())
+    f = f.filter(F.forall("hidden_states", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))))
+    f = f.select("item_id", "layer", "i", F.coalesce("extracted_at", F.lit("0001-01-01").cast("timestamp")).alias("t"), F.transform("hidden_states", lambda v: F.round(v.cast("double"), 6)).alias("x"))
+    return f.groupBy("item_id", "layer").agg(F.max("i").alias("i"), F.max_by("x", F.struct("i", "t", "x")).alias("x"))
+
+
 @q("svd_spectrum")
 def svd_spectrum(spark: SparkSession, d: str) -> DataFrame:
     """Singular values of each item's ten token vectors, with the sum of squares that they have to add up to."""

@@ -231,3 +231,12 @@ def test_sampled_fits_score_every_row(spark):
     df = spark.createDataFrame([(k, k % 3, int(x[k, 0] > 0), x[k].tolist()) for k in range(120)], "item_id long, fold int, y int, x array<double>")
     rows = M.sampled_oof(df, M.fit_logistic, bound=30).collect()
     assert len(rows) == 120 and all(r["score"] is not None for r in rows)
+
+
+def test_last_token_vector_is_whole_and_usable_in_every_element(spark):
+    from tallymill.plans.features import last_vectors
+
+    good, late = [float(k) for k in range(64)], [float(k + 1) for k in range(64)]
+    rows = [("a", 40, 3, None, good), ("a", 40, 4, None, [*late[:-1], float("nan")]), ("a", 40, 5, None, [*late[:-1], None]), ("a", 40, 6, None, [*late[:-1], float("inf")]), ("b", 40, 1, None, good), ("b", 40, 2, None, late)]
+    df = spark.createDataFrame(rows, "item_id string, layer int, i int, extracted_at timestamp, hidden_states array<float>")
+    assert {r["item_id"]: (r["i"], r["x"]) for r in last_vectors(df).collect()} == {"a": (3, good), "b": (2, late)}
