@@ -123,11 +123,20 @@ def median_impute(spark: SparkSession, d: str) -> DataFrame:
     sql=S.with_(_BLOCK, _COLS, "s as (select dim, avg(v) as m, stddev_pop(v) as sd from co group by all)") + "select item_id, cast(co.dim as int) as dim, round((v - m) / case when sd = 0 then 1 else sd end, 6) as z from co join s using (dim) where dim < 8",
 )
 def standardize(spark: SparkSession, d: str) -> DataFrame:
-    """Zero mean and unit population deviation; constant columns are divided by 1. The first eight columns are shown."""
+    """The first eight columns of ``standardize_all``."""
+    return standardize_all(spark, d).filter("dim < 8")
+
+
+@q(
+    "standardize_all",
+    sql=S.with_(_BLOCK, _COLS, "s as (select dim, avg(v) as m, stddev_pop(v) as sd from co group by all)") + "select item_id, cast(co.dim as int) as dim, round((v - m) / case when sd = 0 then 1 else sd end, 6) as z from co join s using (dim)",
+)
+def standardize_all(spark: SparkSession, d: str) -> DataFrame:
+    """Zero mean and unit population deviation of every column; constant columns are divided by 1."""
     c = columns(spark, d)
     s = c.groupBy("dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
     z = (F.col("v") - F.col("m")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))
-    return c.join(s, "dim").filter("dim < 8").select("item_id", "dim", F.round(z, 6).alias("z"))
+    return c.join(s, "dim").select("item_id", "dim", F.round(z, 6).alias("z"))
 
 
 @q(

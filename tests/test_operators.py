@@ -240,3 +240,11 @@ def test_last_token_vector_is_whole_and_usable_in_every_element(spark):
     rows = [("a", 40, 3, None, good), ("a", 40, 4, None, [*late[:-1], float("nan")]), ("a", 40, 5, None, [*late[:-1], None]), ("a", 40, 6, None, [*late[:-1], float("inf")]), ("b", 40, 1, None, good), ("b", 40, 2, None, late)]
     df = spark.createDataFrame(rows, "item_id string, layer int, i int, extracted_at timestamp, hidden_states array<float>")
     assert {r["item_id"]: (r["i"], r["x"]) for r in last_vectors(df).collect()} == {"a": (3, good), "b": (2, late)}
+
+
+def test_every_column_is_standardized(spark, small):
+    from tallymill.plans import load
+
+    z = load().queries["standardize_all"](spark, small).groupBy("dim").agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("sd")).collect()
+    assert sorted(r["dim"] for r in z) == list(range(64))
+    assert all(abs(r["m"]) < 1e-4 and abs(r["sd"] - 1) < 1e-4 for r in z)
