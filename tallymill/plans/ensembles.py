@@ -11,6 +11,7 @@ from tallymill.functions import sqltext as S
 from tallymill.functions.expressions import order_hash, out
 from tallymill.operators import ranked as R
 from tallymill.operators import sampling as G
+from tallymill.operators.paired import method_pairs
 from tallymill.plans.metrics import held_out_threshold, sql_held_out
 from tallymill.registry import CORE
 from tallymill.session import cut
@@ -175,6 +176,65 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return both.select(out("point").alias("difference"), out(F.col("p")[0]).alias("low"), out(F.col("p")[1]).alias("high"), ((F.col("p")[0] > 0) | (F.col("p")[1] < 0)).alias("excludes_zero"))
 
 
+_PAIR_REPS = 1000
+_PAIR_KEYS = "run, seed, method_a, method_b"
+
+
+@q(
+    "bootstrap_pairs",
+    sql=S.with_(
+        V.SQL_PREDICTIONS,
+        "ok as (select * from pred where pred is not null)",
+        "ab as (select a.run, a.seed, coalesce(greatest(a.group_id, b.group_id), a.item_id) as grp, a.method as method_a, b.method as method_b, greatest(a.y, b.y) as y, a.pred as pa, b.pred as pb from ok a join ok b on a.run = b.run and a.seed = b.seed and a.fold = b.fold and a.dataset = b.dataset and a.item_id = b.item_id and a.method < b.method)",
+        "c as (select %s, grp, %s from ab group by all)" % (_PAIR_KEYS, ", ".join(f"count(*) filter (where y = {y} and p{m} = {p}) as {m}_{k}" for m in "ab" for k, (y, p) in {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}.items())),
+        "g as (select run, seed, grp, row_number() over (partition by run, seed order by grp) - 1 as g, count(*) over (partition by run, seed) as n from (select distinct run, seed, grp from c))",
+        f"s as (select run, seed, r, cast(('0x' || substr(md5('boot:' || run || ':' || seed || ':' || r || ':' || g), 1, 12)) as bigint) % n as g from g, (select unnest(range({_PAIR_REPS})) as r))",
+        "t as (select run, seed, r, grp, count(*) as times from s join g using (run, seed, g) group by all)",
+        f"b as (select {_PAIR_KEYS}, r, {', '.join(f'sum(times * {x}) as {x}' for x in _BOOT_COUNTS)} from t join c using (run, seed, grp) group by all)",
+        f"v as (select {_PAIR_KEYS}, {S.mcc('a_tp', 'a_fp', 'a_fn', 'a_tn')} - {S.mcc('b_tp', 'b_fp', 'b_fn', 'b_tn')} as diff from b)",
+        f"e as (select {_PAIR_KEYS}, count(*) as k, sum(diff) as total, list(diff) as ds from v group by all)",
+        f"f as (select run, method_a, method_b, seed, total / {_PAIR_REPS} as mean, list_sort(list_concat(ds, list_transform(range({_PAIR_REPS} - k), lambda z: 0e0))) as ds from e)",
+        "h as (select *, " + ", ".join(f"ds[{int(p * (_PAIR_REPS - 1)) + 1}] + {p * (_PAIR_REPS - 1) - int(p * (_PAIR_REPS - 1)):.6f}e0 * (ds[{int(p * (_PAIR_REPS - 1)) + 2}] - ds[{int(p * (_PAIR_REPS - 1)) + 1}]) as {n}" for p, n in ((0.025, "lo"), (0.975, "hi"))) + " from f)",
+    )
+    + "select run, method_a, method_b, count(*) as n_seeds, round(avg(mean), 6) as difference, round(avg(lo), 6) as low, round(avg(hi), 6) as high, bool_and(lo > 0 or hi < 0) as excludes_zero_all_seeds from h group by all",
+)
+def bootstrap_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Group bootstrap of the MCC difference of every pair of methods: a thousand replicates in each run and seed, averaged over seeds.
+
+    A pair counts on the items that have both decisions. A seed's replicates draw its groups, and all
+    pairs share the draws; a replicate without any item of a pair has the difference 0.
+    """
+    p = V.predictions(spark, d).filter("pred is not null")
+    ab = method_pairs(p, ["run", "seed", "fold", "dataset", "item_id"], ["group_id", "y", "pred"])
+    y = F.greatest("a.y", "b.y")
+    cells = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
+    group = F.coalesce(F.greatest("a.group_id", "b.group_id"), "item_id").alias("grp")
+    keys = ["run", "seed", "method_a", "method_b"]
+    ab = ab.select("run", "seed", group, F.col("a.method").alias("method_a"), F.col("b.method").alias("method_b"), y.alias("y"), F.col("a.pred").alias("pa"), F.col("b.pred").alias("pb"))
+    c = cut(ab.groupBy(*keys, "grp").agg(*[X.count_if((F.col("y") == t) & (F.col(f"p{m}") == s)).alias(f"{m}_{k}") for m in "ab" for k, (t, s) in cells.items()]), "cells")
+    g = cut(R.numbers(c.select("run", "seed", "grp").distinct(), ["run", "seed"], "grp", "g"), "groups").withColumn("g", F.col("g").cast("long"))
+    n = g.groupBy("run", "seed").agg(F.count(F.lit(1)).alias("n"))
+    slots = g.join(F.broadcast(n), ["run", "seed"]).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(_PAIR_REPS - 1))))  # a row per run and seed
+    h = order_hash(F.lit("boot"), "run", F.col("seed").cast("string"), F.col("r").cast("string"), F.col("g").cast("string"))
+    slots = slots.select("run", "seed", "r", (F.conv(F.substring(h, 1, 12), 16, 10).cast("long") % F.col("n")).alias("g"))
+    times = slots.groupBy("run", "seed", "r", "g").agg(F.count(F.lit(1)).alias("times")).join(g, ["run", "seed", "g"])
+    b = times.join(c, ["run", "seed", "grp"]).groupBy(*keys, "r").agg(*[F.sum(F.col("times") * F.col(x)).alias(x) for x in _BOOT_COUNTS])
+    diff = X.mcc("a_tp", "a_fp", "a_fn", "a_tn") - X.mcc("b_tp", "b_fp", "b_fn", "b_tn")
+    e = b.select(*keys, diff.alias("diff")).groupBy(*keys).agg(F.sum("diff").alias("total"), F.collect_list("diff").alias("ds"))  # a thousand numbers at most
+    ds = F.array_sort(F.concat("ds", F.array_repeat(F.lit(0.0), F.lit(_PAIR_REPS) - F.size("ds"))))
+    e = e.select(*keys, (F.col("total") / _PAIR_REPS).alias("mean"), ds.alias("ds"))
+
+    def at(p: float) -> F.Column:
+        k = int(p * (_PAIR_REPS - 1))
+        return F.get("ds", F.lit(k)) + F.lit(round(p * (_PAIR_REPS - 1) - k, 6)) * (F.get("ds", F.lit(k + 1)) - F.get("ds", F.lit(k)))
+
+    e = e.select(*keys, "mean", at(0.025).alias("lo"), at(0.975).alias("hi"))
+    return e.groupBy("run", "method_a", "method_b").agg(
+        F.count(F.lit(1)).alias("n_seeds"), F.round(F.avg("mean"), 6).alias("difference"), F.round(F.avg("lo"), 6).alias("low"), F.round(F.avg("hi"), 6).alias("high"),
+        F.bool_and((F.col("lo") > 0) | (F.col("hi") < 0)).alias("excludes_zero_all_seeds"),
+    )
+
+
 def _cluster_rows(spark: SparkSession, d: str) -> DataFrame:
     """Items of the wide view; the label is the cluster, a wrong anchor the population, a rescue the mark."""
     w = V.wide(spark, d)

@@ -248,3 +248,11 @@ def test_every_column_is_standardized(spark, small):
     z = load().queries["standardize_all"](spark, small).groupBy("dim").agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("sd")).collect()
     assert sorted(r["dim"] for r in z) == list(range(64))
     assert all(abs(r["m"]) < 1e-4 and abs(r["sd"] - 1) < 1e-4 for r in z)
+
+
+def test_bootstrap_covers_every_pair_of_methods(spark, small):
+    from tallymill.plans import load
+
+    rows = load().queries["bootstrap_pairs"](spark, small).collect()
+    assert len({(r["method_a"], r["method_b"]) for r in rows}) > 1
+    assert all(r["method_a"] < r["method_b"] and r["low"] <= r["difference"] <= r["high"] and r["n_seeds"] >= 1 for r in rows)
