@@ -276,6 +276,16 @@ def enrichment(spark: SparkSession, d: str) -> DataFrame:
 )
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
     """Chance of the enrichment when marks are dealt anew (50 permutations in md5 order)."""
+    return _permuted(spark, d, 50)
+
+
+@q("permutation_null_500", sql=CORE.sql["permutation_null"].replace("range(50)", "range(500)"))
+def permutation_null_500(spark: SparkSession, d: str) -> DataFrame:
+    """The same with 500 permutations, so that p moves in steps of 0.002."""
+    return _permuted(spark, d, 500)
+
+
+def _permuted(spark: SparkSession, d: str, permutations: int) -> DataFrame:
     r = _cluster_rows(spark, d)
     base = r.agg(F.avg(F.col("rescued").cast("double")).alias("base"))
 
@@ -283,7 +293,7 @@ def permutation_null(spark: SparkSession, d: str) -> DataFrame:
         e = x.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("rescued").cast("double")).alias("rate")).filter("n >= 5").join(F.broadcast(base))
         return e.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("rate") - F.col("base"))) / F.sum("n")).alias("v"))
 
-    p = r.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(49))))
+    p = r.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     p = R.numbers(p, ["r"], "item_id", "k").withColumn("md5", order_hash(F.lit("perm"), F.col("r").cast("string"), F.col("item_id").cast("string")))
     p = cut(G.hash_numbers(p, ["r"], "md5", "item_id", "h").drop("md5"), "dealt")
     x = p.select("r", "k", "cluster").join(p.select("r", F.col("h").alias("k"), "rescued"), ["r", "k"])

@@ -256,3 +256,12 @@ def test_bootstrap_covers_every_pair_of_methods(spark, small):
     rows = load().queries["bootstrap_pairs"](spark, small).collect()
     assert len({(r["method_a"], r["method_b"]) for r in rows}) > 1
     assert all(r["method_a"] < r["method_b"] and r["low"] <= r["difference"] <= r["high"] and r["n_seeds"] >= 1 for r in rows)
+
+
+def test_permutation_null_500_uses_five_hundred(spark, small):
+    from tallymill.plans import load
+
+    core = load()
+    assert "range(500)" in core.sql["permutation_null_500"] and "range(50)" in core.sql["permutation_null"]
+    p = core.queries["permutation_null_500"](spark, small).first()["p"]
+    assert abs(p * 500 - round(p * 500)) < 1e-6
