@@ -43,6 +43,8 @@ OPEN_WORDS = {
 LEAD_LABELS = "final answer|answer|response|question|you asked|q|a|endgültige antwort|antwort|frage|du hast gefragt|sie fragten|réponse finale|réponse|question|vous avez demandé|respuesta final|respuesta|pregunta|usted preguntó|preguntaste"
 LEAD_PHRASES = "the (?:final |correct )?answer (?:is|was)|my answer is|it (?:is|was)|it's|that (?:is|was|would be)|(?:die|meine) antwort (?:ist|lautet)|das (?:ist|war|wäre)|es (?:ist|war)|la réponse (?:est|était)|ma réponse est|c ?'?est|c ?'?était|il s ?'?agit de|(?:la|mi) respuesta (?:es|era)|se trata de|es|fue|era"
 
+LEAD_WORDS = 8  # no phrase above has more words
+
 # What people say before, in and after a refusal.
 POLITE = r"(?:(?:i ?'? ?a?m (?:very |really |so |truly )?sorry|(?:so |very )?sorry|i (?:do |must )?apologi[sz]e|(?:my )?apologies|unfortunately|regrettably|honestly|frankly|as an? (?:ai |large )*(?:language model|model|assistant|ai)|es tut mir (?:sehr |wirklich )?leid|tut mir (?:sehr )?leid|leider|bedauerlicherweise|ehrlich gesagt|entschuldigung|als (?:ki|sprachmodell|ki-sprachmodell|assistent)|je suis (?:vraiment |sincèrement )?désolée?|désolée?|malheureusement|honnêtement|en tant que (?:modèle de langue|modèle de langage|assistant|ia)|lo siento(?: mucho)?|lo lamento|lamentablemente|desafortunadamente|por desgracia|sinceramente|como (?:modelo de lenguaje|asistente|ia))[\s,;:.!]*(?:(?:but|aber|mais|pero|und|and)\b[\s,]*)?)*"
 REFUSALS = (
@@ -71,8 +73,10 @@ REFUSALS = (
 CONTRAST = r"[,;.]\s*(?:but|though|although|yet|however|still|aber|doch|jedoch|mais|cependant|toutefois|pero|aunque|sin embargo)\b"
 GIVES = r"\b(?:the answer (?:is|was)|die antwort (?:ist|lautet)|la réponse est|la respuesta es)\b"
 
-LEAST_SEEN = 200  # occurrences from which a word that never ends a sentence counts as one that cannot
-LEAST_STEM = 3  # occurrences of the longer word from which its beginning counts as broken off
+BROKEN_RATE, SMOOTH = 0.002, 3  # a word this rare beside a longer one that begins with it is broken off; both rates are smoothed
+FINAL_RATE, SMOOTH_FINAL = 0.001, 0.2  # a word that stands before a stop this rarely can't end a sentence
+RAN_OUT = 2  # the rates are so much larger where the generation ran out of tokens
+RAN_OUT_REASONS = ("length", "max_tokens", "max_length")
 LEAST_WORDS = 4  # words from which a text's last word is looked at that way
 
 
@@ -90,7 +94,7 @@ def normal(c: Column) -> Column:
     raw = F.coalesce(c, F.lit(""))
     c = one_width(raw)
     c = F.regexp_replace(c, r"(?i)&nbsp;|<br\s*/?>", " ")
-    c = F.regexp_replace(c, r"</?\p{Alpha}[^<>]{0,80}>", "")
+    c = F.regexp_replace(c, r"</?\p{Alpha}[^<>]*+>", "")
     c = F.regexp_replace(c, r"[\p{Z}\t\x0B\f\x85\u2800\u3164]", " ")
     c = F.regexp_replace(c, r"[\p{C}&&[^\n\r]]|[\u034F\u115F\u1160\u17B4\u17B5\u180B-\u180F\uFE00-\uFE0F]", "")
     c = F.translate(c, "’‘‛`´“”„‟«»…", "'''''\"\"\"\"\"\"" + "…")
@@ -100,14 +104,17 @@ def normal(c: Column) -> Column:
 
 
 def _without_lead(c: Column) -> Column:
-    c = F.regexp_replace(c, rf"(?is)^(?:[^\p{{L}}\p{{N}}]*(?:{LEAD_LABELS})\s*:)+", "")
-    return F.regexp_replace(c, rf"(?is)(?:\s*\b(?:{LEAD_LABELS})\s*:[^\p{{L}}\p{{N}}]*)+$", "")
+    """Without labels at either end; every label ends with a colon."""
+    short = F.regexp_replace(c, rf"(?is)^(?:[^\p{{L}}\p{{N}}]*(?:{LEAD_LABELS})\s*:)+", "")
+    short = F.regexp_replace(short, rf"(?is)(?:\s*\b(?:{LEAD_LABELS})\s*:[^\p{{L}}\p{{N}}]*)+$", "")
+    return F.when(c.contains(":"), short).otherwise(c)
 
 
 def _unquoted(c: Column) -> Column:
     """Without quoted passages: names and titles may be foreign, and others may be cited."""
-    c = F.regexp_replace(c, r'"[^"\n]{0,200}"', " ")
-    return F.regexp_replace(c, r"(?<![\p{L}\p{N}])'(?:[^'\n]|(?<=\p{L})'(?=\p{L})){0,200}'(?![\p{L}\p{N}])", " ")
+    bare = F.regexp_replace(c, r'"[^"\n]*+"', " ")
+    bare = F.regexp_replace(bare, r"(?<![\p{L}\p{N}])'[^'\n]*+(?:(?<=\p{L})'(?=\p{L})[^'\n]*+)*+'(?![\p{L}\p{N}])", " ")
+    return F.when(c.contains('"') | c.contains("'"), bare).otherwise(c)
 
 
 def _hits(words: Column, of: str) -> Column:
@@ -121,7 +128,9 @@ def _any(cols: list[Column]) -> Column:
 
 def pairs(answers: DataFrame) -> DataFrame:
     """Distinct gen_id, question, answer with the forms that the rules look at."""
-    rows = answers.select("gen_id", "question", "answer").filter("gen_id is not null").distinct()
+    reason = F.col("finish_reason") if "finish_reason" in answers.columns else F.lit(None).cast("string")
+    rows = answers.select("gen_id", "question", "answer", F.coalesce(F.lower(F.trim(reason)).isin(*RAN_OUT_REASONS), F.lit(False)).alias("ran_out"))
+    rows = rows.filter("gen_id is not null").distinct()
     rows = rows.withColumn("q", F.trim(normal(F.col("question")))).withColumn("a", normal(F.col("answer")))
     rows = rows.withColumn("body", _without_lead(F.col("a"))).withColumn("end", F.rtrim(F.regexp_replace("a", r"\s+$", "")))
     rows = rows.withColumn("qw", _words(F.col("q"))).withColumn("aw", _words(F.col("body")))
@@ -129,22 +138,24 @@ def pairs(answers: DataFrame) -> DataFrame:
 
 
 def is_empty() -> Column:
-    bare = F.trim(F.regexp_replace(F.lower(F.col("body")), r"[^\p{L}\p{N}']+", " "))
-    only_label = F.trim(F.regexp_replace(F.lower(F.col("a")), r"[^\p{L}\p{N}']+", " ")).rlike(rf"^(?:(?:{LEAD_LABELS})\s*)+$") & F.col("a").contains(":")
-    return (F.regexp_replace(bare, "[' ]", "") == "") | only_label | bare.rlike(rf"^(?:{LEAD_PHRASES})$")
+    bare = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}']+", " "))
+    only_label = F.col("a").contains(":") & bare(F.col("a")).rlike(rf"^(?:(?:{LEAD_LABELS})\s*)+$")
+    lead = (F.size("aw") <= LEAD_WORDS) & bare(F.col("body")).rlike(rf"^(?:{LEAD_PHRASES})$")
+    return ~F.col("body").rlike(r"[\p{L}\p{N}]") | only_label | lead
 
 
 def _refusal_columns(rows: DataFrame) -> DataFrame:
-    """core: the text without its polite beginning; tail: what follows a contrast, in its own case."""
+    """tail: what follows a contrast, in its own case, of texts that begin with a refusal's words; else null."""
     raw = F.trim(F.regexp_replace(_unquoted(F.col("body")), r"\s+", " "))
-    rows = rows.withColumn("core", F.regexp_replace("plain", rf"^[^\p{{L}}]*{POLITE}", ""))
-    return rows.withColumn("tail", F.regexp_extract(F.regexp_replace(raw, rf"(?i)^[^\p{{L}}]*{POLITE}", ""), rf"(?i){CONTRAST}(.*)$", 1))
+    refuses = F.col("plain").rlike(rf"^(?>[^\p{{L}}]*{POLITE})(?:" + "|".join(f"(?:{r})" for r in REFUSALS) + ")")
+    tail = F.regexp_extract(F.regexp_replace(raw, rf"(?i)^[^\p{{L}}]*{POLITE}", ""), rf"(?i){CONTRAST}(.*)$", 1)
+    return rows.withColumn("tail", F.when(refuses, tail))
 
 
 def is_refusal() -> Column:
     """A refusal's words begin the text, and no answer is given after a contrast (a number or a name)."""
     answered = F.col("tail").rlike(r"\p{N}|(?<=[\p{L},] )\p{Lu}\p{Ll}+") | F.col("plain").rlike(GIVES)
-    return F.col("core").rlike("^(?:" + "|".join(f"(?:{r})" for r in REFUSALS) + ")") & ~answered
+    return F.col("tail").isNotNull() & ~answered
 
 
 def _copy_columns(rows: DataFrame) -> DataFrame:
@@ -178,18 +189,21 @@ def is_copy() -> Column:
 
 def is_language() -> Column:
     """The answer's language leads the question's by two function words, one of them found in no other."""
-    wrong = [(F.col("ql") != k) & (F.col(f"a_{k}") >= F.col("a_own") + 2) & (F.col(f"s_{k}") >= 1) for k in LANGUAGES]
+    wrong = []
+    for k in LANGUAGES:
+        others = set(" ".join(FUNCTION_WORDS[x] for x in LANGUAGES if x != k).split())
+        own = " ".join(w for w in dict.fromkeys(FUNCTION_WORDS[k].split()) if w not in others)
+        wrong.append((F.col("ql") != k) & (F.col(f"a_{k}") >= F.col("a_own") + 2) & (_hits(F.col("pf"), own) >= 1))
     return _any(wrong) | F.col("script_differs")
 
 
 def _language_columns(rows: DataFrame) -> DataFrame:
-    words = _words(F.col("plain"))
-    out = rows.withColumn("pw", words)
+    """ql: the question's language; a_en …: function words of each in the answer, a_own those of ql."""
+    every = " ".join(FUNCTION_WORDS.values())
+    functional = lambda words: F.filter(words, lambda w: _among(w, every))
+    out = rows.withColumn("qf", functional(F.col("qw"))).withColumn("pf", functional(_words(F.col("plain"))))
     for k in LANGUAGES:
-        others = set(" ".join(FUNCTION_WORDS[x] for x in LANGUAGES if x != k).split())
-        own = " ".join(w for w in dict.fromkeys(FUNCTION_WORDS[k].split()) if w not in others)
-        out = out.withColumn(f"q_{k}", _hits(F.col("qw"), FUNCTION_WORDS[k])).withColumn(f"a_{k}", _hits(F.col("pw"), FUNCTION_WORDS[k]))
-        out = out.withColumn(f"s_{k}", _hits(F.col("pw"), own))
+        out = out.withColumn(f"q_{k}", _hits(F.col("qf"), FUNCTION_WORDS[k])).withColumn(f"a_{k}", _hits(F.col("pf"), FUNCTION_WORDS[k]))
     best = F.greatest(*[F.col(f"q_{k}") for k in LANGUAGES])
     ql = F.when(best == 0, F.lit(None))
     ql = ql.when(F.col("q").contains("¿"), F.lit("es"))
@@ -200,12 +214,14 @@ def _language_columns(rows: DataFrame) -> DataFrame:
     latin = lambda c: F.length(F.regexp_replace(c, r"[^\p{IsLatin}]", ""))
     letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
     share = lambda c: latin(c) / F.greatest(letters(c), F.lit(1))
-    differs = (letters(F.col("plain")) >= 4) & (letters(F.col("q")) >= 4) & (F.abs(share(F.col("plain")) - share(F.col("q"))) > 0.7)
+    foreign = r"[\p{L}&&[^\p{IsLatin}]]"  # without such letters both shares are 1
+    has = lambda c: c.rlike(r"[^\x00-\x7F]") & c.rlike(foreign)
+    differs = (has(F.col("plain")) | has(F.col("q"))) & (letters(F.col("plain")) >= 4) & (letters(F.col("q")) >= 4) & (F.abs(share(F.col("plain")) - share(F.col("q"))) > 0.7)
     return out.withColumn("a_own", own).withColumn("script_differs", differs)
 
 
 def endings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, inside, final) of all texts, and (stem) of beginnings of words."""
+    """(word, seen, final) of all texts, and (stem, goes_on) of beginnings of words."""
     text = rows.select(F.explode(F.array("q", "a")).alias("t"))
     tokens = F.split(F.lower("t"), r"[^\p{L}\p{M}.!?]+")
     words = text.select(F.explode(F.slice(tokens, F.lit(1), F.greatest(F.lit(0), F.size(tokens) - 1))).alias("w"))  # all but the last
@@ -213,35 +229,48 @@ def endings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = words.select(F.translate("w", ".!?", "").alias("word"), stop.cast("long").alias("f")).filter("word <> ''")
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.sum("f").alias("final"))
     counts = cut(counts, "words")
-    longer = counts.filter((F.col("seen") >= LEAST_STEM) & (F.length("word") > 2))
-    stems = longer.select(F.explode(F.transform(F.sequence(F.lit(2), F.length("word") - 1), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem"))
-    return counts, stems.distinct()
+    # Of each beginning, how often the most frequent word that goes on from it is seen.
+    longer = counts.filter(F.length("word") > 2).select("seen", F.explode(F.transform(F.sequence(F.lit(2), F.length("word") - 1), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem"))
+    return counts, longer.groupBy("stem").agg(F.max("seen").alias("goes_on"))
 
 
 def _ending_columns(rows: DataFrame) -> DataFrame:
-    """last: the last word; stop: a stop ends the text; sure: it breaks off by its form alone."""
-    end = F.col("end")
-    stop = end.rlike(r"[.!?。！？؟][\"')\]*_]*$") & ~end.rlike(r"(?:\.\.\.|…)$")
-    marker = end.rlike(r"\n\s*(?:\d{1,3}[.)]|[-*•])$")  # a bare number alone is an answer
-    opened = F.length(F.regexp_replace(end, r"[^(\[{]", "")) > F.length(F.regexp_replace(F.regexp_replace(end, r"(?m)^\s*\d{1,3}\)", ""), r"[^)\]}]", ""))
-    quoted = (F.length(F.regexp_replace(end, r'[^"]', "")) % 2 == 1) & ~stop
-    comma = end.rlike(r"[\p{L}\p{N}]\s*[,;:(\[{–—-]$")
-    last = F.lower(F.regexp_extract(end, r"([\p{L}\p{M}]+)[^\p{L}\p{M}\p{N}]*$", 1))
+    """stop: a stop ends the text; last: else its last word; sure: it breaks off by its form alone."""
+    end, final = F.col("end"), F.right(F.col("end"), F.lit(1))
+    stops = ".!?。！？؟"
+    stop = (final.isin(*stops) | (final.isin(*"\"')]*_") & end.rlike(rf"[{stops}][\"')\]*_]*$"))) & ~F.endswith(end, F.lit("...")) & (final != "…")
+    marker = end.contains("\n") & end.rlike(r"\n\s*(?:\d{1,3}[.)]|[-*•])$")  # a bare number alone is an answer
+    brackets = F.length(F.regexp_replace(end, r"[^(\[{]", "")) > F.length(F.regexp_replace(F.regexp_replace(end, r"(?m)^\s*\d{1,3}\)", ""), r"[^)\]}]", ""))
+    opened = (end.contains("(") | end.contains("[") | end.contains("{")) & brackets
+    quoted = ((F.length(end) - F.length(F.replace(end, F.lit('"'), F.lit("")))) % 2 == 1) & ~F.col("stop")
+    comma = final.isin(*",;:([{–—-") & end.rlike(r"[\p{L}\p{N}]\s*[,;:(\[{–—-]$")
+    last = F.lower(F.regexp_extract(end, r"(?<![\p{L}\p{M}])([\p{L}\p{M}]++)[^\p{L}\p{M}\p{N}]*+$", 1))
     many = F.size("aw") >= 3
-    open_word = _among(last, " ".join(OPEN_WORDS.values())) & many & ~end.rlike(r"[.!?][\"')\]]*$")
-    rows = rows.withColumn("last", last).withColumn("stop", stop)
+    open_word = _among(F.col("last"), " ".join(OPEN_WORDS.values())) & many
+    rows = rows.withColumn("stop", stop).withColumn("last", F.when(F.col("stop"), "").otherwise(last))
     return rows.withColumn("sure", marker | opened | quoted | (comma & many) | open_word)
 
 
 def truncated(rows: DataFrame) -> DataFrame:
-    """gen_id of answers that break off."""
+    """gen_id of answers that break off.
+
+    Both rates are smoothed, so few occurrences say little at any size of the table: a word counts as
+    broken off if it is rare beside a longer word that begins with it, and as one that can't end a
+    sentence if it hardly ever stands before a stop. Where the generation ran out of tokens, an ending
+    that is undecided otherwise needs less evidence.
+    """
     sure = rows.filter("sure").select("gen_id")
-    maybe = rows.filter(~F.col("sure") & ~F.col("stop") & (F.col("n_words") >= LEAST_WORDS) & (F.col("last") != "")).select("gen_id", "last", "a")
+    maybe = rows.filter(~F.col("sure") & ~F.col("stop") & (F.col("n_words") >= LEAST_WORDS) & (F.col("last") != "")).select("gen_id", "last", "ran_out")
     counts, stems = endings(rows)
-    seen = maybe.join(counts, maybe["last"] == counts["word"], "left")
-    broken = seen.filter("word is null").select("gen_id", "last").join(stems, F.col("last") == F.col("stem"), "left_semi").select("gen_id")
-    never = seen.filter((F.col("seen") >= LEAST_SEEN) & (F.col("final") < 0.001 * F.col("seen"))).select("gen_id")
-    return sure.unionByName(broken).unionByName(never)
+    words = maybe.select("last").distinct().join(counts, F.col("last") == F.col("word"), "left").join(stems, F.col("last") == F.col("stem"), "left")
+    seen, most = F.coalesce("seen", F.lit(0)), F.coalesce("goes_on", F.lit(0))
+    words = words.select(
+        "last",
+        *[(seen + SMOOTH * BROKEN_RATE <= r * most).alias(n) for n, r in (("broken", BROKEN_RATE), ("broken_if", RAN_OUT * BROKEN_RATE))],
+        *[(F.coalesce("final", F.lit(0)) + SMOOTH_FINAL < r * seen).alias(n) for n, r in (("never", FINAL_RATE), ("never_if", RAN_OUT * FINAL_RATE))],
+    )
+    found = maybe.join(words, "last").filter(F.col("broken") | F.col("never") | (F.col("ran_out") & (F.col("broken_if") | F.col("never_if"))))
+    return sure.unionByName(found.select("gen_id"))
 
 
 def defects(answers: DataFrame) -> DataFrame:
@@ -249,12 +278,13 @@ def defects(answers: DataFrame) -> DataFrame:
 
     A null answer is empty; a null question is taken as empty, so nothing is a copy of it and no
     language differs from it. Rows without gen_id are left out; a gen_id with several contents gets
-    the defects of all. finish_reason is not needed: "length" with a complete text is no defect, and
-    what breaks off does so whatever it says. Very long answers are read whole.
+    the defects of all. finish_reason alone decides nothing: "length" with a complete text is no defect,
+    and what breaks off does so whatever it says; it lowers the evidence that an undecided ending needs.
+    Very long answers are read whole.
     """
     rows = _ending_columns(_copy_columns(_refusal_columns(_language_columns(pairs(answers))))).withColumn("empty", is_empty())
     rows = rows.select(
-        "gen_id", "q", "a", "last", "stop", "sure", F.size("aw").alias("n_words"), "empty",
+        "gen_id", "q", "a", "last", "stop", "sure", "ran_out", F.size("aw").alias("n_words"), "empty",
         (~F.col("empty") & is_refusal()).alias("refusal"), (~F.col("empty") & is_copy()).alias("copy"), (~F.col("empty") & is_language()).alias("language"),
     )
     rows = cut(rows, "pairs")
@@ -266,12 +296,12 @@ def defects(answers: DataFrame) -> DataFrame:
 @LLM.query("p4_defects")
 def p4_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every triggered defect of every generation."""
-    return defects(table(spark, sf_dir, "answers", "gen_id", "question", "answer"))
+    return defects(table(spark, sf_dir, "answers", "gen_id", "question", "answer", "finish_reason"))
 
 
 @LLM.query("p4_found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each defective generation with the first defect in the order of the rules."""
-    found = defects(table(spark, sf_dir, "answers", "gen_id", "question", "answer"))
+    found = defects(table(spark, sf_dir, "answers", "gen_id", "question", "answer", "finish_reason"))
     rank = F.array_position(F.array(*[F.lit(x) for x in ORDER]), F.col("defect"))
     return found.groupBy("gen_id").agg(F.min_by("defect", rank).alias("defect"))

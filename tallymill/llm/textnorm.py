@@ -6,7 +6,7 @@ import html
 import re
 import unicodedata
 
-TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]{0,15})(?:\s[^<>]{0,300})?/?>")
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]{0,15})(?:\s[^<>]*)?/?>")
 COMMENT = re.compile(r"<!--.*?-->", re.S)
 # Tags that end a line or a cell; all others stand inside a line.
 BLOCK = frozenset("br p div li ul ol td th tr table h1 h2 h3 h4 h5 h6 hr section article pre blockquote".split())

@@ -38,6 +38,31 @@ def test_a_word_broken_off(spark):
     assert got == {(9, "truncated")}
 
 
+def test_a_stub_that_occurs_by_chance_is_still_broken_off(spark):
+    rows = [(k, Q, "The legislation was short, so " + "legislation " * 300 + "passed.") for k in range(4)]
+    rows += [(8, Q, "A legis stood in one text of many words."), (9, Q, "One cake lost a thin hospital under the legis")]
+    rows += [(20 + k, Q, "The gold ring and the golden cup were found.") for k in range(9)] + [(30, Q, "One cake lost a thin hospital made of gold")]
+    got = {tuple(r) for r in m.defects(spark.createDataFrame(rows, "gen_id long, question string, answer string")).collect()}
+    assert got == {(9, "truncated")}
+
+
+def test_running_out_of_tokens_lowers_the_evidence(spark):
+    schema = "gen_id long, question string, answer string, finish_reason string"
+    rows = [(k, Q, "The legislation was short and the legislation was long.", "length") for k in range(1)]
+    ends = [(8, Q, "One cake lost a thin hospital under the legis", "Length"), (9, Q, "One cake lost a thin hospital under the legis", "stop")]
+    seen = lambda rows: {tuple(r) for r in m.defects(spark.createDataFrame(rows, schema)).collect()}
+    assert seen(rows + ends) == {(8, "truncated")}
+    assert seen([(1, Q, "Velane", "length"), (2, Q, "At the edge of the forest", "length"), (3, Q, "It was Velane.", "length")]) == set()
+
+
+def test_tags_and_quotations_of_any_length(spark):
+    tag = "<a href='" + "x y " * 200 + "'>"
+    quoted = "The novel “" + "Der Turm von der Stadt und dem Land " * 20 + "” by Ravurth."
+    apostrophes = "'" + "it's " * 5000 + "' was Velane's."
+    df = spark.createDataFrame([(1, Q, tag + "</a>"), (2, Q, quoted), (3, Q, apostrophes)], "gen_id long, question string, answer string")
+    assert {tuple(r) for r in m.defects(df).collect()} == {(1, "empty")}
+
+
 def test_null_question_long_text_and_empty_table(spark, extra):
     long = "The bird saw the boat. " * 20000
     df = extra(spark.createDataFrame([(1, None, "Velane"), (2, Q, long), (3, None, None)], "gen_id long, question string, answer string"))
