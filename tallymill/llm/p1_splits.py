@@ -2,7 +2,9 @@
 
 1. Every group value is brought to one key; items that occur under several keys tie those keys.
 2. The ties' connected components are found by star contractions.
-3. Components of the same size and label profile form a bundle; only bundles reach the driver.
+3. Components of the same size and label profile form a bundle; only bundles reach the driver. Of very
+   many kinds, the rarest are put together by size alone, so the bundles stay bounded; quotas count
+   their rows as they are, only their labels are no longer told apart.
 4. A minimum-cost flow spreads the bundles' rows over the splits: deviation from a split's quota costs
    most, deviation from a split's share of a label costs less.
 5. The flow is rounded to whole components, large ones first, each remainder going where the gap is
@@ -13,7 +15,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,7 +26,8 @@ from tallymill.llm.keys import PLAIN, WIDE, folded, group_key
 from tallymill.session import cut
 from tallymill.sources.tables import table
 
-MAX_BUNDLES = 10_000  # bundles sent to the driver; beyond it the profile is coarsened to the main label
+KINDS = 8_000  # kinds of components (size, main label, profile) that have a bundle of their own, most frequent first
+PAIRED = 1_000  # values of a component that a task pairs with all others
 SLOTS, IN_SLOT = 256, 50_000  # hash slots of a bundle: at least so many, and more where a slot would hold more components
 
 
@@ -64,20 +67,26 @@ def quotas(total: int, plan: list[tuple[str, float]]) -> dict[str, int]:
     return out
 
 
-def allocate(bundles: list[tuple[int, str, int]], plan: list[tuple[str, float]]) -> list[list[int]]:
-    """Components of each bundle (size, label, count) for each split of the plan."""
+def size_class(size: Column) -> Column:
+    """The size in three significant digits, rounded down: at most 900 classes to a power of ten."""
+    unit = F.pow(F.lit(10.0), F.greatest(F.lit(0.0), F.floor(F.log10(size.cast("double"))) - 2))
+    return (F.floor(size / unit) * unit).cast("long")
+
+
+def allocate(bundles: list[tuple[float, str, int]], plan: list[tuple[str, float]]) -> list[list[int]]:
+    """Components of each bundle (mean size, label, count) for each split of the plan."""
     names = [k for k, _ in plan]
-    total = sum(s * n for s, _, n in bundles)
+    total = sum(round(s * n) for s, _, n in bundles)
     want = quotas(total, plan)
     by_label: dict[str, int] = {}
     for s, label, n in bundles:
-        by_label[label] = by_label.get(label, 0) + s * n
+        by_label[label] = by_label.get(label, 0) + round(s * n)
     share = {label: quotas(w, plan) for label, w in by_label.items()}
     net, arcs = Network(), {}
     for b, (s, label, n) in enumerate(bundles):
-        net.arc("source", ("bundle", b), s * n)
+        net.arc("source", ("bundle", b), round(s * n))
         for k in names:
-            arcs[b, k] = net.arc(("bundle", b), ("label", label, k), s * n)
+            arcs[b, k] = net.arc(("bundle", b), ("label", label, k), round(s * n))
     for label, own in share.items():
         for k in names:
             net.arc(("label", label, k), ("split", k), own[k])
@@ -91,7 +100,7 @@ def allocate(bundles: list[tuple[int, str, int]], plan: list[tuple[str, float]])
     out = [[0] * len(names) for _ in bundles]
     for b in sorted(range(len(bundles)), key=lambda b: (-bundles[b][0], b)):
         s, label, n = bundles[b]
-        whole = {k: min(net.sent(arcs[b, k]) // s, max(0, left[k]) // s) for k in names}
+        whole = {k: int(min(net.sent(arcs[b, k]) // s, max(0, left[k]) // s)) for k in names}
         rest = n - sum(whole.values())
         for k in names:
             left[k] -= s * whole[k]
@@ -99,7 +108,7 @@ def allocate(bundles: list[tuple[int, str, int]], plan: list[tuple[str, float]])
         while rest > 0:  # the widest gap first; as many at once as it takes for another to be wider
             k = max(names, key=lambda k: (left[k], left_of[label][k], k))
             second = max([left[x] for x in names if x != k], default=0)
-            take = min(rest, max(1, (left[k] - second) // s))
+            take = int(min(rest, max(1, (left[k] - second) // s)))
             whole[k] += take
             left[k] -= s * take
             left_of[label][k] -= s * take
@@ -123,24 +132,30 @@ def assign(items: DataFrame, plan: DataFrame) -> DataFrame:
         F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("main"), F.sum(F.hash("label", "n").cast("long")).alias("profile")
     )
     parts = cut(parts, "parts")
-    kinds = parts.groupBy("size", "main", "profile").agg(F.count(F.lit(1)).alias("n"))
-    exact = kinds.limit(MAX_BUNDLES + 1).count() <= MAX_BUNDLES
-    if not exact:
-        parts = parts.withColumn("profile", F.lit(0).cast("long"))
-        kinds = parts.groupBy("size", "main", "profile").agg(F.count(F.lit(1)).alias("n"))
-    found = kinds.orderBy("size", "main", "profile").collect()
-    slots = max([SLOTS, *(r["n"] // IN_SLOT for r in found)])
-    amounts = allocate([(r["size"], r["main"], r["n"]) for r in found], shares)
+    bundle = ["size", "main", "profile"]
+    kinds = parts.groupBy(*bundle).agg(F.count(F.lit(1)).alias("n"))
+    own = kinds.orderBy(F.desc("n"), *bundle).limit(KINDS + 1).collect()
+    found = [(r["size"], r["main"], r["profile"], r["n"], float(r["size"])) for r in own[:KINDS]]
+    if len(own) > KINDS:  # the rest by classes of their size
+        spark = items.sparkSession
+        kept = spark.createDataFrame([r[:3] for r in found], "size long, main string, profile long").withColumn("kept", F.lit(True))
+        parts = parts.join(F.broadcast(kept), bundle, "left").withColumn("rows", F.col("size"))  # KINDS rows
+        rare = F.col("kept").isNull()
+        parts = parts.select("part", "rows", F.when(rare, -size_class(F.col("size"))).otherwise(F.col("size")).alias("size"), F.when(rare, "").otherwise(F.col("main")).alias("main"), F.when(rare, 0).otherwise(F.col("profile")).alias("profile"))
+        parts = cut(parts, "bundled")
+        rest = parts.filter("size < 0").groupBy(*bundle).agg(F.count(F.lit(1)).alias("n"), F.avg("rows").alias("mean"))
+        found += [(r["size"], r["main"], r["profile"], r["n"], r["mean"]) for r in rest.collect()]  # a row per class
+    found.sort()
+    slots = max([SLOTS, *(n // IN_SLOT for _, _, _, n, _ in found)])
+    amounts = allocate([(int(mean) if mean == int(mean) else mean, main, n) for _, main, _, n, mean in found], shares)
     bounds = []
-    for r, own in zip(found, amounts, strict=True):
+    for (size, main, profile, _, _), amount in zip(found, amounts, strict=True):
         at = 0
-        for (name, _), n in zip(shares, own, strict=True):
+        for (name, _), n in zip(shares, amount, strict=True):
             if n:
-                bounds.append((r["size"], r["main"], r["profile"], at, at + n, name))
+                bounds.append((size, main, profile, at, at + n, name))
             at += n
-    spark = items.sparkSession
-    places = spark.createDataFrame(bounds, "size long, main string, profile long, low long, high long, split string")
-    bundle = ["size", "main", "profile"]
+    places = items.sparkSession.createDataFrame(bounds, "size long, main string, profile long, low long, high long, split string")
     ranked = parts.withColumn("h", F.xxhash64("part", F.lit("place"))).withColumn("slot", F.pmod("h", F.lit(slots)))
     counted = ranked.groupBy(*bundle, "slot").agg(F.count(F.lit(1)).alias("in_slot"))
     before = counted.withColumn(
@@ -149,7 +164,7 @@ def assign(items: DataFrame, plan: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*bundle, "slot").orderBy("h", "part")))
     ranked = ranked.join(before, [*bundle, "slot"]).withColumn("rank", F.col("r") + F.col("before") - 1)
     placed = (
-        ranked.join(F.broadcast(places), bundle)  # at most MAX_BUNDLES times the number of splits
+        ranked.join(F.broadcast(places), bundle)  # KINDS and the classes of size, times the number of splits
         .filter("rank >= low and rank < high")
         .select("part", "split")
     )
@@ -205,7 +220,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different group values that must be in one split, from the assigned rows."""
     out = assign(table(spark, sf_dir, "items", "item_id", "group_id"), table(spark, sf_dir, "split_plan"))
     values = cut(out.filter("value is not null").select("value", "part", "split").distinct(), "values")
-    many = values.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("part")
+    # A component's pairs are dealt over tasks: one side by a hash, the other once for each.
+    many = values.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("part", F.ceil(F.col("n") / PAIRED).cast("int").alias("tasks"))
     values = values.join(many, "part")
-    a, b = values.withColumnRenamed("value", "group_a"), values.withColumnRenamed("value", "group_b")
-    return a.join(b, ["part", "split"]).filter("group_a < group_b").select("group_a", "group_b")
+    a = values.select("part", "split", F.pmod(F.xxhash64("value"), F.col("tasks")).cast("int").alias("task"), F.col("value").alias("group_a"))
+    b = values.select("part", "split", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.col("value").alias("group_b"))
+    return a.join(b, ["part", "split", "task"]).filter("group_a < group_b").select("group_a", "group_b")

@@ -98,3 +98,30 @@ def test_allocation_is_whole_and_near_quota():
 def test_found_on_the_small_tables(spark, small):
     got = [tuple(r) for r in m.p1_found(spark, small).collect()]
     assert len(got) == len(set(got)) and all(a < b for a, b in got)
+
+
+def test_more_kinds_than_bundles(spark, monkeypatch):
+    """The rarest kinds share bundles by size; no row is lost and the shares hold."""
+    monkeypatch.setattr(m, "KINDS", 3)
+    rng = random.Random(5)
+    rows = [(f"{'abcd'[k % 4]}:{k}", f"g:{int(rng.paretovariate(0.7)) % 90}") for k in range(3000)]
+    out = run(spark, rows)
+    assert len(out) == len(rows)
+    per = {}
+    for r in out:
+        per.setdefault(r["part"], set()).add(r["split"])
+    assert all(len(s) == 1 for s in per.values())
+    biggest = max(sum(r["part"] == p for r in out) for p in per)
+    for name, share in PLAN:
+        assert abs(sum(r["split"] == name for r in out) - share * len(rows)) <= biggest
+
+
+def test_sizes_in_classes(spark):
+    got = [r[0] for r in spark.createDataFrame([(1,), (999,), (1000,), (1009,), (123456,)], "s long").select(m.size_class(m.F.col("s"))).collect()]
+    assert got == [1, 999, 1000, 1000, 123000]
+
+
+def test_a_component_of_many_values_is_dealt_over_tasks(spark, small, monkeypatch):
+    want = sorted(tuple(r) for r in m.p1_found(spark, small).collect())
+    monkeypatch.setattr(m, "PAIRED", 2)
+    assert sorted(tuple(r) for r in m.p1_found(spark, small).collect()) == want
