@@ -95,6 +95,7 @@ class Encoder:
         self.find = regex.compile(WORDS).findall
         self.of_byte, merges = vocabulary(path)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "preserve_insertion_order": "false"})
+        self.db.execute("set temp_directory = ''")  # nothing is spilled to a worker's own disk
         self.db.register("given", merges)
         self.db.execute("create table merges as select * from given")
         self.db.unregister("given")
