@@ -4,11 +4,11 @@ The training text becomes a positional inverted index that is distributed by doc
 the shared folder: a row is a shard of documents with its terms and, for every term, the sorted
 positions at which it stands (its postings). Making it needs no shuffle, and searching it reads whole
 shards where they lie; of a shard, only the postings of the passages' terms are looked at. Only the
-test passages, a small table, go to every task, and their size is checked first.
+test passages go to every task, in parts of bounded size, a search for each part.
 
-Exact matches: a run of 16 words holds a whole block of eight that starts at a multiple of eight. Each
-such block of each passage is looked up from the postings of its term that is rarest in the shard,
-adjusted by the term's offset; the other terms thin out the candidates. Those left are grown to runs.
+Exact matches: a run of 16 words holds a whole block of eight that starts at a multiple of eight. Blocks
+whose terms all occur in the shard are looked up by intersecting their terms' postings, each adjusted
+by its term's offset, from the rarest term on. The places left are grown to runs.
 
 Proximity matches: of the half of a passage's positions that are rarest in the shard, a text with three
 fifths of its words in order must hold a tenth of the passage's words. Their postings, adjusted by the
@@ -35,7 +35,7 @@ RUN, BLOCK = 16, 8
 SHARE = 0.6
 GAP = 2
 SHARD_WORDS = 500_000
-MAX_PASSAGE_WORDS = 20_000_000  # words of all passages that are sent to every task
+PART = 120_000_000  # characters of passages that are sent to every task at once
 
 
 class Passages:
@@ -49,6 +49,12 @@ class Passages:
             if words:
                 self.ids.append(i)
                 self.words.append(np.array([self.terms.setdefault(w, len(self.terms)) for w in words], np.int32))
+        self.all = np.concatenate(self.words) if self.words else np.zeros(0, np.int32)
+        self.first = np.cumsum([0, *[len(w) for w in self.words]])
+        # The blocks of all passages: which passage, where it begins, its terms.
+        at = [(k, s) for k, w in enumerate(self.words) for s in range(0, len(w) - BLOCK + 1, BLOCK)]
+        self.of, self.start = (np.array([x[j] for x in at], np.int64) for j in (0, 1))
+        self.blocks = self.all[(self.first[self.of] + self.start)[:, None] + np.arange(BLOCK)] if at else np.zeros((0, BLOCK), np.int32)
 
 
 INDEX = "doc_ids array<{kind}>, starts binary, terms array<string>, bounds binary, positions binary"
@@ -94,22 +100,28 @@ class Shard:
         return np.searchsorted(self.starts, at, side="right") - 1
 
 
-def _exact(shard: Shard, p: np.ndarray, least: int) -> set[int]:
-    """Documents with ``least`` words of the passage in a row."""
-    found: set[int] = set()
+def _among(postings: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places are in the (sorted) postings."""
+    k = np.minimum(np.searchsorted(postings, at), len(postings) - 1)
+    return postings[k] == at
+
+
+def _exact(shard: Shard, passages: Passages, least: int) -> list[set[int]]:
+    """For each passage, the documents with ``least`` of its words in a row."""
+    found: list[set[int]] = [set() for _ in passages.words]
     flat = shard.flat
-    for s in range(0, len(p) - BLOCK + 1, BLOCK):
-        block = p[s : s + BLOCK]
+    for k in np.flatnonzero((shard.counts[passages.blocks] > 0).all(axis=1)):
+        block, p, s = passages.blocks[k], passages.words[passages.of[k]], int(passages.start[k])
+        own = found[passages.of[k]]
         by_count = np.argsort(shard.counts[block], kind="stable")
         at = shard.postings(int(block[by_count[0]])) - int(by_count[0])
-        at = at[at >= 0]
         for o in by_count[1:]:
+            at = at[_among(shard.postings(int(block[o])), at + o)]
             if not len(at):
                 break
-            at = at[flat[at + o] == block[o]]
         for a in at:
             d = int(shard.doc(int(a)))
-            if d in found:
+            if d in own:
                 continue
             lo, hi = int(a), int(a) + BLOCK
             i, j = s, s + BLOCK
@@ -118,7 +130,7 @@ def _exact(shard: Shard, p: np.ndarray, least: int) -> set[int]:
             while j < len(p) and flat[hi] == p[j]:
                 hi, j = hi + 1, j + 1
             if hi - lo >= least:
-                found.add(d)
+                own.add(d)
     return found
 
 
@@ -155,10 +167,8 @@ def has(terms: np.ndarray, p: np.ndarray) -> int:
 def _near(shard: Shard, p: np.ndarray, known: set[int], share: float) -> set[int]:
     """Documents with ``share`` of the passage's words in order in one stretch."""
     n = len(p)
-    if n < 3:
-        return set()
     rare = np.argsort(shard.counts[p], kind="stable")[: (n + 1) // 2]
-    need = max(2, int(np.ceil(len(rare) - (1.0 - share) * n - 1e-9)))
+    need = max(1, int(np.ceil(len(rare) - (1.0 - share) * n - 1e-9)))
     lists = [shard.postings(int(p[i])) for i in rare]
     size = np.array([len(x) for x in lists])
     if not size.sum():
@@ -199,12 +209,14 @@ def _near(shard: Shard, p: np.ndarray, known: set[int], share: float) -> set[int
 
 def search(shard: Shard, passages: Passages, least: int = RUN, share: float = SHARE) -> list[tuple[int, int]]:
     """(number of the document, number of the passage) of all matches in one shard."""
-    out = []
-    for k, p in enumerate(passages.words):
-        exact = _exact(shard, p, least)
-        for d in exact | _near(shard, p, exact, share):
-            out.append((d, k))
-    return out
+    if not passages.words:
+        return []
+    exact = _exact(shard, passages, least)
+    # Enough of a passage's places must have their word anywhere in the shard.
+    present = np.add.reduceat(shard.counts[passages.all] > 0, passages.first[:-1], dtype=np.int64)
+    for k in np.flatnonzero(present >= np.ceil(share * np.diff(passages.first) - 1e-9)):
+        exact[k] |= _near(shard, passages.words[k], exact[k], share)
+    return [(d, k) for k, own in enumerate(exact) for d in own]
 
 
 def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,17 +258,27 @@ def search_index(index: DataFrame, tests: DataFrame, test_id: str = "eval_id", p
     """(doc_id, eval_id) of every document of the index that holds a passage or enough of it; distinct.
 
     Null and empty passages match nothing; null ids are left out; equal passages are found under each
-    of their ids.
+    of their ids. Of a passage of one or two words, all have to stand in the text, as three fifths of
+    them are one and two.
     """
     rows = tests.select(test_id, passage).filter(F.col(test_id).isNotNull() & F.col(passage).isNotNull())
+    rows = rows.distinct().withColumn("part", F.lit(0))
     size = rows.agg(F.coalesce(F.sum(F.length(passage)), F.lit(0))).first()[0]
-    if size > 6 * MAX_PASSAGE_WORDS:
-        raise ValueError(f"{size} characters of passages are more than a task should hold; search them in parts")
-    passages = Passages([(r[0], plain_words(r[1])) for r in rows.distinct().collect()])
+    parts = 1 + size // PART
+    if parts > 1:
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(test_id), F.lit(parts)))
+    out: DataFrame | None = None
+    for k in range(parts):
+        passages = Passages([(r[0], plain_words(r[1])) for r in rows.filter(F.col("part") == k).select(test_id, passage).collect()])
+        own = _search_part(index, passages, tests.schema[test_id].dataType.simpleString(), test_id, doc_id)
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
+def _search_part(index: DataFrame, passages: Passages, test_kind: str, test_id: str, doc_id: str) -> DataFrame:
     known = pa.array(list(passages.terms), pa.string())
     doc_kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    test_kind = tests.schema[test_id].dataType
-    to_test = pa.string() if test_kind.simpleString() == "string" else pa.int64() if test_kind.simpleString() == "bigint" else pa.int32()
+    to_test = pa.string() if test_kind == "string" else pa.int64() if test_kind == "bigint" else pa.int32()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,8 +289,7 @@ def search_index(index: DataFrame, tests: DataFrame, test_id: str = "eval_id", p
                 a = ids.take(pa.array([d for d, _ in hits], pa.int64()))
                 yield pa.RecordBatch.from_arrays([a, pa.array([passages.ids[p] for _, p in hits], to_test)], names=[doc_id, test_id])
 
-    out = index.mapInArrow(run, f"`{doc_id}` {doc_kind}, `{test_id}` {test_kind.simpleString()}")
-    return out.distinct()
+    return index.mapInArrow(run, f"`{doc_id}` {doc_kind}, `{test_id}` {test_kind}")
 
 
 def leaks(documents: DataFrame, tests: DataFrame) -> DataFrame:

@@ -101,3 +101,29 @@ def test_empty_tables(spark):
 def test_clean():
     assert clean("cafÃ© a<br>b &amp; c") == "café a\nb & c"
     assert plain_words("Ｆｕｌｌ ﬁt x²") == ["full", "fit", "x2"]
+
+
+def test_passages_are_searched_in_parts(spark, monkeypatch):
+    passages, docs = corpus(random.Random(7))
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    ev = spark.createDataFrame([(e, " ".join(p)) for e, p in enumerate(passages)], "eval_id long, passage string")
+    monkeypatch.setattr(m, "PART", 300)
+    got = [tuple(r) for r in m.leaks(df, ev).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(passages, docs)
+
+
+def test_short_passages():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    few = [f"v{k}" for k in range(12)]
+    docs = [[rng.choice(few) for _ in range(rng.randint(1, 9))] for _ in range(60)]
+    passages = [[rng.choice(few) for _ in range(n)] for n in range(1, 13)]
+    p = m.Passages(list(enumerate(passages)))
+    row = m.index_row(docs)
+    hits = {(d, p.ids[k]) for d, k in m.search(m.Shard(row[0], pa.array(row[1]), row[2], row[3], pa.array(list(p.terms))), p)}
+    assert hits == brute(passages, docs)
+
+
+def test_tags_of_any_length():
+    assert plain_words("one <a href='" + "x y " * 400 + "'>two</a> three") == ["one", "two", "three"]
