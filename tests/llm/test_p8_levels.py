@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from tallymill.functions import trees
@@ -27,9 +29,9 @@ def test_short_null_and_odd_texts(spark, small):
 
 
 def test_language_is_read_from_the_text():
-    assert m.language("der hund und die katze sind in dem haus".split(), "en") == "de"
-    assert m.language(["xyz"], "fr-FR") == "fr"
-    assert m.language(["xyz"], None) == "en"
+    assert m.language(Counter("der hund und die katze sind in dem haus".split()), "en") == "de"
+    assert m.language(Counter(["xyz"]), "fr-FR") == "fr"
+    assert m.language(Counter(["xyz"]), None) == "en"
 
 
 def test_trees_fit_a_step():
@@ -38,3 +40,23 @@ def test_trees_fit_a_step():
     y = (x[:, 2] > 0.4) * 2.0 + x[:, 0]
     model = trees.fit(x, y, trees=150)
     assert np.abs(model.predict(x) - y).mean() < 0.1
+
+
+def test_diversity_looks_at_the_whole_text():
+    rng = np.random.default_rng(1)
+    for n, width in ((0, 5), (3, 5), (5, 5), (6, 5), (200, 7), (400, 100)):
+        w = [f"w{k}" for k in rng.integers(0, 40, n)]
+        runs = [len(set(w[a : a + width])) / width for a in range(n - width + 1)] if n > width else [len(set(w)) / max(1, n)]
+        assert abs(m.diversity(w, width) - sum(runs) / len(runs)) < 1e-12
+    begin = [f"b{k}" for k in range(100)]
+    assert m.diversity(begin + ["same"] * 400) < m.diversity(begin + [f"c{k}" for k in range(400)])
+
+
+def test_accuracy_is_counted_with_cuts_of_other_folds(spark, small, monkeypatch):
+    """Cuts that fit their own fold by chance must not show in the figure."""
+    seen = []
+    real = m._cuts
+    monkeypatch.setattr(m, "_cuts", lambda s, y, g: seen.append(len(s)) or real(s, y, g))
+    grader = m.trained(spark.read.parquet(f"{small}/graded_texts.parquet"))
+    n = sum(v[1] for v in grader.accuracy.values())
+    assert seen[0] == n and len(seen) == 1 + m.FOLDS and all(k < n for k in seen[1:]) and sum(n - k for k in seen[1:]) == n
