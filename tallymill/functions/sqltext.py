@@ -55,8 +55,11 @@ def auroc(source: str, by: str, name: str = "roc") -> str:
            from {name}_c group by all)"""
 
 
+SCOPES = "unnest(list_filter(['pooled', dataset, case when dataset <> 'coqa' then 'pooled_no_coqa' end], lambda x: x is not null))"
+
+
 def scoped(source: str, name: str = "sc") -> str:
-    return f"{name} as (select *, unnest(['pooled', dataset]) as scope from {source})"
+    return f"{name} as (select *, {SCOPES} as scope from {source})"
 
 
 def threshold(source: str, by: str, name: str = "thr") -> str:

@@ -47,7 +47,7 @@ def _cells() -> list[Column]:
 
 @q(
     "kappa_pairs",
-    sql=S.with_(V.SQL_PREDICTIONS, SQL_PAIRS, f"c as (select unnest(['pooled', dataset]) as scope, ma, mb, pa, pb from pr)", f"k as (select scope, ma as method_a, mb as method_b, count(*) as n, {_CELLS} from c group by all having count(*) >= 20)")
+    sql=S.with_(V.SQL_PREDICTIONS, SQL_PAIRS, f"c as (select unnest(list_filter(['pooled', dataset, case when dataset <> 'coqa' then 'pooled_no_coqa' end], lambda x: x is not null)) as scope, ma, mb, pa, pb from pr)", f"k as (select scope, ma as method_a, mb as method_b, count(*) as n, {_CELLS} from c group by all having count(*) >= 20)")
     + f"select scope, method_a, method_b, n, round((n11 + n00) / cast(n as double), 9) as agreement, round({S.kappa('n11', 'n10', 'n01', 'n00')}, 9) as kappa from k",
 )
 def kappa_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +182,7 @@ def label_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @q(
     "oracle_bound",
-    sql=S.with_(V.SQL_PREDICTIONS, "o as (select run, seed, fold, dataset, item_id, y, bool_or(pred = y) as any_right, count(*) as k from pred where pred is not null and not starts_with(method, 'union') group by all)", "s as (select unnest(['pooled', dataset]) as scope, y, case when any_right then y else 1 - y end as pred, any_right from o)", f"c as (select scope, count(*) as n, avg(cast(any_right as int)) as coverage, {S.confusion()} from s group by all)")
+    sql=S.with_(V.SQL_PREDICTIONS, "o as (select run, seed, fold, dataset, item_id, y, bool_or(pred = y) as any_right, count(*) as k from pred where pred is not null and not starts_with(method, 'union') group by all)", "s as (select unnest(list_filter(['pooled', dataset, case when dataset <> 'coqa' then 'pooled_no_coqa' end], lambda x: x is not null)) as scope, y, case when any_right then y else 1 - y end as pred, any_right from o)", f"c as (select scope, count(*) as n, avg(cast(any_right as int)) as coverage, {S.confusion()} from s group by all)")
     + f"select scope, n, round(coverage, 9) as coverage, round({S.mcc()}, 9) as oracle_mcc from c",
 )
 def oracle_bound(spark: SparkSession, d: str) -> DataFrame:
@@ -299,7 +299,7 @@ def items_right(spark: SparkSession, d: str) -> DataFrame:
 
 @q(
     "headroom",
-    sql=S.with_(V.SQL_PREDICTIONS, _ITEMS_RIGHT, "s as (select unnest(['pooled', dataset]) as scope, *, case when anchor_right = 1 or others_right > 0 then y else 1 - y end as pred from it where anchor_right is not null)", f"c as (select scope, count(*) as n, count(*) filter (where anchor_right = 0) as n_wrong, count(*) filter (where anchor_right = 0 and others_right > 0) as rescued, count(*) filter (where anchor_right = 0 and others_right = 1) as reached_by_one, count(*) filter (where anchor_right = 1 and others_right = 0) as only_anchor, {S.confusion()} from s group by all)")
+    sql=S.with_(V.SQL_PREDICTIONS, _ITEMS_RIGHT, "s as (select unnest(list_filter(['pooled', dataset, case when dataset <> 'coqa' then 'pooled_no_coqa' end], lambda x: x is not null)) as scope, *, case when anchor_right = 1 or others_right > 0 then y else 1 - y end as pred from it where anchor_right is not null)", f"c as (select scope, count(*) as n, count(*) filter (where anchor_right = 0) as n_wrong, count(*) filter (where anchor_right = 0 and others_right > 0) as rescued, count(*) filter (where anchor_right = 0 and others_right = 1) as reached_by_one, count(*) filter (where anchor_right = 1 and others_right = 0) as only_anchor, {S.confusion()} from s group by all)")
     + f"select scope, n, n_wrong, rescued, reached_by_one, only_anchor, round(rescued / nullif(cast(n_wrong as double), 0), 9) as exploitable, round({S.mcc()}, 9) as ceiling_mcc from c",
 )
 def headroom(spark: SparkSession, d: str) -> DataFrame:
@@ -377,7 +377,7 @@ def required_items(spark: SparkSession, d: str) -> DataFrame:
 
 @q(
     "oracle_table",
-    sql=S.with_(V.SQL_PREDICTIONS, S.scoped("pred"), f"c as (select scope, method, {S.confusion()} from sc where pred is not null group by all)", f"m as (select scope, method, {S.mcc()} as m from c)", "o as (select run, seed, fold, dataset, item_id, y, bool_or(pred = y) as any_right from pred where pred is not null and not starts_with(method, 'union') group by all)", "os as (select unnest(['pooled', dataset]) as scope, y, case when any_right then y else 1 - y end as pred from o)", f"oc as (select scope, {S.confusion()} from os group by all)", f"om as (select scope, {S.mcc()} as oracle from oc)", "b as (select scope, max(m) filter (where not starts_with(method, 'union')) as best_single, arg_max(method, struct_pack(m := round(m, 12), n := method)) filter (where not starts_with(method, 'union')) as best_method, max(m) filter (where starts_with(method, 'union')) as best_ensemble from m group by all)")
+    sql=S.with_(V.SQL_PREDICTIONS, S.scoped("pred"), f"c as (select scope, method, {S.confusion()} from sc where pred is not null group by all)", f"m as (select scope, method, {S.mcc()} as m from c)", "o as (select run, seed, fold, dataset, item_id, y, bool_or(pred = y) as any_right from pred where pred is not null and not starts_with(method, 'union') group by all)", "os as (select unnest(list_filter(['pooled', dataset, case when dataset <> 'coqa' then 'pooled_no_coqa' end], lambda x: x is not null)) as scope, y, case when any_right then y else 1 - y end as pred from o)", f"oc as (select scope, {S.confusion()} from os group by all)", f"om as (select scope, {S.mcc()} as oracle from oc)", "b as (select scope, max(m) filter (where not starts_with(method, 'union')) as best_single, arg_max(method, struct_pack(m := round(m, 12), n := method)) filter (where not starts_with(method, 'union')) as best_method, max(m) filter (where starts_with(method, 'union')) as best_ensemble from m group by all)")
     + "select scope, round(oracle, 9) as oracle, best_method, round(best_single, 9) as best_single, round(best_ensemble, 9) as best_ensemble, round(oracle - greatest(best_single, coalesce(best_ensemble, best_single)), 9) as unexploited from b join om using (scope)",
 )
 def oracle_table(spark: SparkSession, d: str) -> DataFrame:

@@ -348,7 +348,7 @@ _SOFT = "v as (select item_id, dataset, fold, y, round(avg(score), 12) as score
 _RANKED = """
 rk as (select *, (rank() over w + (count(*) over (partition by method, score) - 1) / 2e0) / count(*) over (partition by method) as rs from emb window w as (partition by method order by score)),
 v as (select item_id, dataset, fold, y, round(avg(rs), 12) as score from rk group by all)"""
-_APPLIED = "vm as (select 'vote' as method, * from v), " + sql_held_out("vm", "method") + ", ap as (select vm.*, cast(score >= t.threshold as int) as pred from vm join ho t using (method, fold)), sc as (select *, unnest(['pooled', dataset]) as scope from ap), "
+_APPLIED = "vm as (select 'vote' as method, * from v), " + sql_held_out("vm", "method") + ", ap as (select vm.*, cast(score >= t.threshold as int) as pred from vm join ho t using (method, fold)), sc as (select *, unnest(list_filter(['pooled', dataset, case when dataset <> 'coqa' then 'pooled_no_coqa' end], lambda x: x is not null)) as scope from ap), "
 
 
 def soft(p: DataFrame) -> DataFrame:
@@ -471,7 +471,7 @@ def vote_k2_k3(spark: SparkSession, d: str) -> DataFrame:
 
 @q(
     "best_single_frozen",
-    sql=S.with_(V.SQL_PREDICTIONS, f"c as (select method, {S.confusion()} from pred group by all)", f"b as (select arg_max(method, struct_pack(m := round({S.mcc()}, 12), n := method)) as method from c)", "s as (select unnest(['pooled', dataset]) as scope, * from pred where method = (select method from b))", f"x as (select scope, method, {S.confusion()} from s group by all)")
+    sql=S.with_(V.SQL_PREDICTIONS, f"c as (select method, {S.confusion()} from pred group by all)", f"b as (select arg_max(method, struct_pack(m := round({S.mcc()}, 12), n := method)) as method from c)", "s as (select unnest(list_filter(['pooled', dataset, case when dataset <> 'coqa' then 'pooled_no_coqa' end], lambda x: x is not null)) as scope, * from pred where method = (select method from b))", f"x as (select scope, method, {S.confusion()} from s group by all)")
     + f"select scope, method, round({S.mcc()}, 9) as mcc from x",
 )
 def best_single_frozen(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,6 @@ from tallymill.functions import sqltext as S
 from tallymill.functions.expressions import out
 from tallymill.operators import ranked as R
 from tallymill.registry import CORE
-from tallymill.session import cut
 from tallymill.sources import views as V
 
 q = CORE.query
@@ -26,12 +25,12 @@ def mcc_by_method(spark: SparkSession, d: str) -> DataFrame:
 
 @q(
     "metrics_by_scope",
-    sql=S.with_(V.SQL_BIG, S.scoped("big"), f"c as (select scope, method, {S.confusion()} from sc group by all having min(y) <> max(y))")
+    sql=S.with_(V.SQL_BIG, S.scoped("big"), f"c as (select scope, method, {S.confusion()} from sc where scope <> 'pooled_no_coqa' group by all having min(y) <> max(y))")
     + f"select *, round({S.mcc()}, 9) as mcc, round({S.accuracy()}, 9) as accuracy from c",
 )
 def metrics_by_scope(spark: SparkSession, d: str) -> DataFrame:
     """Counts, MCC and accuracy over all line items; scopes with one class are left out."""
-    rows = R.scoped(V.big(spark, d)).groupBy("scope", "method").agg(*X.confusion(), R.two_classes().alias("two")).filter("two").drop("two")
+    rows = R.scoped(V.big(spark, d), no_coqa=False).groupBy("scope", "method").agg(*X.confusion(), R.two_classes().alias("two")).filter("two").drop("two")
     return rows.select("*", out(X.mcc()).alias("mcc"), out(X.accuracy()).alias("accuracy"))
 
 
@@ -72,8 +71,8 @@ def full_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @q("auroc_by_scope", sql=S.with_(V.SQL_BIG, S.scoped("big"), S.auroc("sc", "scope, method")) + "select scope, method, n_pos, n_neg, round(auroc, 9) as auroc from roc")
 def auroc_by_scope(spark: SparkSession, d: str) -> DataFrame:
-    """AUROC over all line items, ties averaged."""
-    return R.auroc(R.scoped(V.big(spark, d)), ["scope", "method"]).withColumn("auroc", out("auroc"))
+    """AUROC over all line items, ties averaged; distinct scores are counted by data set and added up by scope."""
+    return R.auroc(V.big(spark, d), ["scope", "method"]).withColumn("auroc", out("auroc"))
 
 
 @q(
@@ -125,25 +124,14 @@ _GRID = [round(0.05 + 0.01 * k, 2) for k in range(91)]
 def held_out_threshold(p: DataFrame, by: list[str], grid: list[float] = _GRID) -> DataFrame:
     """(by…, fold, threshold): for each fold, the quantile of the other folds' scores with their best MCC.
 
-    Equal MCCs go to the first grid point. Rows are counted by (fold, score); every distinct score then
-    falls between two quantiles, and the counts beyond each quantile are running sums over those cells.
+    Equal MCCs go to the first grid point.
     """
-    cells = p.filter("score is not null").groupBy(*by, "fold", "score").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
-    held = cells.groupBy(*by).agg(F.collect_set("fold").alias("folds"))
-    train = cells.join(held, by).withColumn("held", F.explode("folds")).filter("fold <> held")
-    # Distinct scores and their quantiles are read by several branches: each is written once.
-    train = cut(train.groupBy(*by, "held", "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")), "train")
-    key = [*by, "held"]
-    cuts = cut(R.percentiles(train, key, "score", grid, weight="n"), "cuts")
-    # The number of quantiles that a score reaches; they rise with their place in the grid.
-    reach = F.size(F.filter("cuts", lambda c: c <= F.col("score")))
-    bins = train.join(cuts, key).withColumn("reach", reach).groupBy(*key, "reach").agg(F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
-    bins = cuts.select(*key, F.explode(F.sequence(F.lit(0), F.lit(len(grid)))).alias("reach")).join(bins, [*key, "reach"], "left").na.fill(0, ["pos", "neg"])
-    above = Window.partitionBy(*key).orderBy(F.desc("reach")).rowsBetween(Window.unboundedPreceding, 0)  # one row per grid point
-    every = Window.partitionBy(*key)
-    bins = bins.withColumn("tp", F.sum("pos").over(above)).withColumn("fp", F.sum("neg").over(above)).withColumn("fn", F.sum("pos").over(every) - F.col("tp")).withColumn("tn", F.sum("neg").over(every) - F.col("fp"))
-    best = bins.filter("reach > 0").groupBy(*key).agg(F.max_by("reach", F.struct(F.round(X.mcc(), 12), -F.col("reach"))).alias("k"))
-    return best.join(cuts, key).select(*by, F.col("held").alias("fold"), F.element_at("cuts", F.col("k").cast("int")).alias("threshold"))
+    rows = p.filter("score is not null and y is not null")
+    g = R.held_out_grid(rows, by, "score", {"pos": F.col("y")}, grid)
+    fn, tn = F.col("below_pos"), F.col("n_below") - F.col("below_pos")
+    g = g.select(*by, "held", "k", "t", fn.alias("fn"), tn.alias("tn"), (F.col("total_pos") - fn).alias("tp"), (F.col("n") - F.col("total_pos") - tn).alias("fp"))
+    best = F.max_by("t", F.struct(F.round(X.mcc(), 12), -F.col("k")))
+    return g.groupBy(*by, F.col("held").alias("fold")).agg(best.alias("threshold"))
 
 
 def sql_held_out(source: str, by: str, name: str = "ho") -> str:
@@ -185,9 +173,8 @@ _COVERAGES = (0.5, 0.7, 0.8, 0.9, 1.0)
 )
 def risk_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Share of positives among the rows kept at each coverage, lowest scores first."""
-    p = R.places(V.predictions(spark, d).filter("score is not null"), ["seed", "method"], "score", "item_id")
-    kept = p.withColumn("coverage", F.explode(F.array(*[F.lit(c) for c in _COVERAGES]))).filter(F.col("r") <= F.greatest(F.lit(1.0), F.bround(F.col("coverage") * F.col("n"), 0)))
-    return kept.groupBy("seed", "method", "coverage").agg(F.count(F.lit(1)).alias("n_kept"), out(F.avg(F.col("y").cast("double"))).alias("risk"))
+    k = R.kept_at(V.predictions(spark, d).filter("score is not null"), ["seed", "method"], "score", "item_id", "y", list(_COVERAGES))
+    return k.select("seed", "method", F.get(F.array(*[F.lit(c) for c in _COVERAGES]), F.col("g")).alias("coverage"), F.col("m").alias("n_kept"), out(F.col("pos") / F.col("m").cast("double")).alias("risk"))
 
 
 @q(
@@ -197,9 +184,9 @@ def risk_coverage(spark: SparkSession, d: str) -> DataFrame:
 )
 def precision_at(spark: SparkSession, d: str) -> DataFrame:
     """Precision among the highest scores at each flag rate."""
-    p = R.places(V.predictions(spark, d).filter("score is not null"), ["seed", "method"], "score", "item_id", largest=True)
-    kept = p.withColumn("flag_rate", F.explode(F.array(F.lit(0.05), F.lit(0.1), F.lit(0.2)))).filter(F.col("r") <= F.greatest(F.lit(1.0), F.bround(F.col("flag_rate") * F.col("n"), 0)))
-    return kept.groupBy("seed", "method", "flag_rate").agg(F.count(F.lit(1)).alias("n_flagged"), out(F.avg(F.col("y").cast("double"))).alias("prec"))
+    rates = [0.05, 0.1, 0.2]
+    k = R.kept_at(V.predictions(spark, d).filter("score is not null"), ["seed", "method"], "score", "item_id", "y", rates, largest=True)
+    return k.select("seed", "method", F.get(F.array(*[F.lit(c) for c in rates]), F.col("g")).alias("flag_rate"), F.col("m").alias("n_flagged"), out(F.col("pos") / F.col("m").cast("double")).alias("prec"))
 
 
 @q(
@@ -214,14 +201,8 @@ def precision_at(spark: SparkSession, d: str) -> DataFrame:
 )
 def aurc(spark: SparkSession, d: str) -> DataFrame:
     """Mean risk over forty coverages from 0.05 to 1."""
-    p = R.places(V.predictions(spark, d).filter("score is not null"), ["seed", "method"], "score", "item_id")
-    at = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.greatest(F.lit(1.0), F.bround((F.lit(0.05) + F.lit(0.95) * k / F.lit(39.0)) * F.col("n"), 0)))
-    # The first grid point that keeps a row; the kept rows of a point are a running sum over the points.
-    cells = p.withColumn("at", at).withColumn("k", F.size(F.filter("at", lambda a: a < F.col("r")))).filter("k < 40").groupBy("seed", "method", "k").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("kept"))
-    grid = cells.select("seed", "method").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39))))
-    run = Window.partitionBy("seed", "method").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # forty rows
-    c = grid.join(cells, ["seed", "method", "k"], "left").select("seed", "method", (F.sum("pos").over(run) / F.sum("kept").over(run).cast("double")).alias("risk"))
-    return c.groupBy("seed", "method").agg(out(F.avg("risk")).alias("aurc"))
+    k = R.kept_at(V.predictions(spark, d).filter("score is not null"), ["seed", "method"], "score", "item_id", "y", [0.05 + 0.95 * k / 39.0 for k in range(40)])
+    return k.groupBy("seed", "method").agg(out(F.avg(F.col("pos") / F.col("m").cast("double"))).alias("aurc"))
 
 
 @q(
@@ -304,7 +285,7 @@ def answers_by_item(spark: SparkSession, d: str) -> DataFrame:
 def length_quartile_mcc(spark: SparkSession, d: str) -> DataFrame:
     """MCC by quartile of the answer's length; a value on an edge is in the upper bin; over 20 rows each."""
     p = V.predictions(spark, d).join(answers_by_item(spark, d).filter("tokens is not null"), "item_id")
-    edges = p.select("item_id", "tokens").distinct().agg(F.percentile("tokens", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
+    edges = R.percentiles(p.select("item_id", "tokens").distinct().withColumn("one", F.lit(1)), ["one"], "tokens", [0.25, 0.5, 0.75]).select(F.col("cuts").alias("e"))
     b = p.join(F.broadcast(edges)).withColumn("quartile", F.size(F.filter("e", lambda t: t <= F.col("tokens"))).cast("long"))  # one row of three edges
     c = b.groupBy("method", "quartile").agg(*X.confusion(), F.count(F.lit(1)).alias("n")).filter("n > 20")
     return c.select("method", "quartile", "n", out(X.mcc()).alias("mcc"))
@@ -349,30 +330,39 @@ def error_strata(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("method", "stratum", "value").agg(F.count(F.lit(1)).alias("n"), out(F.avg("wrong")).alias("error_rate"))
 
 
+_SIZES, _FRACTIONS = (20, 40, 80, 120, 200, 320, 500), (0.95, 0.99)
+
+
 @q(
     "learning_crossing",
     sql=S.with_(
-        V.SQL_LONG, "s as (select method, unnest([20, 40, 80, 120, 200, 320, 500]) as size, item_id, y, pred from emb)",
-        "h as (select *, row_number() over (partition by method, size order by md5(concat_ws(':', 'curve', item_id))) as r from s)",
-        f"c as (select method, size, {S.confusion()} from h where r <= size group by all)", f"m as (select method, size, {S.mcc()} as v from c)",
-        "l as (select *, lag(size) over w as size0, lag(v) over w as v0, last_value(v) over (partition by method order by size rows between unbounded preceding and unbounded following) as final from m window w as (partition by method order by size))",
-        "x as (select *, row_number() over (partition by method order by size) as k from l where v >= 0.9e0 * final)",
+        V.SQL_LONG, "h as (select *, row_number() over (partition by method order by md5(concat_ws(':', 'curve', item_id)), item_id) as r from emb)",
+        f"s as (select method, size, y, pred from h, (select unnest([{', '.join(map(str, _SIZES))}]) as size) where r <= size union all select method, null, y, pred from h)",
+        f"c as (select method, size, {S.confusion()} from s group by all)", f"m as (select method, size, {S.mcc()} as v from c)",
+        "f as (select m.*, e.v as final, unnest([0.95e0, 0.99e0]) as fraction from m join m e on e.method = m.method and e.size is null where m.size is not null)",
+        "l as (select *, lag(size) over w as size0, lag(v) over w as v0, fraction * final as goal from f window w as (partition by method, fraction order by size))",
+        "x as (select *, row_number() over (partition by method, fraction order by size) as k from l where v >= goal)",
+        "a as (select distinct method, fraction, final from f)",
     )
-    + "select method, round(final, 9) as final_mcc, round(case when v0 is null or v = v0 or v0 >= 0.9e0 * final then size else size0 + (0.9e0 * final - v0) / (v - v0) * (size - size0) end, 6) as crossing from x where k = 1",
+    + "select a.method, a.fraction, round(a.final, 9) as final_mcc, round(case when v0 is null or v = v0 then size else size0 + (goal - v0) / (v - v0) * (size - size0) end, 6) as crossing from a left join x on x.method = a.method and x.fraction = a.fraction and k = 1",
 )
 def learning_crossing(spark: SparkSession, d: str) -> DataFrame:
-    """Size at which the curve first reaches nine tenths of its end, between two sizes by a straight line."""
-    s = V.long(V.wide(spark, d)).withColumn("size", F.explode(F.array(*[F.lit(k) for k in (20, 40, 80, 120, 200, 320, 500)])))
-    h = s.withColumn("r", F.row_number().over(Window.partitionBy("method", "size").orderBy(X.order_hash(F.lit("curve"), F.col("item_id").cast("string"))))).filter("r <= 500").filter("r <= size")
-    m = h.groupBy("method", "size").agg(*X.confusion()).select("method", "size", X.mcc().alias("v"))
-    w = Window.partitionBy("method").orderBy("size")
-    m = m.withColumn("size0", F.lag("size").over(w)).withColumn("v0", F.lag("v").over(w))
-    final = m.groupBy("method").agg(F.max_by("v", "size").alias("final"))
-    goal = F.lit(0.9) * F.col("final")
-    first = m.join(final, "method").filter(F.col("v") >= goal).groupBy("method").agg(F.min_by(F.struct("size", "v", "size0", "v0", "final"), "size").alias("f")).select("method", "f.*")
-    line = F.col("size0") + (goal - F.col("v0")) / F.nullif(F.col("v") - F.col("v0"), F.lit(0.0)) * (F.col("size") - F.col("size0"))
-    at = F.when(F.col("v0").isNull() | (F.col("v") == F.col("v0")) | (F.col("v0") >= goal), F.col("size").cast("double")).otherwise(line)
-    return first.select("method", out("final").alias("final_mcc"), F.round(at, 6).alias("crossing"))
+    """Sizes at which the curve first reaches 95 and 99 % of its value on all rows, between two sizes by a straight line.
+
+    Null where no size of the grid reaches it. Only the first rows in hash order are numbered.
+    """
+    p = V.long(V.wide(spark, d))
+    h = X.order_hash(F.lit("curve"), F.col("item_id").cast("string"))
+    first = p.withColumn("r", F.row_number().over(Window.partitionBy("method").orderBy(h, "item_id"))).filter(F.col("r") <= max(_SIZES))  # a limit per group: pruned before the shuffle
+    s = first.withColumn("size", F.explode(F.array(*[F.lit(k) for k in _SIZES]))).filter("r <= size")
+    m = s.groupBy("method", "size").agg(*X.confusion()).select("method", "size", X.mcc().alias("v"))
+    final = p.groupBy("method").agg(*X.confusion()).select("method", X.mcc().alias("final")).withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in _FRACTIONS])))
+    w = Window.partitionBy("method", "fraction").orderBy("size")  # a row per size
+    m = m.join(final, "method").withColumn("size0", F.lag("size").over(w)).withColumn("v0", F.lag("v").over(w)).withColumn("goal", F.col("fraction") * F.col("final"))
+    met = m.filter("v >= goal").groupBy("method", "fraction").agg(F.min_by(F.struct("size", "v", "size0", "v0", "goal"), "size").alias("f")).select("method", "fraction", "f.*")
+    line = F.col("size0") + (F.col("goal") - F.col("v0")) / F.nullif(F.col("v") - F.col("v0"), F.lit(0.0)) * (F.col("size") - F.col("size0"))
+    at = F.when(F.col("v0").isNull() | (F.col("v") == F.col("v0")), F.col("size").cast("double")).otherwise(line)
+    return final.join(met, ["method", "fraction"], "left").select("method", "fraction", out("final").alias("final_mcc"), F.round(at, 6).alias("crossing"))
 
 
 @q(
