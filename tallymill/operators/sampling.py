@@ -3,6 +3,7 @@ the same on any cluster and in any engine."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,13 +49,42 @@ fold_m as (select group_id, arg_max(stratum, struct_pack(k := k, s := stratum))
 folds as (select group_id, cast((row_number() over (partition by stratum order by md5('{seed}' || ':' || cast(group_id as varchar)), group_id) - 1) % {n} as int) as fold from fold_m)"""
 
 
-def bootstrap_totals(groups: DataFrame, counts: list[str], replicates: int, seed: str, size: int) -> DataFrame:
-    """(replicate, counts…): totals over ``size`` groups drawn with replacement.
+# The chances that a Poisson variable of mean 1 is at most 0, 1, 2 …
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253)
+PRIME = 2147483647
 
-    ``groups`` has a dense ``g`` from 0 and pre-aggregated counts, so the cost is replicates times
-    groups and does not depend on the rows. Slot s of replicate r draws group hash(r, s) mod size.
+
+def bootstrap_weight(number: Column, replicate: Column) -> Column:
+    """How often a replicate draws a group, given the group's number below 2^28.
+
+    In a bootstrap of many groups the times a group is drawn are Poisson variables of mean 1. Here each
+    is read off a pairwise independent hash, so no draws are made, joined or shuffled.
     """
-    spark = groups.sparkSession
-    slots = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot"))
-    drawn = F.conv(F.substring(order_hash(F.lit(seed), F.col("replicate").cast("string"), F.col("slot").cast("string")), 1, 12), 16, 10).cast("long") % size
-    return slots.withColumn("g", drawn).join(groups, "g").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in counts])
+    a = (replicate * replicate * 48271 + replicate * 16807 + 11) % PRIME
+    b = (replicate * 69621 + 40692) % PRIME
+    u = ((a * number + b) % PRIME) / float(PRIME)
+    return sum((u >= c).cast("long") for c in POISSON)
+
+
+def sql_bootstrap_weight(number: str, replicate: str) -> str:
+    u = f"((({replicate} * {replicate} * 48271 + {replicate} * 16807 + 11) % {PRIME} * {number} + ({replicate} * 69621 + 40692) % {PRIME}) % {PRIME}) / {float(PRIME)!r}e0"
+    return "(" + " + ".join(f"cast({u} >= {c!r}e0 as bigint)" for c in POISSON) + ")"
+
+
+def group_number(*parts: Column | str) -> Column:
+    """A hash of the parts below 2^28."""
+    return F.conv(F.substring(order_hash(*parts), 1, 7), 16, 10).cast("long")
+
+
+def hypergeometric(u: float, total: int, marked: int, drawn: int) -> int:
+    """How many of ``drawn`` rows of ``total`` are among the ``marked``: the quantile u of its distribution."""
+    low, high = max(0, drawn - (total - marked)), min(drawn, marked)
+    if low >= high:
+        return low
+    mean = drawn * marked / total
+    wide = 12 * (mean * (1 - marked / total)) ** 0.5 + 12
+    k = np.arange(max(low, int(mean - wide)), min(high, int(mean + wide)) + 1, dtype=float)
+    step = np.log((drawn - k[:-1]) * (marked - k[:-1])) - np.log((k[:-1] + 1) * (total - marked - drawn + k[:-1] + 1))
+    log = np.concatenate([[0.0], np.cumsum(step)])
+    p = np.exp(log - log.max())
+    return int(k[min(len(k) - 1, int((np.cumsum(p) / p.sum() < u).sum()))])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -140,165 +142,123 @@ def transfer_arms(spark: SparkSession, d: str) -> DataFrame:
     return t.select("arm", "target", "source", F.when(F.col("arm") == "lodo_matched", F.least(F.col("n"), F.floor(F.col("own") / F.col("others")))).otherwise(F.col("n")).cast("long").alias("n_train"))
 
 
-_REPS = 200
-_BOOT_COUNTS = [f"{m}_{c}" for m in ("a", "b") for c in ("tp", "fp", "fn", "tn")]
-
-
-@q(
-    "bootstrap_ci",
-    sql=S.with_(
-        V.SQL_WIDE,
-        f"c as (select group_id, {S.confusion('y', 'cast(saplma >= 0 as int)').replace(' as tp', ' as a_tp').replace(' as fp', ' as a_fp').replace(' as fn', ' as a_fn').replace(' as tn', ' as a_tn')}, {S.confusion('y', 'cast(icr >= 0 as int)').replace(' as tp', ' as b_tp').replace(' as fp', ' as b_fp').replace(' as fn', ' as b_fn').replace(' as tn', ' as b_tn')} from wide group by all)",
-        "g as (select *, row_number() over (order by group_id) - 1 as g from c)", "n as (select count(*) as n from g)",
-        f"s as (select r as replicate, cast(('0x' || substr(md5('boot:' || r || ':' || s), 1, 12)) as bigint) % n as g from n, (select unnest(range({_REPS})) as r), (select unnest(range((select n from n))) as s))",
-        f"b as (select replicate, {', '.join(f'sum({x}) as {x}' for x in _BOOT_COUNTS)} from s join g using (g) group by all)",
-        f"v as (select {S.mcc('a_tp', 'a_fp', 'a_fn', 'a_tn')} - {S.mcc('b_tp', 'b_fp', 'b_fn', 'b_tn')} as diff from b)",
-        f"o as (select {S.mcc('sum(a_tp)', 'sum(a_fp)', 'sum(a_fn)', 'sum(a_tn)')} - {S.mcc('sum(b_tp)', 'sum(b_fp)', 'sum(b_fn)', 'sum(b_tn)')} as point from c)",
-    )
-    + "select round(point, 9) as difference, round(quantile_cont(diff, 0.025e0), 9) as low, round(quantile_cont(diff, 0.975e0), 9) as high, quantile_cont(diff, 0.025e0) > 0 or quantile_cont(diff, 0.975e0) < 0 as excludes_zero from v, o group by point",
-)
-def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Group bootstrap of the MCC difference of two methods, from counts per group."""
-    w = V.wide(spark, d)
-    parts = []
-    for m, col in (("a", "saplma"), ("b", "icr")):
-        pred = (F.col(col) >= 0).cast("int")
-        cells = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
-        parts += [X.count_if((F.col("y") == y) & (pred == p)).alias(f"{m}_{k}") for k, (y, p) in cells.items()]
-    c = w.groupBy("group_id").agg(*parts)
-    size = c.count()
-    g = R.numbers(c, [], "group_id", "g").withColumn("g", F.col("g").cast("long"))
-    diff = lambda: X.mcc("a_tp", "a_fp", "a_fn", "a_tn") - X.mcc("b_tp", "b_fp", "b_fn", "b_tn")
-    v = G.bootstrap_totals(g, _BOOT_COUNTS, _REPS, "boot", size).select(diff().alias("diff"))
-    v = v.agg(F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
-    point = c.agg(*[F.sum(x).alias(x) for x in _BOOT_COUNTS]).select(diff().alias("point"))
-    both = point.join(F.broadcast(v))  # one row each
-    return both.select(out("point").alias("difference"), out(F.col("p")[0]).alias("low"), out(F.col("p")[1]).alias("high"), ((F.col("p")[0] > 0) | (F.col("p")[1] < 0)).alias("excludes_zero"))
-
-
-_PAIR_REPS = 1000
+_REPS = 1000
+_CELL = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
+_BOOT_COUNTS = [f"{m}_{c}" for m in ("a", "b") for c in _CELL]
 _PAIR_KEYS = "run, seed, method_a, method_b"
 
 
 @q(
-    "bootstrap_pairs",
+    "bootstrap_ci",
     sql=S.with_(
         V.SQL_PREDICTIONS,
         "ok as (select * from pred where pred is not null)",
         "ab as (select a.run, a.seed, coalesce(greatest(a.group_id, b.group_id), a.item_id) as grp, a.method as method_a, b.method as method_b, greatest(a.y, b.y) as y, a.pred as pa, b.pred as pb from ok a join ok b on a.run = b.run and a.seed = b.seed and a.fold = b.fold and a.dataset = b.dataset and a.item_id = b.item_id and a.method < b.method)",
-        "c as (select %s, grp, %s from ab group by all)" % (_PAIR_KEYS, ", ".join(f"count(*) filter (where y = {y} and p{m} = {p}) as {m}_{k}" for m in "ab" for k, (y, p) in {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}.items())),
-        "g as (select run, seed, grp, row_number() over (partition by run, seed order by grp) - 1 as g, count(*) over (partition by run, seed) as n from (select distinct run, seed, grp from c))",
-        f"s as (select run, seed, r, cast(('0x' || substr(md5('boot:' || run || ':' || seed || ':' || r || ':' || g), 1, 12)) as bigint) % n as g from g, (select unnest(range({_PAIR_REPS})) as r))",
-        "t as (select run, seed, r, grp, count(*) as times from s join g using (run, seed, g) group by all)",
-        f"b as (select {_PAIR_KEYS}, r, {', '.join(f'sum(times * {x}) as {x}' for x in _BOOT_COUNTS)} from t join c using (run, seed, grp) group by all)",
+        "c as (select %s, grp, %s from ab group by all)" % (_PAIR_KEYS, ", ".join(f"count(*) filter (where y = {y} and p{m} = {p}) as {m}_{k}" for m in "ab" for k, (y, p) in _CELL.items())),
+        "g as (select *, cast(('0x' || substr(md5('boot:' || run || ':' || seed || ':' || grp), 1, 7)) as bigint) as g from c)",
+        f"s as (select *, {G.sql_bootstrap_weight('g', 'r')} as times from g, (select unnest(range({_REPS})) as r))",
+        f"b as (select {_PAIR_KEYS}, r, {', '.join(f'sum(times * {x}) as {x}' for x in _BOOT_COUNTS)} from s group by all)",
         f"v as (select {_PAIR_KEYS}, {S.mcc('a_tp', 'a_fp', 'a_fn', 'a_tn')} - {S.mcc('b_tp', 'b_fp', 'b_fn', 'b_tn')} as diff from b)",
-        f"e as (select {_PAIR_KEYS}, count(*) as k, sum(diff) as total, list(diff) as ds from v group by all)",
-        f"f as (select run, method_a, method_b, seed, total / {_PAIR_REPS} as mean, list_sort(list_concat(ds, list_transform(range({_PAIR_REPS} - k), lambda z: 0e0))) as ds from e)",
-        "h as (select *, " + ", ".join(f"ds[{int(p * (_PAIR_REPS - 1)) + 1}] + {p * (_PAIR_REPS - 1) - int(p * (_PAIR_REPS - 1)):.6f}e0 * (ds[{int(p * (_PAIR_REPS - 1)) + 2}] - ds[{int(p * (_PAIR_REPS - 1)) + 1}]) as {n}" for p, n in ((0.025, "lo"), (0.975, "hi"))) + " from f)",
+        f"h as (select {_PAIR_KEYS}, avg(diff) as mean, quantile_cont(diff, 0.025e0) as lo, quantile_cont(diff, 0.975e0) as hi from v group by all)",
     )
     + "select run, method_a, method_b, count(*) as n_seeds, round(avg(mean), 6) as difference, round(avg(lo), 6) as low, round(avg(hi), 6) as high, bool_and(lo > 0 or hi < 0) as excludes_zero_all_seeds from h group by all",
 )
-def bootstrap_pairs(spark: SparkSession, d: str) -> DataFrame:
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Group bootstrap of the MCC difference of every pair of methods: a thousand replicates in each run and seed, averaged over seeds.
 
-    A pair counts on the items that have both decisions. A seed's replicates draw its groups, and all
-    pairs share the draws; a replicate without any item of a pair has the difference 0.
+    A pair counts on the items that have both decisions, and all pairs of a seed share its draws. Rows
+    are counted by group first; a replicate is a sum over these counts, combined before any shuffle.
     """
-    p = V.predictions(spark, d).filter("pred is not null")
-    ab = method_pairs(p, ["run", "seed", "fold", "dataset", "item_id"], ["group_id", "y", "pred"])
-    y = F.greatest("a.y", "b.y")
-    cells = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
+    ab = method_pairs(V.predictions(spark, d).filter("pred is not null"), ["run", "seed", "fold", "dataset", "item_id"], ["group_id", "y", "pred"])
     group = F.coalesce(F.greatest("a.group_id", "b.group_id"), "item_id").alias("grp")
+    ab = ab.select("run", "seed", group, F.col("a.method").alias("method_a"), F.col("b.method").alias("method_b"), F.greatest("a.y", "b.y").alias("y"), F.col("a.pred").alias("pa"), F.col("b.pred").alias("pb"))
     keys = ["run", "seed", "method_a", "method_b"]
-    ab = ab.select("run", "seed", group, F.col("a.method").alias("method_a"), F.col("b.method").alias("method_b"), y.alias("y"), F.col("a.pred").alias("pa"), F.col("b.pred").alias("pb"))
-    c = cut(ab.groupBy(*keys, "grp").agg(*[X.count_if((F.col("y") == t) & (F.col(f"p{m}") == s)).alias(f"{m}_{k}") for m in "ab" for k, (t, s) in cells.items()]), "cells")
-    g = cut(R.numbers(c.select("run", "seed", "grp").distinct(), ["run", "seed"], "grp", "g"), "groups").withColumn("g", F.col("g").cast("long"))
-    n = g.groupBy("run", "seed").agg(F.count(F.lit(1)).alias("n"))
-    slots = g.join(F.broadcast(n), ["run", "seed"]).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(_PAIR_REPS - 1))))  # a row per run and seed
-    h = order_hash(F.lit("boot"), "run", F.col("seed").cast("string"), F.col("r").cast("string"), F.col("g").cast("string"))
-    slots = slots.select("run", "seed", "r", (F.conv(F.substring(h, 1, 12), 16, 10).cast("long") % F.col("n")).alias("g"))
-    times = slots.groupBy("run", "seed", "r", "g").agg(F.count(F.lit(1)).alias("times")).join(g, ["run", "seed", "g"])
-    b = times.join(c, ["run", "seed", "grp"]).groupBy(*keys, "r").agg(*[F.sum(F.col("times") * F.col(x)).alias(x) for x in _BOOT_COUNTS])
+    c = ab.groupBy(*keys, "grp").agg(*[X.count_if((F.col("y") == t) & (F.col(f"p{m}") == s)).alias(f"{m}_{k}") for m in "ab" for k, (t, s) in _CELL.items()])
+    c = c.withColumn("g", G.group_number(F.lit("boot"), "run", F.col("seed").cast("string"), "grp")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(_REPS - 1)))).withColumn("r", F.col("r").cast("long"))
+    c = c.withColumn("times", G.bootstrap_weight(F.col("g"), F.col("r")))
+    b = c.groupBy(*keys, "r").agg(*[F.sum(F.col("times") * F.col(x)).alias(x) for x in _BOOT_COUNTS])
     diff = X.mcc("a_tp", "a_fp", "a_fn", "a_tn") - X.mcc("b_tp", "b_fp", "b_fn", "b_tn")
-    e = b.select(*keys, diff.alias("diff")).groupBy(*keys).agg(F.sum("diff").alias("total"), F.collect_list("diff").alias("ds"))  # a thousand numbers at most
-    ds = F.array_sort(F.concat("ds", F.array_repeat(F.lit(0.0), F.lit(_PAIR_REPS) - F.size("ds"))))
-    e = e.select(*keys, (F.col("total") / _PAIR_REPS).alias("mean"), ds.alias("ds"))
-
-    def at(p: float) -> F.Column:
-        k = int(p * (_PAIR_REPS - 1))
-        return F.get("ds", F.lit(k)) + F.lit(round(p * (_PAIR_REPS - 1) - k, 6)) * (F.get("ds", F.lit(k + 1)) - F.get("ds", F.lit(k)))
-
-    e = e.select(*keys, "mean", at(0.025).alias("lo"), at(0.975).alias("hi"))
-    return e.groupBy("run", "method_a", "method_b").agg(
+    at = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))  # of a thousand numbers
+    h = b.select(*keys, diff.alias("diff")).groupBy(*keys).agg(F.avg("diff").alias("mean"), at.alias("p")).withColumn("lo", F.col("p")[0]).withColumn("hi", F.col("p")[1])
+    return h.groupBy("run", "method_a", "method_b").agg(
         F.count(F.lit(1)).alias("n_seeds"), F.round(F.avg("mean"), 6).alias("difference"), F.round(F.avg("lo"), 6).alias("low"), F.round(F.avg("hi"), 6).alias("high"),
         F.bool_and((F.col("lo") > 0) | (F.col("hi") < 0)).alias("excludes_zero_all_seeds"),
     )
 
 
-def _cluster_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Items of the wide view; the label is the cluster, a wrong anchor the population, a rescue the mark."""
+LEAST_IN_CLUSTER, PERMUTATIONS = 20, 500
+
+
+def _cluster_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Per cluster (the label): rows, rows where the anchor errs, and how many of these the others rescue."""
     w = V.wide(spark, d)
     right = {m: ((F.col(m) >= 0).cast("int") == F.col("y")).cast("int") for m in V.METHODS}
     others = X.total([right[m] for m in V.METHODS if m != "saplma"])
-    return w.filter(right["saplma"] == 0).select("item_id", F.col("label").alias("cluster"), (others >= 3).cast("int").alias("rescued"))
+    wrong = right["saplma"] == 0
+    return w.groupBy(F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("n_total"), X.count_if(wrong).alias("n"), X.count_if(wrong & (others >= 3)).alias("m"))
 
 
-_CLUSTERS = "cl as (select item_id, label as cluster, cast((%s) >= 3 as int) as rescued from wide where cast(saplma >= 0 as int) <> y)" % " + ".join(f"cast(cast({m} >= 0 as int) = y as int)" for m in V.METHODS if m != "saplma")
-_ENRICH = "select cluster, count(*) as n, avg(cast(rescued as double)) as rate from {s} group by cluster having count(*) >= 5"
+_CLUSTERS = "cl as (select label as cluster, count(*) as n_total, count(*) filter (where cast(saplma >= 0 as int) <> y) as n, count(*) filter (where cast(saplma >= 0 as int) <> y and (%s) >= 3) as m from wide group by all), ba as (select cast(sum(n) as bigint) as nn, cast(sum(m) as bigint) as mm, sum(m) / cast(sum(n) as double) as base from cl)" % " + ".join(f"cast(cast({m} >= 0 as int) = y as int)" for m in V.METHODS if m != "saplma")
+_STATISTIC = f"sum(n * abs({{m}} / cast(n as double) - base)) filter (where n >= {LEAST_IN_CLUSTER}) / max(nn)"
 
 
 @q(
     "enrichment",
-    sql=S.with_(V.SQL_WIDE, _CLUSTERS, "b as (select avg(cast(rescued as double)) as base from cl)", f"e as ({_ENRICH.format(s='cl')})")
-    + "select cluster, n, round(rate, 9) as rate, round(rate / nullif(base, 0), 9) as lift, round(sum(n * abs(rate - base)) over () / sum(n) over (), 9) as statistic from e, b",
+    sql=S.with_(V.SQL_WIDE, _CLUSTERS, f"st as (select {_STATISTIC.format(m='m')} as statistic from cl, ba)")
+    + f"select cluster, n as n_eligible, n_total, round(m / cast(n as double), 9) as rate, round(m / cast(n as double) / nullif(base, 0), 9) as lift, round(statistic, 9) as statistic from cl, ba, st where n >= {LEAST_IN_CLUSTER}",
 )
 def enrichment(spark: SparkSession, d: str) -> DataFrame:
-    """Rate and lift by cluster, and the weighted deviation from the base rate; five rows at least."""
-    r = _cluster_rows(spark, d)
-    base = r.agg(F.avg(F.col("rescued").cast("double")).alias("base"))
-    e = r.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("rescued").cast("double")).alias("rate")).filter("n >= 5").join(F.broadcast(base))  # one row
-    w = Window.partitionBy(F.lit(1))  # over one row per cluster
-    stat = F.sum(F.col("n") * F.abs(F.col("rate") - F.col("base"))).over(w) / F.sum("n").over(w)
-    return e.select("cluster", "n", out("rate").alias("rate"), out(X.ratio(F.col("rate"), F.col("base"))).alias("lift"), out(stat).alias("statistic"))
+    """Rescue rate and lift by cluster of twenty eligible rows or more, and their weighted deviation from the base rate over all eligible rows."""
+    one = Window.partitionBy(F.lit(1))  # over one row per cluster
+    e = _cluster_counts(spark, d).withColumn("nn", F.sum("n").over(one)).withColumn("base", F.sum("m").over(one) / F.sum("n").over(one).cast("double"))
+    e = e.filter(F.col("n") >= LEAST_IN_CLUSTER).withColumn("rate", F.col("m") / F.col("n").cast("double"))
+    stat = F.sum(F.col("n") * F.abs(F.col("rate") - F.col("base"))).over(one) / F.col("nn")
+    return e.select("cluster", F.col("n").alias("n_eligible"), "n_total", out("rate").alias("rate"), out(X.ratio(F.col("rate"), F.col("base"))).alias("lift"), out(stat).alias("statistic"))
+
+
+_DEAL = f"""
+cn as (select *, row_number() over (order by cluster) as idx from cl),
+w(r, idx, cluster, n, m, nl, ml) as (
+  select r, cast(0 as bigint), null::int, cast(0 as bigint), cast(0 as bigint), nn, mm from (select unnest(range({PERMUTATIONS})) as r), ba
+  union all
+  select r, idx, cluster, n, x, nl - n, ml - x from (
+    select w.r, cn.idx, cn.cluster, cn.n, w.nl, w.ml,
+      cast(len(list_filter(range(0, cn.n + 1), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: case when j <= w.ml and cn.n - j <= w.nl - w.ml
+        then exp(lgamma(w.ml + 1e0) - lgamma(j + 1e0) - lgamma(w.ml - j + 1e0) + lgamma(w.nl - w.ml + 1e0) - lgamma(cn.n - j + 1e0) - lgamma(w.nl - w.ml - cn.n + j + 1e0)
+               - lgamma(w.nl + 1e0) + lgamma(cn.n + 1e0) + lgamma(w.nl - cn.n + 1e0)) else 0e0 end))
+        < cast(('0x' || substr(md5('perm:' || w.r || ':' || cn.cluster), 1, 12)) as bigint) / 281474976710656e0)) as bigint) as x
+    from w join cn on cn.idx = w.idx + 1) z)"""
 
 
 @q(
     "permutation_null",
-    sql=S.with_(
-        V.SQL_WIDE, _CLUSTERS,
-        "b as (select avg(cast(rescued as double)) as base from cl)", f"e as ({_ENRICH.format(s='cl')})", "s as (select sum(n * abs(rate - base)) / sum(n) as statistic from e, b)",
-        "p as (select r, item_id, cluster, rescued, row_number() over (partition by r order by item_id) as k, row_number() over (partition by r order by md5('perm:' || r || ':' || item_id), item_id) as h from cl, (select unnest(range(50)) as r))",
-        "x as (select a.r, a.cluster, b.rescued from p a join p b on a.r = b.r and a.k = b.h)",
-        "pe as (select r, cluster, count(*) as n, avg(cast(rescued as double)) as rate from x group by all having count(*) >= 5)",
-        "ps as (select r, sum(n * abs(rate - base)) / sum(n) as v from pe, b group by all)",
-    )
-    + "select round(max(statistic), 9) as statistic, round(avg(v), 9) as null_mean, round(avg(cast(v >= statistic - 1e-12 as int)), 9) as p from ps, s",
-)
+    sql="with recursive " + ",\n".join(x.strip() for x in (V.SQL_WIDE, _CLUSTERS, _DEAL, f"st as (select {_STATISTIC.format(m='m')} as statistic from cl, ba)", f"ps as (select r, {_STATISTIC.format(m='m')} as v from w, ba where idx > 0 group by r)"))
+    + "\nselect round(max(statistic), 9) as statistic, round(avg(v), 9) as null_mean, round(avg(cast(v >= statistic - 1e-12 as int)), 9) as p from ps, st",
+)
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
-    """Chance of the enrichment when marks are dealt anew (50 permutations in md5 order)."""
-    return _permuted(spark, d, 50)
+    """Chance of the enrichment when the marks are dealt anew over the eligible rows: five hundred permutations.
 
-
-@q("permutation_null_500", sql=CORE.sql["permutation_null"].replace("range(50)", "range(500)"))
-def permutation_null_500(spark: SparkSession, d: str) -> DataFrame:
-    """The same with 500 permutations, so that p moves in steps of 0.002."""
-    return _permuted(spark, d, 500)
-
-
-def _permuted(spark: SparkSession, d: str, permutations: int) -> DataFrame:
-    r = _cluster_rows(spark, d)
-    base = r.agg(F.avg(F.col("rescued").cast("double")).alias("base"))
-
-    def stat(x: DataFrame, by: list[str]) -> DataFrame:
-        e = x.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("rescued").cast("double")).alias("rate")).filter("n >= 5").join(F.broadcast(base))
-        return e.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("rate") - F.col("base"))) / F.sum("n")).alias("v"))
-
-    p = r.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    p = R.numbers(p, ["r"], "item_id", "k").withColumn("md5", order_hash(F.lit("perm"), F.col("r").cast("string"), F.col("item_id").cast("string")))
-    p = cut(G.hash_numbers(p, ["r"], "md5", "item_id", "h").drop("md5"), "dealt")
-    x = p.select("r", "k", "cluster").join(p.select("r", F.col("h").alias("k"), "rescued"), ["r", "k"])
-    own = stat(r, []).withColumnRenamed("v", "statistic")
-    return stat(x, ["r"]).join(F.broadcast(own)).agg(out(F.max("statistic")).alias("statistic"), out(F.avg("v")).alias("null_mean"), out(F.avg((F.col("v") >= F.col("statistic") - 1e-12).cast("int"))).alias("p"))
+    A permutation deals each cluster a hypergeometric number of the marks left, so it costs one number
+    per cluster and never touches rows. Only the counts by cluster reach the driver.
+    """
+    c = sorted((r["cluster"], r["n"], r["m"]) for r in _cluster_counts(spark, d).collect())
+    total, marked = sum(n for _, n, _ in c), sum(m for _, _, m in c)
+
+    def statistic(ms: list[int]) -> float:
+        return sum(n * abs(m / n - marked / total) for (_, n, _), m in zip(c, ms, strict=True) if n >= LEAST_IN_CLUSTER) / total
+
+    if not total:
+        return spark.createDataFrame([(None, None, None)], "statistic double, null_mean double, p double")
+    own, null = statistic([m for _, _, m in c]), []
+    for r in range(PERMUTATIONS):
+        left, marks, ms = total, marked, []
+        for cluster, n, _ in c:
+            u = int(hashlib.md5(f"perm:{r}:{cluster}".encode()).hexdigest()[:12], 16) / 2.0**48
+            ms.append(G.hypergeometric(u, left, marks, n))
+            left, marks = left - n, marks - ms[-1]
+        null.append(statistic(ms))
+    row = (round(own, 9), round(sum(null) / len(null), 9), round(sum(v >= own - 1e-12 for v in null) / len(null), 9))
+    return spark.createDataFrame([row], "statistic double, null_mean double, p double")
 
 
 @q(
@@ -420,29 +380,58 @@ def vote_on_errors(spark: SparkSession, d: str) -> DataFrame:
 _BITS = "[" + ", ".join(f"{{'method': '{m}', 'bit': {1 << k}}}" for k, m in enumerate(V.METHODS)) + "]"
 
 
-def subsets(w: DataFrame) -> DataFrame:
-    """(mask, k, y, pred, score): strict majority and mean score of every non-empty subset of the methods.
+def subsets(w: DataFrame, ballots: dict[str, list[str]]) -> DataFrame:
+    """(mask, k, dataset, fold, item_id, y, pred, and a mean per ballot): every non-empty subset of the methods.
 
-    An item's methods stand in one row, so subsets are made inside it and nothing is shuffled per subset.
+    An item's methods stand in one row, so subsets are made inside it and nothing is shuffled per
+    subset. ``pred`` is the strict majority; a ballot names a column for each method.
     """
     m = w.withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit((1 << len(V.METHODS)) - 1))))
     inside = [F.col("mask").bitwiseAND(F.lit(1 << b)) > 0 for b in range(len(V.METHODS))]
     k = F.bit_count("mask")
     votes = X.total([(i & (F.col(c) >= 0)).cast("int") for i, c in zip(inside, V.METHODS, strict=True)])
-    score = X.total([F.when(i, F.col(c)).otherwise(0.0) for i, c in zip(inside, V.METHODS, strict=True)]) / k
-    return m.select("mask", k.cast("long").alias("k"), "y", (2 * votes > k).cast("int").alias("pred"), F.round(score, 12).alias("score"))
+    means = [F.round(X.total([F.when(i, F.col(c)).otherwise(0.0) for i, c in zip(inside, cols, strict=True)]) / k, 12).alias(n) for n, cols in ballots.items()]
+    return m.select("mask", k.cast("long").alias("k"), "dataset", "fold", "item_id", "y", (2 * votes > k).cast("int").alias("pred"), *means)
+
+
+_SUBSET = S.with_(
+    SQL_FOLDED, f"b as (select unnest({_BITS}, recursive := true))",
+    "rk as (select *, (rank() over w + (count(*) over (partition by method, score) - 1) / 2e0) / count(*) over (partition by method) as rs from emb window w as (partition by method order by score))",
+    "sb as (select mask, rk.item_id, rk.dataset, rk.fold, rk.y, rk.pred, rk.score, rk.rs from rk join b using (method), (select unnest(range(1, 32)) as mask) where mask & bit > 0)",
+    "v as (select mask, item_id, dataset, fold, y, cast(2 * sum(pred) > count(*) as int) as pred, round(avg(score), 12) as soft, round(avg(rs), 12) as rank, count(*) as k from sb group by all)",
+)
 
 
 @q(
     "subset_vote",
-    sql=S.with_(V.SQL_LONG, f"b as (select unnest({_BITS}, recursive := true))", "s as (select mask, emb.item_id, emb.y, emb.pred, emb.score from emb join b using (method), (select unnest(range(1, 32)) as mask) where mask & bit > 0)", "v as (select mask, item_id, y, cast(2 * sum(pred) > count(*) as int) as pred, round(avg(score), 12) as score, count(*) as k from s group by all)", f"c as (select mask, max(k) as k, {S.confusion()} from v group by all)", S.auroc("v", "mask"))
-    + f"select cast(mask as int) as mask, k as n_methods, round({S.mcc()}, 9) as mcc_majority, round(auroc, 9) as auroc_mean from c join roc using (mask)",
-)
+    sql=_SUBSET.rstrip() + ",\n" + ",\n".join(x.strip() for x in (
+        "bl as (select mask, item_id, dataset, fold, y, unnest([{'ballot': 'soft', 'score': soft}, {'ballot': 'rank', 'score': rank}], recursive := true) from v)",
+        sql_held_out("bl", "mask, ballot"),
+        "ap as (select mask, ballot, dataset, y, score, cast(score >= threshold as int) as pred from bl join ho using (mask, ballot, fold) union all select mask, 'majority', dataset, y, null, pred from v)",
+        S.scoped("ap"), f"c as (select scope, mask, ballot, {S.confusion()} from sc group by all)", S.auroc("sc", "scope, mask, ballot"),
+    ))
+    + f"\nselect scope, cast(mask as int) as mask, ballot, round({S.mcc()}, 9) as mcc, round(auroc, 9) as auroc from c left join roc using (scope, mask, ballot)",
+)
 def subset_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Strict majority and mean score of all 31 subsets of the five methods."""
-    v = subsets(V.wide(spark, d))
-    c = v.groupBy("mask").agg(F.max("k").alias("n_methods"), *X.confusion())
-    return c.join(R.auroc(v, ["mask"]), "mask").select("mask", "n_methods", out(X.mcc()).alias("mcc_majority"), out("auroc").alias("auroc_mean"))
+    """All 31 subsets of the five methods by strict majority, mean score and mean scaled rank, in each scope.
+
+    The thresholds of the two mean ballots are chosen on the other folds.
+    """
+    w = folded(spark, d)
+    ranked = w
+    for m in V.METHODS:
+        n = R.average_ranks(w.withColumn("one", F.lit(1)), ["one"], m)
+        ranked = ranked.join(n.select(m, F.col("avg_rank").alias(f"rank_{m}")), m)
+    total = w.count()
+    ranked = ranked.select("*", *[(F.col(f"rank_{m}") / total).alias(f"rs_{m}") for m in V.METHODS])
+    v = cut(subsets(ranked, {"soft": list(V.METHODS), "rank": [f"rs_{m}" for m in V.METHODS]}), "subsets")
+    bl = v.drop("pred").unpivot(["mask", "item_id", "dataset", "fold", "y"], ["soft", "rank"], "ballot", "score")
+    t = held_out_threshold(bl, ["mask", "ballot"])
+    ap = bl.join(F.broadcast(t), ["mask", "ballot", "fold"]).select("mask", "ballot", "dataset", "y", "score", (F.col("score") >= F.col("threshold")).cast("int").alias("pred"))  # a row per subset, ballot and fold
+    every = ap.unionByName(v.select("mask", F.lit("majority").alias("ballot"), "dataset", "y", F.lit(None).cast("double").alias("score"), "pred"))
+    c = R.scoped(every.groupBy("dataset", "mask", "ballot").agg(*X.confusion())).groupBy("scope", "mask", "ballot").agg(*[F.sum(k).alias(k) for k in ("tp", "fp", "fn", "tn")])
+    a = R.auroc(bl, ["scope", "mask", "ballot"]).select("scope", "mask", "ballot", "auroc")
+    return c.join(a, ["scope", "mask", "ballot"], "left").select("scope", "mask", "ballot", out(X.mcc()).alias("mcc"), out("auroc").alias("auroc"))
 
 
 @q(
@@ -452,7 +441,7 @@ def subset_vote(spark: SparkSession, d: str) -> DataFrame:
 )
 def subset_best(spark: SparkSession, d: str) -> DataFrame:
     """The best subset of each size; the lowest mask of equals."""
-    m = subsets(V.wide(spark, d)).groupBy("mask").agg(F.max("k").alias("n_methods"), *X.confusion()).select("mask", "n_methods", out(X.mcc()).alias("m"))
+    m = subsets(V.wide(spark, d).withColumn("fold", F.lit(0)), {}).groupBy("mask").agg(F.max("k").alias("n_methods"), *X.confusion()).select("mask", "n_methods", out(X.mcc()).alias("m"))
     return m.groupBy("n_methods").agg(F.max_by("mask", F.struct("m", -F.col("mask"))).alias("mask"), F.max("m").alias("mcc"))
 
 
@@ -495,31 +484,49 @@ _HAND = ", ".join(f"{k / 50.0}e0" for k in range(31))
 def handoff(spark: SparkSession, d: str) -> DataFrame:
     """Unsure decisions go to a second method; how unsure is chosen on the other folds (31 quantiles)."""
     w = folded(spark, d).select("fold", "y", F.abs("saplma").alias("dist"), (F.col("saplma") >= 0).cast("int").alias("pa"), (F.col("icr") >= 0).cast("int").alias("pb"))
-    held = w.select(F.col("fold").alias("held")).distinct()
-    train = w.join(F.broadcast(held), F.col("fold") != F.col("held"))  # one row per fold
-    t = train.groupBy("held").agg(F.percentile("dist", F.array(*[F.lit(k / 50.0) for k in range(31)])).alias("t")).select("held", F.posexplode("t").alias("k", "t"))
-    c = train.join(F.broadcast(t), "held").withColumn("pred", F.when(F.col("dist") < F.col("t"), F.col("pb")).otherwise(F.col("pa")))
-    b = c.groupBy("held", "k", "t").agg(*X.confusion()).groupBy(F.col("held").alias("fold")).agg(F.max_by("t", F.struct(F.round(X.mcc(), 12), -F.col("k"))).alias("t"))
-    a = w.join(F.broadcast(b), "fold").withColumn("handed", F.col("dist") < F.col("t")).withColumn("pred", F.when(F.col("handed"), F.col("pb")).otherwise(F.col("pa")))
+    w = cut(w, "hand")
+    sums = {f"{m}_{k}": (F.col("y") == y) & (F.col(f"p{m}") == p) for m in "ab" for k, (y, p) in _CELL.items()}
+    g = R.held_out_grid(w, [], "dist", sums, [k / 50.0 for k in range(31)])
+    # Below the threshold the second method decides, from it on the first.
+    g = g.select("held", "k", "t", *[(F.col(f"below_b_{k}") + F.col(f"total_a_{k}") - F.col(f"below_a_{k}")).alias(k) for k in _CELL])
+    b = g.groupBy(F.col("held").alias("fold")).agg(F.max_by("t", F.struct(F.round(X.mcc(), 12), -F.col("k"))).alias("t"))
+    a = w.join(F.broadcast(b), "fold").withColumn("handed", F.col("dist") < F.col("t")).withColumn("pred", F.when(F.col("handed"), F.col("pb")).otherwise(F.col("pa")))  # one row per fold
     return a.agg(F.count(F.lit(1)).alias("n"), X.count_if(F.col("handed")).alias("n_handed"), *X.confusion()).select("n", "n_handed", out(X.mcc()).alias("mcc"))
 
 
-_CASC = ", ".join(f"{round(k / 40.0, 6)}e0" for k in range(40))
+_CASC = [0.6 * k / 39.0 for k in range(40)]
 
 
 @q(
     "cascade_score",
-    sql=S.with_(V.SQL_WIDE, "p as (select y, cast(saplma >= 0 as int) as pa, icr as s from wide)", "t as (select unnest(quantile_cont(s, [" + _CASC + "])) as t, unnest(range(40)) as k from p where pa = 1)", f"c as (select k, t, {S.confusion('y', 'cast(pa = 1 and s >= t as int)')} from p, t group by all)", f"m as (select k, t, tp, fp, fn, tn, round({S.mcc()}, 9) as mcc from c)", f"o as (select {S.confusion('y', 'pa')} from p)", f"om as (select round({S.mcc()}, 9) as mcc from o)")
-    + "select round(arg_max(t, struct_pack(m := m.mcc, k := -k)), 9) as threshold, max(m.mcc) as mcc, max(om.mcc) as mcc_first_stage from m, om",
-)
+    sql=S.with_(
+        SQL_FOLDED, "p as (select fold, y, cast(saplma >= 0 as int) as pa, icr as s from wf)", "f as (select distinct fold as held from p)",
+        "t as (select held, unnest(quantile_cont(s, [" + ", ".join(f"{x!r}e0" for x in _CASC) + "])) as t, unnest(range(40)) as k from p join f on p.fold <> f.held where pa = 1 group by held)",
+        f"c as (select t.held, t.k, t.t, {S.confusion('y', 'cast(pa = 1 and s >= t as int)')} from p join t on p.fold <> t.held group by all)",
+        f"b as (select held as fold, arg_max(t, struct_pack(m := round({S.mcc()}, 12), k := -k)) as t from c group by all)",
+        "a as (select p.y, pa, cast(pa = 1 and s >= b.t as int) as pred from p join b using (fold))",
+        f"x as (select count(*) as n, count(*) filter (where pa <> pred) as n_demoted, {S.confusion()} from a)", f"o as (select {S.confusion('y', 'pa')} from a)", f"om as (select round({S.mcc()}, 9) as first from o)",
+    )
+    + f"select n, n_demoted, round({S.mcc()}, 9) as mcc, om.first as mcc_first_stage from x, om",
+)
 def cascade_score(spark: SparkSession, d: str) -> DataFrame:
-    """A second stage that may only take back the first one's positives; its threshold by the whole MCC."""
-    p = V.wide(spark, d).select("y", (F.col("saplma") >= 0).cast("int").alias("pa"), F.col("icr").alias("s"))
-    t = p.filter("pa = 1").agg(F.percentile("s", F.array(*[F.lit(round(k / 40.0, 6)) for k in range(40)])).alias("t")).select(F.posexplode("t").alias("k", "t"))
-    c = p.join(F.broadcast(t)).withColumn("pred", ((F.col("pa") == 1) & (F.col("s") >= F.col("t"))).cast("int"))  # forty rows
-    m = c.groupBy("k", "t").agg(*X.confusion()).select("k", "t", out(X.mcc()).alias("mcc"))
-    o = p.agg(*X.confusion("y", "pa")).select(out(X.mcc()).alias("o"))
-    return m.join(F.broadcast(o)).agg(out(F.max_by("t", F.struct("mcc", -F.col("k")))).alias("threshold"), F.max("mcc").alias("mcc"), F.max("o").alias("mcc_first_stage"))
+    """A second stage that may only take back the first one's positives.
+
+    Its threshold is the one of forty quantiles (0 … 0.6) of the positives' second scores on the other
+    folds that gives the best MCC over all their rows.
+    """
+    p = cut(folded(spark, d).select("fold", "y", (F.col("saplma") >= 0).cast("int").alias("pa"), F.col("icr").alias("s")), "stages")
+    g = R.held_out_grid(p.filter("pa = 1"), [], "s", {"pos": F.col("y") == 1, "neg": F.col("y") == 0}, _CASC)
+    rest = p.filter("pa = 0").groupBy("fold").agg(X.count_if(F.col("y") == 1).alias("f1"), X.count_if(F.col("y") == 0).alias("f0"))  # never positive: misses and right ones
+    every = rest.agg(F.sum("f1").alias("a1"), F.sum("f0").alias("a0"))
+    g = g.join(F.broadcast(every)).join(F.broadcast(rest.withColumnRenamed("fold", "held")), "held", "left").na.fill(0, ["f1", "f0", "a1", "a0"])  # a row, a row per fold
+    fn, tn = F.col("below_pos") + F.col("a1") - F.col("f1"), F.col("below_neg") + F.col("a0") - F.col("f0")
+    g = g.select("held", "k", "t", (F.col("total_pos") - F.col("below_pos")).alias("tp"), (F.col("total_neg") - F.col("below_neg")).alias("fp"), fn.alias("fn"), tn.alias("tn"))
+    b = g.groupBy(F.col("held").alias("fold")).agg(F.max_by("t", F.struct(F.round(X.mcc(), 12), -F.col("k"))).alias("t"))
+    a = p.join(F.broadcast(b), "fold").withColumn("pred", ((F.col("pa") == 1) & (F.col("s") >= F.col("t"))).cast("int"))
+    first = a.agg(*X.confusion("y", "pa")).select(out(X.mcc()).alias("mcc_first_stage"))
+    x = a.agg(F.count(F.lit(1)).alias("n"), X.count_if(F.col("pa") != F.col("pred")).alias("n_demoted"), *X.confusion()).select("n", "n_demoted", out(X.mcc()).alias("mcc"))
+    return x.join(F.broadcast(first))  # one row each
 
 
 @q(

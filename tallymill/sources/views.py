@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallymill.sources.tables import table
 
 METHODS = ("saplma", "lapeigvals", "icr", "attn_baseline", "svd_baseline")
+WIDE_SETS = ("coqa", "nqopen", "squadv2", "triviaqa")
 BIG_METHODS = ("discount", "tax", "quantity")
 
 
@@ -47,7 +48,7 @@ pred as (
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    dataset = F.concat(F.lit("d"), (F.col("vec_id") % 4).cast("string"))
+    dataset = F.element_at(F.array(*[F.lit(x) for x in WIDE_SETS]), (F.col("vec_id") % 4 + 1).cast("int"))
     return e.select(
         F.col("vec_id").alias("item_id"),
         dataset.alias("dataset"),
@@ -60,11 +61,10 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_WIDE = """
 wide as (
-  select vec_id as item_id, 'd' || cast(vec_id %% 4 as varchar) as dataset,
-         'd' || cast(vec_id %% 4 as varchar) || ':' || cast(vec_id // 20 as varchar) as group_id,
+  select vec_id as item_id, %s[vec_id %% 4 + 1] as dataset, %s[vec_id %% 4 + 1] || ':' || cast(vec_id // 20 as varchar) as group_id,
          cast(label < 3 as int) as y, cast(label as int) as label,
          %s
-  from embeddings)""" % ", ".join(f"cast(embedding[{k + 2}] as double) as {m}" for k, m in enumerate(METHODS))
+  from embeddings)""" % (list(WIDE_SETS), list(WIDE_SETS), ", ".join(f"cast(embedding[{k + 2}] as double) as {m}" for k, m in enumerate(METHODS)))
 
 
 def long(frame: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
