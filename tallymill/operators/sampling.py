@@ -36,13 +36,27 @@ def group_folds(df: DataFrame, folds: int, seed: str, group: str = "group_id", s
     The exact greedy assignment of group-stratified folds is sequential; this form keeps its two
     guarantees, whole groups and balanced strata, with aggregates and windows over pieces of a stratum.
     """
-    s = stratum if stratum is not None else F.concat_ws("_", "dataset", F.col("y").cast("string"))
-    per = df.groupBy(F.col(group).alias(group), s.alias("stratum")).agg(F.count(F.lit(1)).alias("k"))
-    main = per.groupBy(group).agg(F.max_by("stratum", F.struct("k", "stratum")).alias("stratum"))
+    main = strata(df, group, stratum)
     turns = hash_numbers(main.withColumn("h", order_hash(F.lit(seed), F.col(group).cast("string"))), ["stratum"], "h", group, "turn")
     return turns.select(group, (F.col("turn") % folds).cast("int").alias("fold"))
 
 
+def strata(df: DataFrame, group: str = "group_id", stratum: Column | None = None) -> DataFrame:
+    """(group, stratum): the stratum, by default data set and label, that most of a group's rows have."""
+    s = stratum if stratum is not None else F.concat_ws("_", "dataset", F.col("y").cast("string"))
+    per = df.groupBy(F.col(group).alias(group), s.alias("stratum")).agg(F.count(F.lit(1)).alias("k"))
+    return per.groupBy(group).agg(F.max_by("stratum", F.struct("k", "stratum")).alias("stratum"))
+
+
+def nested_groups(df: DataFrame, folds: int, inner: int, seed: str, inner_seed: str, group: str = "group_id") -> DataFrame:
+    """(group, held, role): test in the group's own fold; of the others, the first of the inner folds validates."""
+    g = strata(df, group).join(group_folds(df, folds, seed, group), group).withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    test = F.col("fold") == F.col("held")
+    rest = g.filter(~test).withColumn("h", order_hash(F.lit(inner_seed), F.col("held").cast("string"), F.col(group).cast("string")))
+    rest = hash_numbers(rest, ["held", "stratum"], "h", group, "turn").select(group, "held", F.when(F.col("turn") % inner == 0, "validation").otherwise("train").alias("role"))
+    return g.filter(test).select(group, "held", F.lit("test").alias("role")).unionByName(rest)
+
+
 SQL_FOLDS = """
 fold_s as (select group_id, dataset || '_' || cast(y as varchar) as stratum, count(*) as k from {source} group by all),
 fold_m as (select group_id, arg_max(stratum, struct_pack(k := k, s := stratum)) as stratum from fold_s group by all),

@@ -13,6 +13,7 @@ from tallymill.operators import paired as P
 from tallymill.operators import ranked as R
 from tallymill.plans.metrics import answers_by_item
 from tallymill.registry import CORE
+from tallymill.session import cut
 from tallymill.sources import views as V
 
 q = CORE.query
@@ -153,10 +154,30 @@ maj as (select item_id, n_judges, case when 2 * n_agreeing > n_judges then first
 lab as (select *, label in ('HALLUCINATED', 'NOT_HALLUCINATED') as scored from maj)"""
 
 
-@q("vote_majority", sql=S.with_(SQL_MAJORITY) + "select * from lab where n_judges >= 3")
+# The judges that a vote needs: here the three that label most items.
+_PANEL = "panel as (select judge from votes group by judge order by count(*) desc, judge limit 3)"
+
+
+def panel(votes: DataFrame, size: int = 3) -> DataFrame:
+    return votes.groupBy("judge").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "judge").limit(size).select("judge")
+
+
+def complete(votes: DataFrame, judges: DataFrame) -> DataFrame:
+    """Votes of the judges on items that every one of them has labelled."""
+    own = votes.join(F.broadcast(judges), "judge", "left_semi")  # a row per judge
+    n = judges.agg(F.count(F.lit(1)).alias("n"))
+    full = own.groupBy("item_id").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(n)).filter("k = n").select("item_id")  # one row
+    return own.join(full, "item_id", "left_semi")
+
+
+@q(
+    "vote_majority",
+    sql=S.with_(V.SQL_VOTES, _PANEL, "full_ as (select item_id from votes where judge in (select judge from panel) group by item_id having count(*) = (select count(*) from panel))", SQL_MAJORITY.replace(V.SQL_VOTES + ",", "").replace("from votes group by all", "from votes where judge in (select judge from panel) and item_id in (select item_id from full_) group by all")) + "select * from lab",
+)
 def vote_majority(spark: SparkSession, d: str) -> DataFrame:
-    """The majority label of items with three judges or more; no strict majority makes it INVALID."""
-    return majority(V.votes(spark, d)).filter("n_judges >= 3")
+    """The majority label of the items that every judge of the panel has labelled; no strict majority makes it INVALID."""
+    v = V.votes(spark, d)
+    return majority(complete(v, panel(v)))
 
 
 @q(
@@ -193,41 +214,48 @@ def oracle_bound(spark: SparkSession, d: str) -> DataFrame:
     return c.select("scope", "n", out("coverage").alias("coverage"), out(X.mcc()).alias("oracle_mcc"))
 
 
-_RESCUE = """
-cls as (select ma, mb, count(*) as n, avg(cast(pb = y as int)) filter (where y = 1) as acc1, avg(cast(pb = y as int)) filter (where y = 0) as acc0,
+_RESCUE = f"""
+sp as (select *, {S.SCOPES} as scope from pr),
+cls as (select scope, ma, mb, count(*) as n, avg(cast(pb = y as int)) filter (where y = 1) as acc1, avg(cast(pb = y as int)) filter (where y = 0) as acc0,
           avg(cast(pa = y as int)) as acc_a, count(*) filter (where pa <> y) as n_wrong, avg(cast(pb = y as int)) filter (where pa <> y) as rescue,
-          avg(cast(y as double)) filter (where pa <> y) as mix1 from pr group by all),
-res as (select ma as anchor, mb as other, n, n_wrong, acc_a, rescue, acc1 * mix1 + acc0 * (1 - mix1) as null_rate from cls where n_wrong >= 20)"""
+          avg(cast(y as double)) filter (where pa <> y) as mix1,
+          count(*) filter (where pa <> y and y = 1 and pb = 1) as n11, count(*) filter (where pa <> y and y = 1 and pb = 0) as n10,
+          count(*) filter (where pa <> y and y = 0 and pb = 1) as n01, count(*) filter (where pa <> y and y = 0 and pb = 0) as n00 from sp group by all),
+res as (select scope, ma as anchor, mb as other, n, n_wrong, acc_a, rescue, acc1 * mix1 + acc0 * (1 - mix1) as null_rate, {S.kappa('n11', 'n10', 'n01', 'n00')} as kappa
+        from cls where n_wrong >= 20 and mix1 > 0 and mix1 < 1)"""
 
 
 def rescues(pairs: DataFrame, by: list[str], least: int = 20) -> DataFrame:
     """How often the other method is right where the anchor is wrong, and what independence would give.
 
-    The null mixes the other method's accuracy by class with the classes among the anchor's errors.
+    The null mixes the other method's accuracy by class with the classes among the anchor's errors;
+    kappa is between label and other method on these errors. Errors of one class, or few, are left out.
     """
     wrong, right = ~_right("a"), _right("b").cast("double")
+    cells = [X.count_if(wrong & (F.col("y") == i) & (F.col("b.pred") == j)).alias(f"n{i}{j}") for i in (1, 0) for j in (1, 0)]
     c = pairs.groupBy(*by, F.col("a.method").alias("anchor"), F.col("b.method").alias("other")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("y") == 1, right)).alias("acc1"), F.avg(F.when(F.col("y") == 0, right)).alias("acc0"),
-        F.avg(_right("a").cast("double")).alias("acc_a"), X.count_if(wrong).alias("n_wrong"), F.avg(F.when(wrong, right)).alias("rescue"), F.avg(F.when(wrong, F.col("y").cast("double"))).alias("mix1"),
+        F.avg(_right("a").cast("double")).alias("acc_a"), X.count_if(wrong).alias("n_wrong"), F.avg(F.when(wrong, right)).alias("rescue"), F.avg(F.when(wrong, F.col("y").cast("double"))).alias("mix1"), *cells,
     )
     null = F.col("acc1") * F.col("mix1") + F.col("acc0") * (1 - F.col("mix1"))
-    return c.filter(F.col("n_wrong") >= least).select(*by, "anchor", "other", "n", "n_wrong", "acc_a", "rescue", null.alias("null_rate"))
+    c = c.filter((F.col("n_wrong") >= least) & (F.col("mix1") > 0) & (F.col("mix1") < 1))
+    return c.select(*by, "anchor", "other", "n", "n_wrong", "acc_a", "rescue", null.alias("null_rate"), X.kappa("n11", "n10", "n01", "n00").alias("kappa"))
 
 
 @q(
     "rescue_null",
-    sql=S.with_(V.SQL_PREDICTIONS, SQL_ORDERED, _RESCUE) + "select anchor, other, n, n_wrong, round(rescue, 9) as rescue, round(null_rate, 9) as null_rate, round(rescue / nullif(null_rate, 0), 9) as ratio from res",
+    sql=S.with_(V.SQL_PREDICTIONS, SQL_ORDERED, _RESCUE) + "select scope, anchor, other, n, n_wrong, round(rescue, 9) as rescue, round(null_rate, 9) as null_rate, round(rescue / nullif(null_rate, 0), 9) as ratio, round(kappa, 9) as kappa from res",
 )
 def rescue_null(spark: SparkSession, d: str) -> DataFrame:
-    """Conditional rescue against the independence null, for ordered pairs of methods."""
-    r = rescues(pair_rows(spark, d, ordered=True), [])
-    return r.select("anchor", "other", "n", "n_wrong", out("rescue").alias("rescue"), out("null_rate").alias("null_rate"), out(X.ratio(F.col("rescue"), F.col("null_rate"))).alias("ratio"))
+    """Conditional rescue against the independence null, for ordered pairs of methods in each scope."""
+    r = rescues(R.scoped(pair_rows(spark, d, ordered=True)), ["scope"])
+    return r.select("scope", "anchor", "other", "n", "n_wrong", out("rescue").alias("rescue"), out("null_rate").alias("null_rate"), out(X.ratio(F.col("rescue"), F.col("null_rate"))).alias("ratio"), out("kappa").alias("kappa"))
 
 
 @q(
     "independence_tradeoff",
     sql=S.with_(
-        V.SQL_PREDICTIONS, SQL_ORDERED, _RESCUE, "t as (select acc_a, rescue / nullif(null_rate, 0) as ratio from res where null_rate > 0)",
+        V.SQL_PREDICTIONS, SQL_ORDERED, _RESCUE, "t as (select acc_a, rescue / nullif(null_rate, 0) as ratio from res where scope = 'pooled' and null_rate > 0)",
         "k as (select ratio, rank() over (order by round(acc_a, 12)) + (count(*) over (partition by round(acc_a, 12)) - 1) / 2e0 as ra, rank() over (order by round(ratio, 12)) + (count(*) over (partition by round(ratio, 12)) - 1) / 2e0 as rr from t)",
     )
     + "select count(*) as n_pairs, round(avg(cast(ratio < 1 as int)), 9) as share_below_1, round(max(ratio), 9) as max_ratio, round(corr(ra, rr), 9) as spearman from k",
@@ -236,7 +264,7 @@ def independence_tradeoff(spark: SparkSession, d: str) -> DataFrame:
     """Over pairs: rank correlation of the anchor's accuracy with the rescue ratio, and how many fall below 1."""
     t = rescues(pair_rows(spark, d, ordered=True), []).filter("null_rate > 0")
     t = t.select(F.round("acc_a", 12).alias("acc"), F.round(F.col("rescue") / F.col("null_rate"), 12).alias("ratio"))
-    t = t.withColumn("one", F.lit(1))
+    t = cut(t.withColumn("one", F.lit(1)), "pairs")
     for c, r in (("acc", "ra"), ("ratio", "rr")):
         t = t.join(R.average_ranks(t, ["one"], c).select("one", c, F.col("avg_rank").alias(r)), ["one", c])
     return t.agg(F.count(F.lit(1)).alias("n_pairs"), out(F.avg((F.col("ratio") < 1).cast("int"))).alias("share_below_1"), out(F.max("ratio")).alias("max_ratio"), out(F.corr("ra", "rr")).alias("spearman"))
@@ -248,23 +276,26 @@ ANCHOR = "saplma"
 @q(
     "kappa_by_population",
     sql=S.with_(
-        V.SQL_PREDICTIONS, SQL_PAIRS,
+        V.SQL_PREDICTIONS,
         "an as (select run, seed, fold, item_id, pred = y as ok from pred where method = 'saplma' and pred is not null)",
-        "w as (select pr.*, an.ok from pr join an using (run, seed, fold, item_id))",
-        "u as (select unnest(['all', case when ok then 'anchor_right' else 'anchor_wrong' end]) as population, ma, mb, pa, pb from w)",
-        f"k as (select population, ma as method_a, mb as method_b, count(*) as n, {_CELLS} from u group by all having count(*) >= 50)",
+        f"w as (select p.*, an.ok, {S.SCOPES} as scope from pred p join an using (run, seed, fold, item_id) where p.pred is not null)",
+        "u as (select scope, method, y, pred, unnest(['all', case when ok then 'anchor_right' else 'anchor_wrong' end]) as population from w)",
+        "k as (select scope, population, method, count(*) as n, avg(cast(y as double)) as rate, avg(cast(pred = y as int)) as acc, min(pred) = max(pred) as one, "
+        + ", ".join(f"count(*) filter (where y = {i} and pred = {j}) as n{i}{j}" for i in (1, 0) for j in (1, 0)) + " from u group by all having count(*) >= 20 and min(y) <> max(y))",
     )
-    + f"select population, method_a, method_b, n, round({S.kappa('n11', 'n10', 'n01', 'n00')}, 9) as kappa from k",
+    + f"select scope, population, method, n, round(rate, 9) as positive_rate, round(acc, 9) as accuracy, round(case when one then 0e0 else {S.kappa('n11', 'n10', 'n01', 'n00')} end, 9) as kappa from k",
 )
 def kappa_by_population(spark: SparkSession, d: str) -> DataFrame:
-    """Kappa of each pair over all items, and where the anchor is right or wrong; 50 items at least."""
-    rows = decided(spark, d).groupBy(*ITEM).agg(
-        F.array_sort(F.collect_list(F.struct("method", "pred"))).alias("m"), F.max(F.when(F.col("method") == ANCHOR, F.col("pred") == F.col("y"))).alias("ok")
-    ).filter("ok is not null")
-    both = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y["method"] > x["method"]), lambda y: F.named_struct(F.lit("a"), x, F.lit("b"), y))))
-    u = rows.select(F.explode(F.array(F.lit("all"), F.when(F.col("ok"), "anchor_right").otherwise("anchor_wrong"))).alias("population"), both.alias("pairs")).select("population", F.explode("pairs").alias("p")).select("population", "p.a", "p.b")
-    k = u.groupBy("population", F.col("a.method").alias("method_a"), F.col("b.method").alias("method_b")).agg(F.count(F.lit(1)).alias("n"), *_cells()).filter("n >= 50")
-    return k.select("population", "method_a", "method_b", "n", out(X.kappa("n11", "n10", "n01", "n00")).alias("kappa"))
+    """Kappa of each method against the label over all items, and where the anchor is right or wrong, by scope.
+
+    Populations of 20 items or more with both labels; a method that decides one way has kappa 0.
+    """
+    rows = decided(spark, d).groupBy(*ITEM).agg(F.collect_list(F.struct("method", "pred")).alias("m"), F.max(F.when(F.col("method") == ANCHOR, F.col("pred") == F.col("y"))).alias("ok")).filter("ok is not null")
+    u = R.scoped(rows).select("scope", "y", F.explode(F.array(F.lit("all"), F.when(F.col("ok"), "anchor_right").otherwise("anchor_wrong"))).alias("population"), "m").select("scope", "population", "y", F.explode("m").alias("p")).select("scope", "population", "y", "p.*")
+    cells = [X.count_if((F.col("y") == i) & (F.col("pred") == j)).alias(f"n{i}{j}") for i in (1, 0) for j in (1, 0)]
+    k = u.groupBy("scope", "population", "method").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y").cast("double")).alias("rate"), F.avg((F.col("pred") == F.col("y")).cast("int")).alias("acc"), (F.min("pred") == F.max("pred")).alias("one"), R.two_classes().alias("two"), *cells)
+    kappa = F.when(F.col("one"), 0.0).otherwise(X.kappa("n11", "n10", "n01", "n00"))
+    return k.filter("two and n >= 20").select("scope", "population", "method", "n", out("rate").alias("positive_rate"), out("acc").alias("accuracy"), out(kappa).alias("kappa"))
 
 
 @q(
@@ -328,17 +359,50 @@ def win_overlap(spark: SparkSession, d: str) -> DataFrame:
     return w.select("method_a", "method_b", "n_a", "n_b", "n_both", (F.col("n_a") - F.col("n_both")).alias("only_a"), (F.col("n_b") - F.col("n_both")).alias("only_b"), out(X.ratio(F.col("n_both"), F.col("n_any"))).alias("jaccard"), out(X.ratio(F.col("n_both"), F.col("n_a"))).alias("share_of_a"))
 
 
+_ALIGNED = "al as (select run, seed, item_id, bool_or(source = 'charm') as second from pred where source in ('published', 'charm') group by all having bool_or(source = 'published'))"
+
+
 @q(
     "align_methods",
-    sql=S.with_(V.SQL_PREDICTIONS, "b as (select distinct run, seed, item_id from pred where source = 'published'), c as (select distinct run, seed, item_id from pred where source = 'charm')")
-    + "select b.run, b.seed, count(*) as n_base, count(c.item_id) as n_aligned, count(*) - count(c.item_id) as n_dropped from b left join c using (run, seed, item_id) group by all",
+    sql=S.with_(V.SQL_PREDICTIONS, _ALIGNED) + "select p.run, p.seed, p.fold, p.dataset, p.item_id, p.y, p.source, p.method, round(p.score, 9) as score, p.pred from pred p join al using (run, seed, item_id) where second and source in ('published', 'charm')",
 )
 def align_methods(spark: SparkSession, d: str) -> DataFrame:
+    """The predictions of both sources on the base items that the second one has too; other items drop out of all methods."""
+    p = V.predictions(spark, d).filter(F.col("source").isin("published", "charm"))
+    item = ["run", "seed", "item_id"]
+    keep = ["fold", "dataset", "y", "source", "method", "score", "pred"]
+    g = p.groupBy(*item).agg(F.collect_list(F.struct(*keep)).alias("p"), F.bool_or(F.col("source") == "published").alias("base"), F.bool_or(F.col("source") == "charm").alias("second"))  # an item's few methods
+    rows = g.filter("base and second").select(*item, F.explode("p").alias("p")).select(*item, "p.*")
+    return rows.withColumn("score", out("score"))
+
+
+@q("align_counts", sql=S.with_(V.SQL_PREDICTIONS, _ALIGNED) + "select run, seed, count(*) as n_base, count(*) filter (where second) as n_aligned, count(*) filter (where not second) as n_dropped from al group by all")
+def align_counts(spark: SparkSession, d: str) -> DataFrame:
     """Items of the base set that the second source has too, and how many drop out, by run and seed."""
     rows = V.predictions(spark, d).groupBy("run", "seed", "item_id").agg(F.bool_or(F.col("source") == "published").alias("base"), F.bool_or(F.col("source") == "charm").alias("second")).filter("base")
     return rows.groupBy("run", "seed").agg(F.count(F.lit(1)).alias("n_base"), X.count_if(F.col("second")).alias("n_aligned"), X.count_if(~F.col("second")).alias("n_dropped"))
 
 
+@q(
+    "pair_seed_summary",
+    sql=S.with_(
+        V.SQL_PREDICTIONS, SQL_PAIRS, f"m as (select seed, ma as method_a, mb as method_b, {_DISCORD}, {_CELLS} from pr group by all)",
+        f"v as (select method_a, method_b, b, c, {P.sql_mcnemar_p('b', 'c')} as p, {S.kappa('n11', 'n10', 'n01', 'n00')} as k, (n11 + n00) / cast(n11 + n10 + n01 + n00 as double) as agree from m)",
+    )
+    + "select method_a, method_b, count(*) as n_seeds, round(avg(k), 9) as kappa_mean, round(stddev_pop(k), 9) as kappa_std, round(avg(agree), 9) as agreement_mean, round(median(p), 6) as p_median, count(*) filter (where p < 0.05) as n_significant, round(avg(b), 9) as b_mean, round(avg(c), 9) as c_mean from v group by all",
+)
+def pair_seed_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair of methods over seeds: kappa, agreement, median p, seeds with a significant difference, mean discordant counts."""
+    b, c = (_right("a") & ~_right("b")), (~_right("a") & _right("b"))
+    m = pair_rows(spark, d).groupBy("seed", F.col("a.method").alias("method_a"), F.col("b.method").alias("method_b")).agg(X.count_if(b).alias("b"), X.count_if(c).alias("c"), *_cells())
+    agree = (F.col("n11") + F.col("n00")) / (F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")).cast("double")
+    v = m.select("method_a", "method_b", "b", "c", P.mcnemar_p(F.col("b"), F.col("c")).alias("p"), X.kappa("n11", "n10", "n01", "n00").alias("k"), agree.alias("agree"))
+    return v.groupBy("method_a", "method_b").agg(
+        F.count(F.lit(1)).alias("n_seeds"), out(F.avg("k")).alias("kappa_mean"), out(F.stddev_pop("k")).alias("kappa_std"), out(F.avg("agree")).alias("agreement_mean"),
+        F.round(F.percentile("p", F.lit(0.5)), 6).alias("p_median"), F.coalesce(X.count_if(F.col("p") < 0.05), F.lit(0)).alias("n_significant"), out(F.avg("b")).alias("b_mean"), out(F.avg("c")).alias("c_mean"),
+    )
+
+
 @q(
     "merge_with_assert",
     sql=S.with_(V.SQL_PREDICTIONS, "b as (select seed, item_id, max(y) as y from pred where source = 'published' group by all), c as (select seed, item_id, max(y) as y from pred where source = 'charm' group by all)", "m as (select c.seed, count(*) as n, count(*) filter (where b.item_id is null) as n_missing, count(*) filter (where b.y <> c.y) as n_mismatch from c left join b using (seed, item_id) group by all)")
@@ -459,3 +523,27 @@ def pilot_consensus(spark: SparkSession, d: str) -> DataFrame:
     cells = {"n11": F.col("ch") & hall, "n10": F.col("ch") & ~hall, "n01": ~F.col("ch") & hall, "n00": ~F.col("ch") & ~hall}
     x = j.agg(F.count(F.lit(1)).alias("n"), F.count("consensus").alias("n_consensus"), F.avg(F.col("ch").cast("int")).alias("rate"), *[F.coalesce(X.count_if(c), F.lit(0)).alias(k) for k, c in cells.items()])
     return x.select("n", "n_consensus", out("rate").alias("candidate_rate"), out(X.kappa("n11", "n10", "n01", "n00")).alias("kappa_consensus"))
+
+
+@q(
+    "pilot_judges",
+    sql=S.with_(
+        V.SQL_VOTES,
+        "o as (select item_id, row_number() over (order by item_id) - 1 as k from (select distinct item_id from votes))",
+        "s as (select votes.* from votes join o using (item_id) where k % 7 = 0)",
+        "j as (select r.judge, c.label = 'HALLUCINATED' as ch, r.label = 'HALLUCINATED' as jh from s c join s r on r.item_id = c.item_id and r.judge <> c.judge where c.judge = 'judge-brou-12b')",
+        "x as (select judge, count(*) as n, count(*) filter (where ch and jh) as n11, count(*) filter (where ch and not jh) as n10, count(*) filter (where not ch and jh) as n01, count(*) filter (where not ch and not jh) as n00 from j group by all)",
+    )
+    + f"select judge, n, round((n11 + n10) / cast(n as double), 9) as candidate_rate, round((n11 + n01) / cast(n as double), 9) as judge_rate, round({S.kappa('n11', 'n10', 'n01', 'n00')}, 9) as kappa from x",
+)
+def pilot_judges(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate judge on every seventh item against each other judge."""
+    v = V.votes(spark, d)
+    placed = R.numbers(v.select("item_id").distinct(), [], "item_id").filter(F.col("k") % STRIDE == 0).select("item_id")
+    hall = F.col("label") == "HALLUCINATED"
+    g = v.join(placed, "item_id").groupBy("item_id").agg(F.max(F.when(F.col("judge") == "judge-brou-12b", hall)).alias("ch"), F.collect_list(F.struct("judge", hall.alias("jh"))).alias("j")).filter("ch is not null")
+    j = g.select("ch", F.explode("j").alias("j")).select("ch", "j.*").filter("judge <> 'judge-brou-12b'")
+    cells = {"n11": F.col("ch") & F.col("jh"), "n10": F.col("ch") & ~F.col("jh"), "n01": ~F.col("ch") & F.col("jh"), "n00": ~F.col("ch") & ~F.col("jh")}
+    x = j.groupBy("judge").agg(F.count(F.lit(1)).alias("n"), *[X.count_if(c).alias(k) for k, c in cells.items()])
+    n = F.col("n").cast("double")
+    return x.select("judge", "n", out((F.col("n11") + F.col("n10")) / n).alias("candidate_rate"), out((F.col("n11") + F.col("n01")) / n).alias("judge_rate"), out(X.kappa("n11", "n10", "n01", "n00")).alias("kappa"))

@@ -142,6 +142,39 @@ def transfer_arms(spark: SparkSession, d: str) -> DataFrame:
     return t.select("arm", "target", "source", F.when(F.col("arm") == "lodo_matched", F.least(F.col("n"), F.floor(F.col("own") / F.col("others")))).otherwise(F.col("n")).cast("long").alias("n_train"))
 
 
+_ARMS = ("single", "lodo", "lodo_matched", "pooled")
+
+
+@q(
+    "transfer_rows",
+    sql=S.with_(SQL_ITEMS, "n as (select dataset, count(*) as n from its group by all)", "o as (select *, row_number() over (partition by dataset order by md5('transfer:' || item_id), item_id) as r from its)",
+        "t as (select x.dataset as target, x.n as own, (select count(*) from n) - 1 as others, unnest(['single', 'lodo', 'lodo_matched', 'pooled']) as arm from n x)")
+    + "select arm, target, o.dataset as source, item_id, y from t join o on case arm when 'single' then true when 'pooled' then true else o.dataset <> t.target end where arm <> 'lodo_matched' or r <= own // others",
+)
+def transfer_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that each transfer arm trains on, for each target data set; a matched arm takes its quota in hash order."""
+    i = _items(spark, d)
+    n = i.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("dataset", "n")).alias("all"))  # one row, an entry per data set
+    r = G.hash_numbers(i.withColumn("h", order_hash(F.lit("transfer"), "item_id")), ["dataset"], "h", "item_id", "r").join(F.broadcast(n))
+    r = r.select(F.col("dataset").alias("source"), "item_id", "y", "r", (F.size("all") - 1).alias("others"), F.explode("all").alias("x")).select("*", F.explode(F.array(*[F.lit(a) for a in _ARMS])).alias("arm"))
+    take = F.col("arm").isin("single", "pooled") | (F.col("source") != F.col("x.dataset"))
+    matched = (F.col("arm") != "lodo_matched") | (F.col("r") < F.floor(F.col("x.n") / F.col("others")))
+    return r.filter(take & matched).select("arm", F.col("x.dataset").alias("target"), "source", "item_id", "y")
+
+
+@q(
+    "nested_folds",
+    sql=S.with_(SQL_ITEMS, G.SQL_FOLDS.format(source="its", seed="outer", n=5),
+        "h as (select held, m.group_id, m.stratum, fold from fold_m m join folds using (group_id), (select unnest(range(5)) as held))",
+        "i as (select held, group_id, fold, (row_number() over (partition by held, fold = held, stratum order by md5('inner:' || held || ':' || cast(group_id as varchar)), group_id) - 1) % 4 as inner_fold from h)")
+    + "select cast(held as int) as held, item_id, case when fold = held then 'test' when inner_fold = 0 then 'validation' else 'train' end as role from its join i using (group_id)",
+)
+def nested_folds(spark: SparkSession, d: str) -> DataFrame:
+    """For each held fold, every item's role: test, or train and validation by the first of four inner folds over whole groups."""
+    i = _items(spark, d)
+    return i.join(G.nested_groups(i, 5, 4, "outer", "inner"), "group_id").select("held", "item_id", "role")
+
+
 _REPS = 1000
 _CELL = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
 _BOOT_COUNTS = [f"{m}_{c}" for m in ("a", "b") for c in _CELL]
