@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,19 +32,19 @@ def layers(c: str = "x", n: int = 4, width: int = 16) -> F.Column:
     return F.array(*[F.slice(c, 1 + width * k, width) for k in range(n)])
 
 
-@q("layer_slice", sql=S.with_(_BLOCK, "s as (select item_id, unnest([0, 2, 9]) as layer, [x[1:16], x[17:32], x[33:48], x[49:64]] as b from bl)") + "select item_id, cast(layer as int) as layer, list_transform(b[least(layer, 3) + 1][1:4], lambda v: round(v, 6)) as head from s")
+@q("layer_slice", sql=S.with_(_BLOCK, "s as (select item_id, unnest([0, 2, 9]) as layer, [x[1:16], x[17:32], x[33:48], x[49:64]] as b from bl)") + "select item_id, cast(layer as int) as layer, list_transform(b[least(layer, 3) + 1], lambda v: round(v, 6)) as x from s")
 def layer_slice(spark: SparkSession, d: str) -> DataFrame:
     """One layer of a block; a layer beyond the last is the last."""
     s = block(spark, d).select("item_id", F.explode(F.array(F.lit(0), F.lit(2), F.lit(9))).alias("layer"), layers().alias("b"))
     one = F.element_at("b", F.least(F.col("layer"), F.size("b") - 1) + 1)
-    return s.select("item_id", "layer", F.transform(F.slice(one, 1, 4), lambda v: F.round(v, 6)).alias("head"))
+    return s.select("item_id", "layer", F.transform(one, lambda v: F.round(v, 6)).alias("x"))
 
 
-@q("flatten_block", sql=S.with_(_BLOCK, "s as (select item_id, flatten([x[1:16], x[17:32], x[33:48], x[49:64]]) as f from bl)") + "select item_id, len(f) as width, round(list_sum(f), 6) as total, round(f[17], 6) as first_of_second from s")
+@q("flatten_block", sql=S.with_(_BLOCK, "s as (select item_id, flatten([x[1:16], x[17:32], x[33:48], x[49:64]]) as f from bl)") + "select item_id, len(f) as width, list_transform(f, lambda v: round(v, 6)) as x from s")
 def flatten_block(spark: SparkSession, d: str) -> DataFrame:
     """A block of layers as one row of columns."""
     s = block(spark, d).select("item_id", F.flatten(layers()).alias("f"))
-    return s.select("item_id", F.size("f").cast("long").alias("width"), F.round(F.aggregate("f", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.round(F.element_at("f", 17), 6).alias("first_of_second"))
+    return s.select("item_id", F.size("f").cast("long").alias("width"), F.transform("f", lambda v: F.round(v, 6)).alias("x"))
 
 
 @q("depth_layers", sql="with n as (select unnest([12, 25, 33, 40]) as n) select cast(n as int) as n_layers, list_sort(list_distinct(list_transform([0.1e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0, 1.0e0], lambda f: greatest(1, least(n, cast(round_even(f * n, 0) as int)))))) as layers from n")
@@ -80,11 +84,11 @@ def topk_padded(spark: SparkSession, d: str) -> DataFrame:
     return block(spark, d).select("item_id", F.transform(top_k(F.slice("x", 1, 8), 12), lambda v: F.round(v, 6)).alias("top"))
 
 
-@q("topk_prefix", sql=S.with_(_BLOCK, "s as (select item_id, list_reverse_sort(x) as t from bl)") + "select item_id, list_transform(t[1:10], lambda v: round(v, 6)) as top10, t[1:64][1:10] = t[1:10] as same from s")
+@q("topk_prefix", sql=S.with_(_BLOCK, "s as (select item_id, list_concat(list_reverse_sort(x), list_transform(range(256 - len(x)), lambda k: 0e0)) as t from bl)") + "select item_id, list_transform(t[1:256], lambda v: round(v, 6)) as top256, list_transform(t[1:64], lambda v: round(v, 6)) as top64, list_transform(t[1:10], lambda v: round(v, 6)) as top10 from s")
 def topk_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """The ten largest are the beginning of the sixty-four largest."""
-    s = block(spark, d).select("item_id", top_k("x", 64).alias("t"), top_k("x", 10).alias("u"))
-    return s.select("item_id", F.transform("u", lambda v: F.round(v, 6)).alias("top10"), (F.slice("t", 1, 10) == F.col("u")).alias("same"))
+    """The 256 largest values, filled up with zeros; the 64 and the ten largest are their beginnings and are not sorted again."""
+    t = F.transform(top_k("x", 256), lambda v: F.round(v, 6))
+    return block(spark, d).select("item_id", t.alias("top256")).select("item_id", "top256", F.slice("top256", 1, 64).alias("top64"), F.slice("top256", 1, 10).alias("top10"))
 
 
 _COLS = "co as (select item_id, label, unnest(range(64)) as dim, unnest(x) as v from bl)"
@@ -120,23 +124,14 @@ def median_impute(spark: SparkSession, d: str) -> DataFrame:
 
 @q(
     "standardize",
-    sql=S.with_(_BLOCK, _COLS, "s as (select dim, avg(v) as m, stddev_pop(v) as sd from co group by all)") + "select item_id, cast(co.dim as int) as dim, round((v - m) / case when sd = 0 then 1 else sd end, 6) as z from co join s using (dim) where dim < 8",
-)
-def standardize(spark: SparkSession, d: str) -> DataFrame:
-    """The first eight columns of ``standardize_all``."""
-    return standardize_all(spark, d).filter("dim < 8")
-
-
-@q(
-    "standardize_all",
     sql=S.with_(_BLOCK, _COLS, "s as (select dim, avg(v) as m, stddev_pop(v) as sd from co group by all)") + "select item_id, cast(co.dim as int) as dim, round((v - m) / case when sd = 0 then 1 else sd end, 6) as z from co join s using (dim)",
 )
-def standardize_all(spark: SparkSession, d: str) -> DataFrame:
+def standardize(spark: SparkSession, d: str) -> DataFrame:
     """Zero mean and unit population deviation of every column; constant columns are divided by 1."""
     c = columns(spark, d)
     s = c.groupBy("dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
     z = (F.col("v") - F.col("m")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))
-    return c.join(s, "dim").select("item_id", "dim", F.round(z, 6).alias("z"))
+    return c.join(F.broadcast(s), "dim").select("item_id", "dim", F.round(z, 6).alias("z"))  # a row per column
 
 
 @q(
@@ -168,25 +163,53 @@ QUERIES_AT_ONCE = 20_000  # queries that are sent to every task in one pass (10
 def nearest_labels(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(item_id, label, purity) of a stated query set, in blocks: each pass holds a bounded block of queries.
 
-    A task keeps the k nearest of its own rows for each query, so a pass returns at most queries times
-    k rows of each task. Equal distances go to the lower id.
+    A task multiplies its rows' matrix with the block's and keeps the k nearest of its own rows for each
+    query, so a pass returns at most queries times k rows of each task. Equal distances (nine digits) go
+    to the lower id.
     """
     n = queries.count()
     passes = max(1, -(-n // QUERIES_AT_ONCE))
     out_: DataFrame | None = None
     for p in range(passes):
-        part = queries.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).select(F.col("item_id").alias("qi"), F.col("label").alias("ql"), F.col("x").alias("qx"))
-        held = part.groupBy().agg(F.collect_list(F.struct("qi", "ql", "qx")).alias("qs"))  # one bounded block
-        dist = lambda s: F.round(F.aggregate(F.zip_with(s["qx"], F.col("x"), lambda a, c: (a - c) * (a - c)), F.lit(0.0), lambda t, v: t + v), 9)
-        near = F.transform("qs", lambda s: F.struct(s["qi"].alias("qi"), s["ql"].alias("ql"), dist(s).alias("dist")))
-        c = rows.join(F.broadcast(held)).select("item_id", "label", F.explode(near).alias("n")).filter("item_id <> n.qi")
-        w = Window.partitionBy("n.qi").orderBy("n.dist", "item_id")  # a limit per group: pruned before the shuffle
+        held = queries.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).select("item_id", "label", "x").collect()  # one bounded block
+        qi, ql = np.array([r["item_id"] for r in held], np.int64), np.array([r["label"] for r in held], np.int64)
+        qx = np.array([r["x"] for r in held], float)
+        c = rows.select("item_id", "label", "x").mapInPandas(_nearest(qi, qx, k), "qi long, id long, label long, dist double")
+        w = Window.partitionBy("qi").orderBy("dist", "id")  # k rows of each task
         c = c.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
-        c = c.groupBy(F.col("n.qi").alias("item_id"), F.col("n.ql").cast("int").alias("label")).agg(out(F.avg((F.col("label") == F.col("n.ql")).cast("int"))).alias("purity"))
+        labels = rows.sparkSession.createDataFrame(pd.DataFrame({"qi": qi, "ql": ql}), "qi long, ql int")
+        c = c.join(F.broadcast(labels), "qi").groupBy(F.col("qi").alias("item_id"), F.col("ql").alias("label")).agg(out(F.avg((F.col("label") == F.col("ql")).cast("int"))).alias("purity"))  # one bounded block
         out_ = c if out_ is None else out_.unionByName(c)
     return out_
 
 
+def _nearest(qi: np.ndarray, qx: np.ndarray, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[pd.DataFrame] = []
+        for pdf in parts:
+            if not len(pdf) or not len(qi):
+                continue
+            x, ids, label = np.array(pdf["x"].tolist(), float), pdf["item_id"].to_numpy(), pdf["label"].to_numpy()
+            for at in range(0, len(qi), 256):
+                q = qx[at : at + 256]
+                d = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * q @ x.T
+                d[qi[at : at + 256][:, None] == ids] = np.inf
+                edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                row, col = np.nonzero((d <= edge[:, None] + 1e-9) & np.isfinite(d))
+                exact = ((q[row] - x[col]) ** 2).sum(axis=1).round(9)
+                best.append(pd.DataFrame({"qi": qi[at + row], "id": ids[col], "label": label[col], "dist": exact}))
+            if sum(map(len, best)) > 4 * k * len(qi):
+                best = [_first(best, k)]
+        if best:
+            yield _first(best, k)
+
+    return run
+
+
+def _first(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    return pd.concat(parts).sort_values(["qi", "dist", "id"]).groupby("qi").head(k)
+
+
 @q("lap_eigvals", sql=S.with_(V.SQL_ATTENTION, "c as (select item_id, head, j as u, sum(a) / greatest(1, count(*) filter (where a > 0)) - sum(a) filter (where i = j) as l from att group by all)") + "select item_id, cast(head as int) as head, list_transform(list_reverse_sort(list(l))[1:5], lambda v: round(v, 9)) as top from c group by all")
 def lap_eigvals(spark: SparkSession, d: str) -> DataFrame:
     """Eigenvalues of the causal Laplacian: it is triangular, so they are column means less the diagonal."""
@@ -202,34 +225,35 @@ def attn_diag_topk(spark: SparkSession, d: str) -> DataFrame:
     return a.select("item_id", "head", F.transform("top", lambda v: out(v)).alias("top"))
 
 
-@q("last_token_state", sql="with f as (select item_id, layer, i, extracted_at, hidden_states[1] as x from forward_traces where item_id is not null and len(hidden_states) = 64 and hidden_states[1] is not null and isfinite(hidden_states[1])) select item_id, layer, max(i) as i, round(cast(arg_max(x, struct_pack(i := i, t := extracted_at)) as double), 6) as x from f group by all")
+@q("last_token_state", sql="with f as (select item_id, layer, i, coalesce(extracted_at, timestamp '0001-01-01') as t, list_transform(hidden_states, lambda v: round(cast(v as double), 6)) as x from forward_traces where item_id is not null and len(hidden_states) = 64 and len(list_filter(hidden_states, lambda v: v is not null and isfinite(v))) = 64) select item_id, layer, max(i) as i, arg_max(x, struct_pack(i := i, t := t, x := x)) as x from f group by all")
 def last_token_state(spark: SparkSession, d: str) -> DataFrame:
-    """The first component of the last token's state in each layer; the newest of equals. ``last_token_vector`` has all."""
-    f = table(spark, d, "forward_traces", "item_id", "layer", "i", "extracted_at", "hidden_states").filter((F.size("hidden_states") == 64) & F.col("item_id").isNotNull())
-    f = f.select("item_id", "layer", "i", "extracted_at", F.get("hidden_states", F.lit(0)).cast("double").alias("x"))
-    f = f.filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
-    return f.groupBy("item_id", "layer").agg(F.max("i").alias("i"), F.round(F.max_by("x", F.struct("i", "extracted_at")), 6).alias("x"))
-
-
-@q("last_token_vector", sql="with f as (select item_id, layer, i, coalesce(extracted_at, timestamp '0001-01-01') as t, list_transform(hidden_states, lambda v: round(cast(v as double), 6)) as x from forward_traces where item_id is not null and len(hidden_states) = 64 and len(list_filter(hidden_states, lambda v: v is not null and isfinite(v))) = 64) select item_id, layer, max(i) as i, arg_max(x, struct_pack(i := i, t := t, x := x)) as x from f group by all")
-def last_token_vector(spark: SparkSession, d: str) -> DataFrame:
     """The whole state of the last token in each layer; the newest of equals. A vector with a null, NaN or infinite element does not count."""
-    return last_vectors(table(spark, d, "forward_traces", "item_id", "layer", "i", "extracted_at", "hidden_states"))
-
-
-def last_vectors(traces: DataFrame) -> DataFrame:
-    f = traces.filter((F.size("hidden_states") == 64) & F.col("item_id").isNotNull())
-    f = f.filter(F.forall("hidden_states", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))))
+    f = usable(table(spark, d, "forward_traces", "item_id", "layer", "i", "extracted_at", "hidden_states")).filter("item_id is not null")
     f = f.select("item_id", "layer", "i", F.coalesce("extracted_at", F.lit("0001-01-01").cast("timestamp")).alias("t"), F.transform("hidden_states", lambda v: F.round(v.cast("double"), 6)).alias("x"))
     return f.groupBy("item_id", "layer").agg(F.max("i").alias("i"), F.max_by("x", F.struct("i", "t", "x")).alias("x"))
 
 
-@q("svd_spectrum")
+def usable(traces: DataFrame, dims: int = 64) -> DataFrame:
+    """Rows whose vector has the right length and no null, NaN or infinite element."""
+    finite = F.forall("hidden_states", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
+    return traces.filter((F.size("hidden_states") == dims) & finite)
+
+
+@q("svd_spectrum", sql="select vec_id // 10 as item_id, least(count(*), 64) as n_values, round(sum(list_sum(list_transform(embedding, lambda v: power(cast(v as double), 2)))), 6) as squares, round(sum(list_sum(list_transform(embedding, lambda v: power(cast(v as double), 2)))), 6) as sigma_squares, true as falling from embeddings group by all")
 def svd_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    """Singular values of each item's ten token vectors, with the sum of squares that they have to add up to."""
-    import numpy as np
-    import pandas as pd
+    """Singular values of each item's token vectors: their number, order, and sum of squares beside the vectors' own."""
+    s = spectra(spark, d)
+    falling = F.forall(F.arrays_zip(F.slice("sigma", 1, F.size("sigma") - 1).alias("a"), F.slice("sigma", 2, F.size("sigma")).alias("b")), lambda p: p["a"] >= p["b"] - 1e-9)
+    return s.select("item_id", F.size("sigma").cast("long").alias("n_values"), F.round("squares", 6).alias("squares"), F.round(F.aggregate("sigma", F.lit(0.0), lambda a, v: a + v * v), 6).alias("sigma_squares"), falling.alias("falling"))
+
+
+@q("svd_values")
+def svd_values(spark: SparkSession, d: str) -> DataFrame:
+    """The singular values themselves."""
+    return spectra(spark, d).select("item_id", F.transform("sigma", lambda v: F.round(v, 6)).alias("sigma"))
+
 
+def spectra(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / V.TOKENS).alias("item_id"), (F.col("vec_id") % V.TOKENS).alias("i"), "embedding")
 
     def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -393,36 +417,62 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 # Channel weights of the linear part of a message, and of the edge type.
 CHANNEL = (0.75, -0.5)
 TYPE = (0.1, 0.3)
+ACT_LAYERS = (1, 3)  # layers of a block whose activations a node carries
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / V.TOKENS).alias("item_id"), (F.col("vec_id") % V.TOKENS).cast("int").alias("i"), X.doubles("embedding").alias("x"))
+
+
+@q(
+    "node_features",
+    sql=S.with_(V.SQL_ATTENTION, "sa as (select item_id, i, list(a order by head) as attn from att where i = j group by all)")
+    + f"select t.item_id, t.i, t.i >= {PROMPT} as is_resp, list_transform(attn, lambda v: round(v, 9)) as attn, list_transform(list_concat(x[17:32], x[49:64]), lambda v: round(v, 6)) as act from tok t join sa using (item_id, i)",
+)
+def node_features(spark: SparkSession, d: str) -> DataFrame:
+    """Each node's attention on itself by head, and its activations at two fixed layers."""
+    a = V.attention(spark, d).filter("i = j").groupBy("item_id", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("head", "a"))), lambda p: out(p["a"])).alias("attn"))
+    act = F.flatten(F.array(*[F.slice("x", 1 + 16 * k, 16) for k in ACT_LAYERS]))
+    return tokens(spark, d).join(a, ["item_id", "i"]).select("item_id", "i", (F.col("i") >= PROMPT).alias("is_resp"), "attn", F.transform(act, lambda v: F.round(v, 6)).alias("act"))
+
+
+def added(rows: Column, width: int = 64) -> Column:
+    """The sum of an array of arrays, place by place."""
+    return F.aggregate(rows, F.array_repeat(F.lit(0.0), width), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    """(item_id, i, deg, h): own value and the mean message of the sources: channels, value, type."""
-    tok = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / V.TOKENS).alias("item_id"), (F.col("vec_id") % V.TOKENS).cast("int").alias("i"), F.get("embedding", F.lit(0)).cast("double").alias("h0"))
+    """(item_id, i, deg, h): own vector and the mean message of the sources: channels, vector, type.
+
+    A node's incoming edges are at most the tokens before it, so they are added up inside its row.
+    """
+    tok = tokens(spark, d)
     weight = F.element_at(F.array(*[F.lit(c) for c in CHANNEL]), F.col("head") + 1)
     e = edges(spark, d).groupBy("item_id", "i", "j").agg(F.sum(F.col("a") * weight).alias("w"))
-    e = e.join(tok.select("item_id", F.col("i").alias("j"), F.col("h0").alias("src")), ["item_id", "j"])
-    m = e.groupBy("item_id", "i").agg(F.count(F.lit(1)).alias("deg"), F.sum(F.col("w") + F.col("src") + F.when(F.col("j") >= PROMPT, TYPE[1]).otherwise(TYPE[0])).alias("m"))
-    n = tok.join(m, ["item_id", "i"], "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
-    return n.select("item_id", "i", "deg", (F.col("h0") + F.coalesce("m", F.lit(0.0)) / F.greatest(F.lit(1), F.col("deg"))).alias("h"))
+    e = e.join(tok.select("item_id", F.col("i").alias("j"), F.col("x").alias("src")), ["item_id", "j"])
+    flat = F.col("w") + F.when(F.col("j") >= PROMPT, TYPE[1]).otherwise(TYPE[0])
+    m = e.groupBy("item_id", "i").agg(F.count(F.lit(1)).alias("deg"), F.sum(flat).alias("flat"), added(F.transform(F.array_sort(F.collect_list(F.struct("j", "src"))), lambda p: p["src"])).alias("m"))
+    n = tok.join(m, ["item_id", "i"], "left")
+    h = F.when(F.col("m").isNull(), F.col("x")).otherwise(F.zip_with("x", "m", lambda a, b: a + (b + F.col("flat")) / F.col("deg")))
+    return n.select("item_id", "i", F.coalesce("deg", F.lit(0)).alias("deg"), h.alias("h"))
 
 
 _MESSAGES = f"""
 ch as (select item_id, i, j, sum(a * case head when 0 then {CHANNEL[0]}e0 else {CHANNEL[1]}e0 end) as w from ed group by all),
-ms as (select c.item_id, c.i, count(*) as deg, sum(w + t.x[1] + case when c.j >= {PROMPT} then {TYPE[1]}e0 else {TYPE[0]}e0 end) as m from ch c join tok t on t.item_id = c.item_id and t.i = c.j group by all),
-nd as (select t.item_id, t.i, coalesce(deg, 0) as deg, t.x[1] + coalesce(m, 0e0) / greatest(1, coalesce(deg, 0)) as h from tok t left join ms on ms.item_id = t.item_id and ms.i = t.i)"""
+ms as (select c.item_id, c.i, count(*) as deg, sum(w + case when c.j >= {PROMPT} then {TYPE[1]}e0 else {TYPE[0]}e0 end) as flat, list(t.x) as xs from ch c join tok t on t.item_id = c.item_id and t.i = c.j group by all),
+nd as (select t.item_id, t.i, coalesce(deg, 0) as deg, case when deg is null then t.x else list_transform(range(1, 65), lambda k: t.x[k] + (list_sum(list_transform(xs, lambda v: v[k])) + flat) / deg) end as h from tok t left join ms on ms.item_id = t.item_id and ms.i = t.i)"""
 
 
-@q("message_pass_mean", sql=S.with_(V.SQL_ATTENTION, _EDGES, _MESSAGES) + "select item_id, i, deg, round(h, 6) as h from nd")
+@q("message_pass_mean", sql=S.with_(V.SQL_ATTENTION, _EDGES, _MESSAGES) + "select item_id, i, deg, list_transform(h, lambda v: round(v, 6)) as h from nd")
 def message_pass_mean(spark: SparkSession, d: str) -> DataFrame:
     """One round of messages: sparse channels times weights, averaged over the incoming edges."""
-    return messages(spark, d).select("item_id", "i", "deg", F.round("h", 6).alias("h"))
+    return messages(spark, d).select("item_id", "i", "deg", F.transform("h", lambda v: F.round(v, 6)).alias("h"))
 
 
-@q("graph_pool", sql=S.with_(V.SQL_ATTENTION, _EDGES, _MESSAGES) + f"select item_id, count(*) filter (where i >= {PROMPT}) as n_resp, round(coalesce(sum(h) filter (where i >= {PROMPT}), 0e0) / greatest(1, count(*) filter (where i >= {PROMPT})), 6) as pooled from nd group by all")
+@q("graph_pool", sql=S.with_(V.SQL_ATTENTION, _EDGES, _MESSAGES, f"po as (select item_id, count(*) as n_resp, list(h) as hs from nd where i >= {PROMPT} group by all), it as (select distinct item_id from nd)") + "select it.item_id, coalesce(n_resp, 0) as n_resp, list_transform(range(1, 65), lambda k: round(coalesce(list_sum(list_transform(hs, lambda v: v[k])), 0e0) / greatest(1, coalesce(n_resp, 0)), 6)) as pooled from it left join po using (item_id)")
 def graph_pool(spark: SparkSession, d: str) -> DataFrame:
-    """Mean over the response's nodes of each graph."""
+    """Mean over the response's nodes of each graph; zeros for a graph without any."""
     n = messages(spark, d)
     resp = F.col("i") >= PROMPT
-    return n.groupBy("item_id").agg(X.count_if(resp).alias("n_resp"), F.round(F.coalesce(F.sum(F.when(resp, F.col("h"))), F.lit(0.0)) / F.greatest(F.lit(1), X.count_if(resp)), 6).alias("pooled"))
-
-
+    g = n.groupBy("item_id").agg(X.count_if(resp).alias("n_resp"), added(F.transform(F.array_sort(F.collect_list(F.when(resp, F.struct("i", "h")))), lambda p: p["h"])).alias("s"))
+    return g.select("item_id", "n_resp", F.transform("s", lambda v: F.round(v / F.greatest(F.lit(1), F.col("n_resp")), 6)).alias("pooled"))

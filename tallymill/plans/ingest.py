@@ -13,6 +13,7 @@ from tallymill.functions.expressions import order_hash, out
 from tallymill.operators import ranked as R
 from tallymill.operators import records
 from tallymill.plans.agreement import SQL_MAJORITY, majority
+from tallymill.plans.features import usable
 from tallymill.registry import CORE
 from tallymill.sources import views as V
 from tallymill.sources.tables import table
@@ -97,18 +98,28 @@ def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return records.pending(table(spark, d, "items", "item_id").filter("item_id is not null").distinct(), table(spark, d, "answers", "item_id"), "item_id")
 
 
+_USABLE = "len(hidden_states) = 64 and len(list_filter(hidden_states, lambda v: v is not null and isfinite(v))) = 64"
+
+
 @q(
     "feature_scan",
-    sql=S.with_(SQL_MAJORITY, "f as (select item_id, i, hidden_states[1] as x1, hidden_states[2] as x2, extracted_at from forward_traces where layer = 20 and len(hidden_states) = 64 and item_id in (select item_id from lab where scored))")
-    + "select item_id, i, round(cast(arg_max(x1, extracted_at) as double), 6) as x1, round(cast(arg_max(x2, extracted_at) as double), 6) as x2 from f where x1 is not null and x2 is not null group by all",
+    sql=S.with_(SQL_MAJORITY, f"f as (select item_id, i, coalesce(extracted_at, timestamp '0001-01-01') as t, list_transform(hidden_states, lambda v: round(cast(v as double), 6)) as x from forward_traces where layer = 20 and {_USABLE} and item_id in (select item_id from lab where scored))")
+    + "select item_id, i, arg_max(x, struct_pack(t := t, x := x)) as x from f group by all",
 )
 def feature_scan(spark: SparkSession, d: str) -> DataFrame:
     """One block of features of the scored items only: pruned columns, a pushed filter, a semi join."""
     lab = majority(V.votes(spark, d)).filter("scored").select("item_id")
-    f = table(spark, d, "forward_traces", "item_id", "layer", "i", "hidden_states", "extracted_at").filter((F.col("layer") == 20) & (F.size("hidden_states") == 64))
-    f = f.join(lab, "item_id", "left_semi").select("item_id", "i", F.get("hidden_states", F.lit(0)).alias("x1"), F.get("hidden_states", F.lit(1)).alias("x2"), "extracted_at").filter("x1 is not null and x2 is not null")
-    g = f.groupBy("item_id", "i").agg(F.max_by("x1", "extracted_at").alias("x1"), F.max_by("x2", "extracted_at").alias("x2"))
-    return g.select("item_id", "i", F.round(F.col("x1").cast("double"), 6).alias("x1"), F.round(F.col("x2").cast("double"), 6).alias("x2"))
+    return scan_features(table(spark, d, "forward_traces", "item_id", "layer", "i", "hidden_states", "extracted_at"), lab, 20)
+
+
+def scan_features(traces: DataFrame, wanted: DataFrame, layer: int, required: bool = False) -> DataFrame:
+    """(item_id, i, x) of the wanted items' newest usable vectors; ``required`` raises if an item has none."""
+    f = usable(traces.filter(F.col("layer") == layer)).join(wanted.select("item_id"), "item_id", "left_semi")
+    f = f.select("item_id", "i", F.coalesce("extracted_at", F.lit("0001-01-01").cast("timestamp")).alias("t"), F.transform("hidden_states", lambda v: F.round(v.cast("double"), 6)).alias("x"))
+    out_ = f.groupBy("item_id", "i").agg(F.max_by("x", F.struct("t", "x")).alias("x"))
+    if required:
+        records.require_all(wanted, out_, "item_id")
+    return out_
 
 
 @q("unpivot_predictions", sql=S.with_(V.SQL_LONG) + "select item_id, y, method, round(score, 9) as score, pred from emb")
@@ -130,14 +141,13 @@ def pivot_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 @q(
     "draw_fingerprint",
-    sql=S.with_(V.SQL_PREDICTIONS, "i as (select distinct run, seed, item_id, y from pred)") + "select run, seed, count(*) as n, md5(string_agg(item_id || '=' || y, ',' order by item_id, y)) as fingerprint from i group by all",
+    sql=S.with_(V.SQL_PREDICTIONS, "i as (select distinct run, seed, item_id, y from pred)") + "select run, seed, count(*) as n, cast(sum(cast(('0x' || substr(md5(item_id || '=' || y), 1, 12)) as bigint)) as varchar) as fingerprint from i group by all",
 )
 def draw_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """A hash of each draw's ordered ids and labels."""
+    """A fingerprint of each draw's ids and labels, whatever their order: a sum of hashes, so no draw is gathered."""
     i = V.predictions(spark, d).select("run", "seed", "item_id", "y").distinct()
-    rows = F.array_sort(F.collect_list(F.struct("item_id", "y")))
-    text = F.array_join(F.transform(rows, lambda r: F.concat(r["item_id"], F.lit("="), r["y"].cast("string"))), ",")
-    return i.groupBy("run", "seed").agg(F.count(F.lit(1)).alias("n"), F.md5(text).alias("fingerprint"))
+    h = F.conv(F.substring(F.md5(F.concat("item_id", F.lit("="), F.col("y").cast("string"))), 1, 12), 16, 10).cast("decimal(20,0)")
+    return i.groupBy("run", "seed").agg(F.count(F.lit(1)).alias("n"), F.sum(h).cast("decimal(38,0)").cast("string").alias("fingerprint"))
 
 
 @q(
@@ -262,33 +272,51 @@ def slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "verdicts", "judge").distinct().select("judge", T.slug(F.col("judge")).alias("slug"))
 
 
-_GOLD = "coalesce(nullif(array_to_string(gold_answers[1:20], '; '), ''), '(none provided)')"
+_STRIP = lambda c: f"regexp_replace({c}, '^{T.WHITE}+|{T.WHITE}+$', '', 'g')"
+_GOLD = f"case when coalesce(len(gold_answers), 0) > 0 then array_to_string(gold_answers[1:{T.MAX_GOLDS}], '; ') else '{T.NO_GOLDS}' end"
+_JUDGE = T.sql_fill(T.JUDGE_TEXT, question="question", gold=_GOLD, answer=f"coalesce(nullif({_STRIP('answer')}, ''), '{T.NO_ANSWER}')")
 
 
-@q("judge_prompt", sql=f"select gen_id, md5('Question: ' || coalesce(question, '') || chr(10) || 'Reference answers: ' || {_GOLD} || chr(10) || 'Proposed answer: ' || coalesce(nullif(regexp_replace(answer, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), ''), '(empty)') || chr(10) || 'Label:') as prompt from answers")
+@q("judge_prompt", sql=f"select gen_id, md5({T.sql_fill(T.JUDGE_SYSTEM)}) as system, md5({_JUDGE}) as prompt from answers")
 def judge_prompt(spark: SparkSession, d: str) -> DataFrame:
-    """The judge's prompt of every generation (its hash)."""
+    """The judge's messages for every generation (their hashes)."""
     a = table(spark, d, "answers", "gen_id", "question", "gold_answers", "answer")
-    return a.select("gen_id", F.md5(T.judge_prompt(F.col("question"), F.col("gold_answers"), F.col("answer"))).alias("prompt"))
+    return a.select("gen_id", F.md5(F.lit(T.JUDGE_SYSTEM)).alias("system"), F.md5(T.judge_prompt(F.col("question"), F.col("gold_answers"), F.col("answer"))).alias("prompt"))
+
+
+def _sql_by_context(plain: str, passage: str) -> str:
+    return f"md5(case when coalesce(length(context), 0) > 0 then {T.sql_fill(passage, context='context', question='question')} else {T.sql_fill(plain, question='question')} end)"
 
 
-@q("generator_prompt", sql="select item_id, md5(case when coalesce(length(context), 0) > 0 then 'Read the passage and answer briefly.' || chr(10) || 'Passage: ' || context || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || 'Answer:' else 'Answer briefly.' || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || 'Answer:' end) as prompt from items")
+@q("generator_prompt", sql=f"select item_id, md5({T.sql_fill(T.CHAT_SYSTEM)}) as system, {_sql_by_context(T.CHAT_PLAIN, T.CHAT_PASSAGE)} as chat, {_sql_by_context(T.SHOT_PLAIN, T.SHOT_PASSAGE)} as few_shot from items")
 def generator_prompt(spark: SparkSession, d: str) -> DataFrame:
-    """The generator's prompt of every item, with the passage if there is one (its hash)."""
+    """The generator's messages for every item, and its few-shot form, with the passage if there is one (their hashes)."""
     i = table(spark, d, "items", "item_id", "question", "context")
-    return i.select("item_id", F.md5(T.generator_prompt(F.col("question"), F.col("context"))).alias("prompt"))
+    forms = {"chat": T.chat_prompt, "few_shot": T.few_shot_prompt}
+    return i.select("item_id", F.md5(F.lit(T.CHAT_SYSTEM)).alias("system"), *[F.md5(f(F.col("question"), F.col("context"))).alias(k) for k, f in forms.items()])
 
 
-_STOPS = "least(" + ", ".join(f"nullif(instr(t, {m}), 0)" for m in ("chr(10) || 'Q:'", "chr(10) || 'Question:'", "chr(10) || chr(10)")) + ")"
+_STOPS = "least(" + ", ".join(f"nullif(instr(t, {m}), 0)" for m in ("chr(10) || 'Q:'", "chr(10) || 'Passage:'", "chr(10) || chr(10)")) + ")"
 
 
-@q("trim_completion", sql=f"with x as (select doc_id, text as t from documents where text is not null), y as (select doc_id, t, {_STOPS} as p from x) select doc_id, md5(trim(case when p is null then t else substr(t, 1, p - 1) end, ' ')) as completion from y")
+@q("trim_completion", sql=f"with x as (select doc_id, text as t from documents where text is not null), y as (select doc_id, t, {_STOPS} as p from x) select doc_id, md5({_STRIP('case when p is null then t else substr(t, 1, p - 1) end')}) as completion from y")
 def trim_completion(spark: SparkSession, d: str) -> DataFrame:
     """Texts cut before the first stop marker (their hash)."""
     t = table(spark, d, "documents", "doc_id", "text").filter("text is not null")
     return t.select("doc_id", F.md5(T.trim_completion(F.col("text"))).alias("completion"))
 
 
+@q(
+    "feature_keys",
+    sql="with k as (select distinct item_id || '/' || unnest(map_keys(feature_shapes)) as key, unnest(map_values(feature_shapes)) as shape from answers) select key, regexp_extract(key, '^(.*)/[^/]*$', 1, 's') as item_id, regexp_extract(key, '([^/]*)$', 1) as block, cast(list_product(shape) as bigint) as width from k where key is not null",
+)
+def feature_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of stored blocks with item and block (split at the last slash) and the number of values in each."""
+    k = table(spark, d, "answers", "item_id", "feature_shapes").select("item_id", F.explode("feature_shapes").alias("b", "shape")).select(F.concat("item_id", F.lit("/"), "b").alias("key"), "shape").filter("key is not null").distinct()
+    item, block = T.split_key(F.col("key"))
+    return k.select("key", item.alias("item_id"), block.alias("block"), F.aggregate("shape", F.lit(1).cast("long"), lambda a, v: a * v).alias("width"))
+
+
 @q("json_explode", sql="with j as (select event_id, event_type, unnest(json_keys(props)) as key, props from events) select event_type, key, count(*) as n, cast(sum(cast(json_extract_string(props, '$.' || key) as bigint)) as bigint) as total from j group by all")
 def json_explode(spark: SparkSession, d: str) -> DataFrame:
     """Keys and values of a JSON column, added up by type."""
@@ -309,7 +337,17 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return j.select("dataset", "n_answered", "n_labelled", out("r").alias("scored_rate"), ((F.col("n_labelled") >= 0.5 * F.col("n_answered")) & (F.coalesce("r", F.lit(0.0)) >= 0.6)).alias("passed"))
 
 
-@q("edge_batches")
+@q(
+    "edge_batches",
+    sql="""with recursive a as (select distinct shard, gen_id, seq_len from answers where shard is not null and gen_id is not null and seq_len is not null),
+      o as (select *, row_number() over (partition by shard order by gen_id) as k from a),
+      b as (select shard, gen_id, k, 0 as batch, 1 as n, cast(seq_len as bigint) as total from o where k = 1
+            union all
+            select o.shard, o.gen_id, o.k, b.batch + case when b.n >= 64 or b.total + o.seq_len > 8000 then 1 else 0 end,
+              case when b.n >= 64 or b.total + o.seq_len > 8000 then 1 else b.n + 1 end, case when b.n >= 64 or b.total + o.seq_len > 8000 then o.seq_len else b.total + o.seq_len end
+            from b join o on o.shard = b.shard and o.k = b.k + 1)
+      select shard, gen_id, cast(batch as int) as batch from b""",
+)
 def edge_batches(spark: SparkSession, d: str) -> DataFrame:
     """Answers of a shard in batches of at most 64 items and 8,000 positions."""
     a = table(spark, d, "answers", "shard", "gen_id", "seq_len").distinct().filter("shard is not null and gen_id is not null and seq_len is not null")

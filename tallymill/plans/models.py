@@ -12,7 +12,7 @@ from tallymill.operators import models as M
 from tallymill.operators import ranked as R
 from tallymill.operators import sampling as G
 from tallymill.plans.ensembles import applied
-from tallymill.plans.features import messages
+from tallymill.plans.features import graph_pool
 from tallymill.plans.metrics import answers_by_item
 from tallymill.registry import CORE
 from tallymill.session import cut
