@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallymill.functions import expressions as X
+from tallymill.functions import named
 from tallymill.functions import prompts as T
 from tallymill.functions import sqltext as S
 from tallymill.functions.expressions import order_hash, out
@@ -352,3 +353,45 @@ def edge_batches(spark: SparkSession, d: str) -> DataFrame:
     """Answers of a shard in batches of at most 64 items and 8,000 positions."""
     a = table(spark, d, "answers", "shard", "gen_id", "seq_len").distinct().filter("shard is not null and gen_id is not null and seq_len is not null")
     return records.batches(a, "gen_id", "seq_len", "shard", 64, 8000)
+
+
+_W = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_INVALID = f"aw = '' or regexp_matches(aw, '{named.DECLINES}')"
+_RIGHT = {
+    "exact": "len(list_filter(gw, lambda g: g <> '' and g = aw)) > 0",
+    "contains": "len(list_filter(gw, lambda g: g <> '' and contains(' ' || aw || ' ', ' ' || g || ' '))) > 0",
+    "overlap": "list_max(list_transform(gw, lambda g: case when g = '' then 0e0 else 2e0 * len(list_intersect(list_distinct(string_split(aw, ' ')), list_distinct(string_split(g, ' ')))) / (len(list_distinct(string_split(aw, ' '))) + len(list_distinct(string_split(g, ' ')))) end)) >= 0.5e0",
+}
+
+
+@q(
+    "judge_rules",
+    sql=f"with w as (select distinct gen_id, {_W('answer')} as aw, gold_answers, list_transform(gold_answers, lambda g: {_W('g')}) as gw from answers where gen_id is not null), j as ("
+    + " union all ".join(f"select gen_id, '{k}' as judge, case when {_INVALID} then 'INVALID' when coalesce(len(gold_answers), 0) = 0 then 'UNPARSEABLE' when {c} then 'NOT_HALLUCINATED' else 'HALLUCINATED' end as label from w" for k, c in _RIGHT.items())
+    + ") select distinct gen_id, judge, label from j",
+)
+def judge_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Every generation judged by the named rules: an equal answer, one that holds a reference, one that shares half its words."""
+    named.install(spark)
+    a = table(spark, d, "answers", "gen_id", "answer", "gold_answers").filter("gen_id is not null")
+    return named.judged(a, "gen_id", "answer", "gold_answers", list(_RIGHT)).distinct()
+
+
+_N = "sqrt(list_sum(list_transform(x, lambda v: v * v)))"
+_BLOCKS = {
+    "norm": f"[{_N}]",
+    "top": "list_reverse_sort(x)[1:10]",
+    "moments": "[list_sum(x) / len(x), list_sum(list_transform(x, lambda v: v * v)) / len(x), list_min(x), list_max(x)]",
+    "softmax_entropy": "[ln(list_sum(list_transform(x, lambda v: exp(v - mx)))) - list_sum(list_transform(x, lambda v: (v - mx) * exp(v - mx))) / list_sum(list_transform(x, lambda v: exp(v - mx)))]",
+}
+
+
+@q(
+    "extract_blocks",
+    sql="with e as (select vec_id, list_transform(embedding, lambda v: cast(v as double)) as x, cast(list_max(embedding) as double) as mx from embeddings), b as (" + " union all ".join(f"select vec_id, '{k}' as block, {c} as v from e" for k, c in _BLOCKS.items()) + ") select vec_id, block, list_transform(v, lambda z: round(z, 6)) as values from b",
+)
+def extract_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Every named extractor on every vector."""
+    named.install(spark)
+    b = named.extracted(table(spark, d, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", list(_BLOCKS))
+    return b.select("vec_id", "block", F.transform("values", lambda v: F.round(v, 6)).alias("values"))

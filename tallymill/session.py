@@ -12,6 +12,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,31 +39,63 @@ def local_session(cores: int | str = 8, memory: str = "12g", partitions: int | N
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, one of our own."""
-    set_already = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, one of our own.
+
+    A folder of this machine serves a local session only; other machines could not read it.
+    """
+    set_already = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if set_already:
         return set_already.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="tallymill-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
-    try:
-        spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    except Exception:  # a static setting: the folder is kept on the session object instead
-        cached = getattr(spark, "_tallymill_folder", None)
-        if cached:
-            shutil.rmtree(own, ignore_errors=True)
-            return cached
-        spark._tallymill_folder = f"file://{own}"
+    _own[spark.sparkContext.applicationId] = f"file://{own}"
     return f"file://{own}"
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the plan starts anew from that table."""
+_own: dict[str, str] = {}  # by application
+_tables: dict[str, Any] = {}  # written and not removed yet: the path, and the settings of its file system
+
+
+def cut(df: DataFrame, name: str = "t", replaces: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the plan starts anew from that table.
+
+    ``replaces`` is an earlier such table that nothing reads any more; it is removed at once. All
+    others are removed when the driver's Python ends, on whatever file system they lie.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _tables:
+        atexit.register(remove_all)
+    _tables[path] = spark
+    if replaces is not None:
+        remove(replaces)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tallymill_path = path
+    return out
+
+
+def remove(table: DataFrame | str) -> None:
+    """Remove a table of ``cut``; of any other frame, nothing."""
+    path = table if isinstance(table, str) else getattr(table, "_tallymill_path", None)
+    spark = _tables.pop(path, None)
+    if spark is None:
+        return
     if path.startswith("file://"):
-        atexit.register(shutil.rmtree, path[len("file://") :], ignore_errors=True)
-    return spark.read.schema(df.schema).parquet(path)
+        shutil.rmtree(path[len("file://") :], ignore_errors=True)
+        return
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session's JVM has ended: the cluster's own clean-up has to do it
+        return
+
+
+def remove_all() -> None:
+    for path in list(_tables):
+        remove(path)
 
 
 def cores_of(spark: SparkSession) -> int:

@@ -18,6 +18,17 @@ from pyspark.sql import functions as F
 from tallymill.operators.records import parse_jsonl
 
 
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A document of JSON that spans lines, or one per line; the schema is read from it unless given."""
+    r = spark.read.option("multiLine", True)
+    return (r.schema(schema) if schema else r).json(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Replace a small result by another: readers see the old one or the new one, whole."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of an append-only log; lines that are cut short are skipped."""
     return parse_jsonl(spark.read.text(path), schema)
@@ -53,6 +64,29 @@ def provenance(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
     return spark.createDataFrame([row], "taken_at string, spark string, python string, commit string, config string")
 
 
+class OofStore:
+    """Out-of-fold scores and decisions of a block's model, with those of every other block.
+
+    The layout is that of ``predictions`` (run, source, seed, fold, item_id, dataset, group_id, y,
+    method, score, pred, threshold), so that every query on predictions reads them too. A block that is
+    saved again for a run, seed and method replaces what was there.
+    """
+
+    COLUMNS = ("run", "source", "seed", "fold", "item_id", "dataset", "group_id", "y", "method", "score", "pred", "threshold")
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def save(self, oof: DataFrame, run: str, seed: int, method: str, source: str = "block") -> None:
+        rows = oof.withColumns({"run": F.lit(run), "seed": F.lit(seed), "method": F.lit(method), "source": F.lit(source)})
+        rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in self.COLUMNS])
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "seed", "method").parquet(self.path)
+
+    def load(self, run: str | None = None) -> DataFrame:
+        df = self.spark.read.parquet(self.path).select(*self.COLUMNS)
+        return df if run is None else df.filter(F.col("run") == run)
+
+
 class FitStore:
     """Finished fits, kept by the fingerprint of their rows, the fold and a hash of the parameters."""
 
