@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import pickle
+import uuid
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.functions import expressions as X
-from tallymill.functions.expressions import out
+from tallymill.functions import graphnet
+from tallymill.functions.expressions import order_hash, out
 from tallymill.operators import models as M
 from tallymill.operators import ranked as R
 from tallymill.operators import sampling as G
-from tallymill.plans.ensembles import applied
-from tallymill.plans.features import graph_pool
+from tallymill.plans.ensembles import applied, folded
+from tallymill.plans.features import PROMPT, edges, node_features, top_k
 from tallymill.plans.metrics import answers_by_item
 from tallymill.registry import CORE
-from tallymill.session import cut
+from tallymill.session import cut, shared_folder
 from tallymill.sources import views as V
+from tallymill.sources.stores import OofStore
 from tallymill.sources.tables import table
 
 q = CORE.query
@@ -38,24 +44,100 @@ def report(oof: DataFrame) -> DataFrame:
     return c.join(R.auroc(p, ["method"]), "method").select("n", out("auroc").alias("auroc"), out(X.mcc()).alias("mcc"))
 
 
+def quality(oof: DataFrame) -> DataFrame:
+    """(method, n, auroc, mcc) of scores and of the models' own decisions."""
+    oof = cut(oof, "scores")
+    c = oof.groupBy("method").agg(*X.confusion(), F.count(F.lit(1)).alias("n"))
+    return c.join(R.auroc(oof, ["method"]), "method").select("method", "n", out("auroc").alias("auroc"), out(X.mcc()).alias("mcc"))
+
+
 def _probe(name: str, fit, text: str):  # noqa: ANN001, ANN202
+    """A query of out-of-fold scores; ``fit`` is one fit, or a dictionary of fits by method."""
+
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return M.sampled_oof(rows(spark, d), fit).select("item_id", "fold", "y", F.round("score", 6).alias("score"))
+        oof = M.sampled_oof(rows(spark, d), fit)
+        return oof.select("item_id", "fold", "y", *(["method", "pred"] if isinstance(fit, dict) else []), F.round("score", 6).alias("score"))
 
     query.__doc__, query.__name__ = text, name
     return q(name)(query)
 
 
+GRID = [{"c": c} for c in M.C_GRID]
 oof_predictions = _probe("oof_predictions", M.fit_tuned, "Logistic regression with its penalty chosen on an inner part.")
-pca_logreg = _probe("pca_logreg", M.fit_pca, "Components of the standardised block, then logistic regression.")
+pca_logreg = _probe("pca_logreg", M.fit_pca, "Components of the standardised block (512, or as many as there are), then logistic regression.")
 blockpca_logreg = _probe("blockpca_logreg", M.fit_block_pca, "Components by block side by side, then logistic regression.")
 lda_oof = _probe("lda_oof", M.fit_lda, "Linear discriminant with shrinkage.")
-svm_linear_oof = _probe("svm_linear_oof", M.fit_svm, "Linear support vectors with squared hinge loss.")
-rff_logreg = _probe("rff_logreg", M.fit_fourier, "Random Fourier features, then logistic regression.")
-mlp_oof = _probe("mlp_oof", M.fit_mlp, "A multi-layer probe with early stopping.")
+svm_oof = _probe(
+    "svm_oof",
+    {"linear": lambda x, y, v: M.fit_svm(x, y), "radial": M.nested(M.fit_radial, [{"c": c, "gamma": g} for c in (0.3, 3.0) for g in (0.3, 1.0)])},
+    "Support vectors with squared hinge loss: linear, and with a radial kernel chosen on the inner part.",
+)
+kernel_features = _probe(
+    "kernel_features",
+    {"fourier": lambda x, y, v: M.fit_fourier(x, y), "nystroem": M.nested(M.fit_nystroem, [{"c": c, "gamma": g} for c in (0.3, 3.0) for g in (0.3, 1.0)])},
+    "Random Fourier features and landmark features of a radial kernel, each before a logistic regression.",
+)
+mlp_oof = _probe(
+    "mlp_oof",
+    {"wide": lambda x, y, v: M.fit_mlp(x, y, (256, 128, 64)), "narrow": lambda x, y, v: M.fit_mlp(x, y, (128, 64, 32)), "block_encoder": lambda x, y, v: M.fit_mlp(x, y, (32, 32), blocks=[0, 16, 32, 48, 64])},
+    "Multi-layer probes of two sizes with early stopping, and one whose first layer is an encoder per block.",
+)
 gbt_oof = _probe("gbt_oof", M.fit_boosted, "Gradient-boosted trees.")
 
 
+# The blocks of the detectors, side by side: largest values, largest sizes, four layers, their norms, cosines of neighbours.
+EDGES = [0, 16, 32, 96, 100, 103]
+_LAYERS = [list(range(32 + 16 * k, 48 + 16 * k)) for k in range(4)]
+_BLOCK = [list(range(a, b)) for a, b in zip(EDGES[:-1], EDGES[1:], strict=True)]
+
+
+def _union(equal: bool, width: int = 8) -> M.Fit:
+    """All blocks with one of the layers: as they are, or each brought to the same number of components."""
+
+    def fit(x: np.ndarray, y: np.ndarray, layer: int, c: float) -> tuple[str, dict]:
+        cols = [*_BLOCK[0], *_BLOCK[1], *_LAYERS[layer], *_BLOCK[3], *_BLOCK[4]]
+        name, p = M.fit_block_pca(x[:, cols], y, k=width, c=c, edges=[0, 16, 32, 48, 52, 55]) if equal else M.fit_logistic(x[:, cols], y, c)
+        return name, {**p, "columns": np.array(cols)}
+
+    return M.nested(fit, [{"layer": k, "c": c} for k in (1, 2, 3) for c in M.C_GRID])
+
+
+DETECTORS: dict[str, M.Fit] = {
+    "lapeigvals": M.nested(M.on_columns(M.fit_pca, _BLOCK[0]), [{"k": 512, "c": 1.0}]),
+    "attn_baseline": M.nested(M.on_columns(M.fit_logistic, _BLOCK[1]), GRID),
+    "svd_baseline": M.nested(M.on_columns(M.fit_logistic, _BLOCK[3]), GRID),
+    "saplma": M.nested(M.on_columns(M.fit_mlp), [{"layer": c, "sizes": (256, 128, 64), "epochs": 20} for c in _LAYERS]),
+    "icr": M.nested(M.on_columns(M.fit_mlp, _BLOCK[4]), [{"sizes": (128, 64, 32), "epochs": 20}]),
+    "union_raw": _union(False),
+    "union_equal": _union(True),
+}
+
+
+def blocks(spark: SparkSession, d: str) -> DataFrame:
+    r = rows(spark, d)
+    layer = [F.slice("x", 1 + 16 * k, 16) for k in range(4)]
+    norm = [F.sqrt(X.dot(c, c)) for c in layer]
+    cosine = [F.coalesce(X.dot(a, b) / F.nullif(m * n, F.lit(0.0)), F.lit(0.0)) for a, b, m, n in zip(layer, layer[1:], norm, norm[1:], strict=False)]
+    return r.withColumn("x", F.concat(top_k("x", 16), top_k(F.transform("x", lambda v: F.abs(v)), 16), "x", F.array(*norm), F.array(*cosine)))
+
+
+@q("detector_oof")
+def detector_oof(spark: SparkSession, d: str) -> DataFrame:
+    """Every detector by the nested protocol: inner choice, threshold, a fit on all training rows, out-of-fold scores and decisions."""
+    return M.sampled_oof(blocks(spark, d), DETECTORS).select("item_id", "fold", "y", "method", F.round("score", 6).alias("score"), "pred")
+
+
+@q("detector_report")
+def detector_report(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of every detector, from its stored out-of-fold scores, which all queries on predictions can read."""
+    store = OofStore(spark, f"{shared_folder(spark)}/oof-{uuid.uuid4().hex}")
+    oof = cut(M.sampled_oof(blocks(spark, d), DETECTORS), "oof")
+    items = rows(spark, d).select("item_id", "dataset", "group_id")
+    for m in DETECTORS:
+        store.save(oof.filter(F.col("method") == m).drop("method").join(items, "item_id"), "r0", 0, m)
+    return quality(store.load("r0").select("item_id", "fold", "y", "method", "score", "pred"))
+
+
 @q("logreg_oof")
 def logreg_oof(spark: SparkSession, d: str) -> DataFrame:
     """Logistic regression over all rows, every fold in the same passes."""
@@ -78,12 +160,12 @@ def length_probe(spark: SparkSession, d: str) -> DataFrame:
 
 @q("layer_sweep")
 def layer_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """The probe on each of four layers, and on the mean of the two best ones' scores."""
-    every = cut(M.logistic_oof(rows(spark, d), arms={f"layer_{k}": list(range(16 * k, 16 * k + 16)) for k in range(4)}), "layers")
-    a = R.auroc(every, ["method"]).select("method", "auroc")
-    best = [r[0] for r in a.orderBy(F.desc("auroc"), "method").limit(2).collect()]
-    mix = every.filter(F.col("method").isin(best)).groupBy("item_id", "fold", "y").agg(F.avg("score").alias("score")).withColumn("method", F.lit("mix"))
-    return a.unionByName(R.auroc(mix, ["method"]).select("method", "auroc")).select("method", out("auroc").alias("auroc"))
+    """Probes on each of four layers, and on layers that each training part chooses for itself on its validating rows."""
+    r = rows(spark, d)
+    every = M.logistic_oof(r, arms={f"layer_{k}": list(range(16 * k, 16 * k + 16)) for k in range(4)})
+    fits = {"best_single": M.layer_mix(16, 1), "mix_of_2": M.layer_mix(16, 2)}
+    fits |= {f"last_{k}_{m}": M.last_layers(16, k, m) for k in (2, 3) for m in ("per_layer", "budget", "joint")}
+    return quality(every.unionByName(M.sampled_oof(r, fits)))
 
 
 @q("stacking_forward")
@@ -102,26 +184,63 @@ def stacking_forward(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(curve, "size int, added string, auroc double")
 
 
-@q("supervised_components")
-def supervised_components(spark: SparkSession, d: str) -> DataFrame:
-    """Partial least squares: components by deflation from one pass of moments, with their share of the label."""
-    b = rows(spark, d).filter("y is not null").withColumn("x", F.concat("x", F.array(F.col("y").cast("double")))).withColumn("fold", F.lit(0))
-    mean, sd, second, n = M.moments(b, [-1])[-1]
+def _pls(mean: np.ndarray, sd: np.ndarray, second: np.ndarray, components: int) -> list[np.ndarray]:
+    """Coefficients on standardised columns after each component; the label is the last column of the moments."""
     cov = (second - np.outer(mean, mean)) / np.outer(sd, sd)
     s, c = cov[:-1, :-1], cov[:-1, -1]
-    r, out_rows, explained = c.copy(), [], 0.0
-    ws: list[np.ndarray] = []
-    for k in range(4):
+    r, ws, coef, out_ = c.copy(), [], np.zeros(len(c)), []
+    for _ in range(components):
         w = r / max(float(np.linalg.norm(r)), 1e-12)
         for v in ws:  # directions that are uncorrelated with the earlier ones
             w = w - v * float(v @ s @ w) / max(float(v @ s @ v), 1e-12)
-        var = float(w @ s @ w)
-        load = float(w @ c) / max(var, 1e-12)
-        explained += float(w @ c) ** 2 / max(var, 1e-12)
+        load = float(w @ c) / max(float(w @ s @ w), 1e-12)
         r = r - s @ w * load
+        coef = coef + w * load
         ws.append(w)
-        out_rows.append((k + 1, round(explained, 9), round(var, 9)))
-    return spark.createDataFrame(out_rows, "component int, r2 double, variance double")
+        out_.append(coef.copy())
+    return out_
+
+
+@q("supervised_components")
+def supervised_components(spark: SparkSession, d: str) -> DataFrame:
+    """Partial least squares by fold: the label's variance that each number of components explains, in training and held out, beside labels dealt at random.
+
+    All folds' moments come from one pass; the components follow from them on the driver. The null's
+    labels are dealt by a hash with the rate of the real ones, so no row has to be moved.
+    """
+    b = rows(spark, d).filter("y is not null")
+    rate = b.agg(F.avg("y")).first()[0] or 0.0
+    dealt = F.conv(F.substring(order_hash(F.lit("null"), F.col("item_id").cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0 < rate
+    kinds = {"real": F.col("y").cast("double"), "null": dealt.cast("double")}
+    out_ = None
+    for kind, label in kinds.items():
+        z = cut(b.select("item_id", "fold", "y", F.concat("x", F.array(label)).alias("x")), "labelled")
+        folds = sorted(r[0] for r in z.select("fold").distinct().collect())
+        models = {}
+        for held, (mean, sd, second, _) in M.moments(z, folds).items():
+            models[held] = [(str(k + 1), "regression", {"mean": mean, "sd": sd, "w": w}) for k, w in enumerate(_pls(mean, sd, second, 4))]
+        train = {h: [m for f, own in models.items() if f != h for m in own] for h in folds}  # a row is in the training part of every other fold
+        both = _fitted(z, models, True).unionByName(_fitted(z, train, False)).withColumn("labels", F.lit(kind))
+        out_ = both if out_ is None else out_.unionByName(both)
+    e = out_.groupBy("labels", "component", "part").agg((1 - F.sum((F.col("t") - F.col("s")) * (F.col("t") - F.col("s"))) / F.nullif(F.var_pop("t") * F.count(F.lit(1)), F.lit(0.0))).alias("r2"))
+    return e.groupBy("labels", "component").agg(out(F.max(F.when(F.col("part") == "train", F.col("r2")))).alias("r2_train"), out(F.max(F.when(F.col("part") == "held_out", F.col("r2")))).alias("r2_held_out"))
+
+
+def _fitted(z: DataFrame, models: dict[int, list[tuple[str, str, dict]]], held: bool) -> DataFrame:
+    """(component, part, t, s): labels and fitted values by the models given for each fold."""
+
+    def run(parts):  # noqa: ANN001, ANN202
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            x, f = M.matrix(pdf["x"]), pdf["fold"].to_numpy()
+            for fold, own_models in models.items():
+                own = f == fold
+                for name, _, p in own_models if own.any() else []:
+                    u = (x[own] - p["mean"]) / p["sd"]
+                    yield pd.DataFrame({"component": int(name), "part": "held_out" if held else "train", "t": x[own][:, -1], "s": u[:, :-1] @ p["w"] * p["sd"][-1] + p["mean"][-1]})
+
+    return z.select("fold", "x").mapInPandas(run, "component int, part string, t double, s double")
 
 
 @q("kmeans_clusters")
@@ -154,12 +273,97 @@ def two_stage_corrector(spark: SparkSession, d: str) -> DataFrame:
     return two.select("n_flipped", out(X.mcc()).alias("mcc")).join(F.broadcast(base))  # one row each
 
 
+@q("moe_experts")
+def moe_experts(spark: SparkSession, d: str) -> DataFrame:
+    """An expert per data set: each item by its own data set's, all by vote, mean, maximum and a learned gate, beside one model for all."""
+    r = rows(spark, d)
+    names = sorted(x[0] for x in r.select("dataset").distinct().collect())  # data sets are few
+    number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("dataset")) - 1
+    r = r.withColumn("x", F.concat("x", F.array(number.cast("double"))))
+    return quality(M.sampled_oof(r, {k: M.experts(k, len(names)) for k in ("pooled", "own", "hard", "soft", "max", "gated")}))
+
+
+@q("component_importance")
+def component_importance(spark: SparkSession, d: str) -> DataFrame:
+    """Principal components of the training parts: their weight in the probe, AUROC alone, share of variance, and likeness from fold to fold."""
+
+    def work(x: np.ndarray, y: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+        m, s, p = M._pca(x, 8)
+        z = (x - m) / s @ p.T
+        w = M.fit_logistic(z, y)[1]["w"][:-1]  # on standardised components: |coefficient| times deviation
+        return [np.abs(w), np.array([M.auroc(z[:, k], y) for k in range(z.shape[1])]), z.var(axis=0) / ((x - m) / s).var(axis=0).sum(), p]
+
+    got = [v for _, v in sorted(M.sampled(rows(spark, d), work).items())]
+    if not got:
+        return spark.createDataFrame([], "component int, importance double, auroc double, variance double, likeness double")
+    mean = lambda k: np.mean([g[k] for g in got], axis=0)
+    like = np.mean([np.abs((a[3] * b[3]).sum(axis=1)) for a, b in zip(got, got[1:], strict=False)], axis=0) if len(got) > 1 else np.full(len(got[0][0]), np.nan)
+    strength = np.abs(mean(1) - 0.5) + 0.5
+    data = [(k + 1, *(round(float(c[k]), 6) for c in (mean(0), strength, mean(2), like))) for k in range(len(got[0][0]))]
+    return spark.createDataFrame(data, "component int, importance double, auroc double, variance double, likeness double")
+
+
+@q("referee_fit")
+def referee_fit(spark: SparkSession, d: str) -> DataFrame:
+    """A model of which of two methods is right, fitted where exactly one is; it routes those items, the first method keeps the rest."""
+    w = folded(spark, d)
+    pa, pb = ((F.col(m) >= 0).cast("int") for m in ("saplma", "lapeigvals"))
+    j = cut(w.select("item_id", "fold", F.col("y").alias("truth"), pa.alias("pa"), pb.alias("pb"), F.array("saplma", "lapeigvals", F.abs("saplma"), F.abs("lapeigvals"), F.col("saplma") - F.col("lapeigvals")).alias("x")), "pairs")
+    one = j.filter("(pa = truth) <> (pb = truth)").withColumn("y", (F.col("pa") == F.col("truth")).cast("int"))
+    oof = cut(M.logistic_oof(one), "referee")
+    a = R.auroc(oof.withColumn("one", F.lit(1)), ["one"]).select(out("auroc").alias("referee_auroc"))
+    r = j.join(oof.select("item_id", "score"), "item_id", "left").withColumn("y", F.col("truth"))
+    r = r.withColumn("routed", F.when(F.col("score") < 0.5, F.col("pb")).otherwise(F.col("pa"))).withColumn("best", F.when((F.col("pa") == F.col("y")) | (F.col("pb") == F.col("y")), F.col("y")).otherwise(1 - F.col("y")))
+    r = r.unpivot(["item_id", "y", "score"], ["pa", "pb", "routed", "best"], "who", "pred").groupBy("who").agg(*X.confusion(), F.count("score").alias("n")).select("who", "n", X.mcc().alias("m"))
+    of = lambda k: out(F.max(F.when(F.col("who") == k, F.col("m"))))
+    return r.agg(F.max("n").alias("n_routable"), of("routed").alias("routed_mcc"), of("pa").alias("first_mcc"), of("pb").alias("second_mcc"), of("best").alias("oracle_mcc")).join(F.broadcast(a))  # one row each
+
+
+@q("separability")
+def separability(spark: SparkSession, d: str) -> DataFrame:
+    """How well true and false positives, true and false negatives, and rescued and lost errors of the anchor can be told apart: by its score alone and by a probe on the block."""
+    r = rows(spark, d).join(V.wide(spark, d).select("item_id", "saplma", "icr"), "item_id")
+    r = cut(r.withColumn("pa", (F.col("saplma") >= 0).cast("int")).withColumn("pb", (F.col("icr") >= 0).cast("int")), "decided")
+    parts = {"positives": (r.filter("pa = 1"), F.col("y")), "negatives": (r.filter("pa = 0"), F.col("y")), "errors": (r.filter("pa <> y"), (F.col("pb") == F.col("y")).cast("int"))}
+    out_ = None
+    for name, (p, label) in parts.items():
+        p = cut(p.withColumn("y", label).withColumn("method", F.lit("score")), name)
+        own = p.select("method", "y", F.col("saplma").alias("score")).unionByName(M.sampled_oof(p, {"logistic": lambda x, y, v: M.fit_logistic(x, y), "radial": lambda x, y, v: M.fit_radial(x, y)}).select("method", "y", "score"))
+        a = R.auroc(own, ["method"]).select(F.lit(name).alias("population"), "method", "n_pos", "n_neg", out("auroc").alias("auroc"))
+        out_ = a if out_ is None else out_.unionByName(a)
+    return out_
+
+
 @q("gnn_fit")
 def gnn_fit(spark: SparkSession, d: str) -> DataFrame:
-    """A graph model with fixed messages and a learned reading: pooled node states, then the probe."""
-    n = messages(spark, d)
-    resp = F.col("i") >= 4
-    pooled = n.groupBy("item_id").agg(*[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in {"m": F.avg(F.when(resp, F.col("h"))), "s": F.stddev_pop(F.when(resp, F.col("h"))), "hi": F.max(F.when(resp, F.col("h"))), "deg": F.avg(F.col("deg").cast("double"))}.items()])
+    """A message-passing network trained end to end for each fold, on at most BOUND graphs; every graph is scored."""
+    nodes = node_features(spark, d).select("item_id", F.struct("i", F.concat("attn", "act").alias("x")).alias("n")).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list("n")), lambda n: n["x"]).alias("nodes"))  # a graph's tokens
+    e = edges(spark, d).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("i", "j", "head", "a"))).alias("edges"))
     label = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / V.TOKENS).alias("item_id")).agg(F.avg((F.col("label") < 3).cast("int")).alias("r")).select("item_id", (F.col("r") >= 0.3).cast("int").alias("y"))
-    x = pooled.join(label, "item_id").select("item_id", (F.col("item_id") % FOLDS).cast("int").alias("fold"), "y", F.array("m", "s", "hi", "deg").alias("x"))
-    return M.logistic_oof(x).select("item_id", "fold", "y", F.round("score", 6).alias("score"))
+    g = nodes.join(e, "item_id", "left").join(label, "item_id")
+    g = g.join(G.group_folds(label.withColumn("group_id", F.col("item_id").cast("string")).withColumn("dataset", F.lit("graph")), FOLDS, "graphs"), F.col("item_id").cast("string") == F.col("group_id")).drop("group_id")
+    g = cut(g.select("item_id", "fold", "y", "nodes", "edges"), "graphs")
+    folds = [r[0] for r in g.select("fold").distinct().orderBy("fold").collect()]
+    parts = None
+    for held in folds:
+        p = g.filter(F.col("fold") != held).orderBy(order_hash(F.lit("fit"), F.col("item_id").cast("string")), "item_id").limit(M.BOUND).withColumn("held", F.lit(held))
+        parts = p if parts is None else parts.unionByName(p)
+
+    def packed(pdf: pd.DataFrame) -> graphnet.Graphs:
+        es = [[(r["i"], r["j"], r["head"], r["a"]) for r in e] if e is not None else [] for e in pdf["edges"]]
+        return graphnet.pack([np.array([np.asarray(v, float) for v in n]) for n in pdf["nodes"]], es, PROMPT, V.HEADS)
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item_id")
+        p = graphnet.fit(packed(pdf), pdf["y"].to_numpy(float), pdf["item_id"].to_numpy() % 4 == 0)
+        return pd.DataFrame({"held": [int(pdf["held"].iloc[0])], "model": [pickle.dumps(p)]})
+
+    models = {r["held"]: pickle.loads(r["model"]) for r in parts.groupBy("held").applyInPandas(train, "held int, model binary").collect()} if parts is not None else {}  # a model per fold
+
+    def score(parts):  # noqa: ANN001, ANN202
+        for pdf in parts:
+            for fold, own in pdf.groupby("fold"):
+                s = graphnet.scores(models[fold], packed(own))
+                yield pd.DataFrame({"item_id": own["item_id"], "fold": own["fold"], "y": own["y"], "score": s.round(6), "pred": (s >= models[fold]["threshold"]).astype(int)})
+
+    return g.mapInPandas(score, "item_id long, fold int, y int, score double, pred int")
