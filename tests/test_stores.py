@@ -72,3 +72,22 @@ def test_missing_rows_are_an_error(spark):
 
     with pytest.raises(LookupError):
         require_all(spark.createDataFrame([("x",)], "id string"), spark.createDataFrame([], "id string"), "id")
+
+
+def test_json_documents(spark, tmp_path):
+    path = str(tmp_path / "doc")
+    stores.write_json(spark.createDataFrame([("a", [1, 2])], "id string, v array<long>"), path)
+    stores.write_json(spark.createDataFrame([("b", [3])], "id string, v array<long>"), path)
+    assert [tuple(r) for r in stores.read_json(spark, path).select("id", "v").collect()] == [("b", [3])]
+    (tmp_path / "lines.json").write_text('{"id": "x",\n "v": [1]}')
+    assert stores.read_json(spark, str(tmp_path / "lines.json"), "id string, v array<int>").first()["v"] == [1]
+
+
+def test_out_of_fold_scores_replace_what_was_there(spark, tmp_path):
+    store = stores.OofStore(spark, str(tmp_path / "oof"))
+    schema = "item_id string, fold int, y int, score double, pred int, dataset string, group_id string"
+    store.save(spark.createDataFrame([("a", 0, 1, 0.5, 1, "d", "g")], schema), "r0", 0, "m")
+    store.save(spark.createDataFrame([("a", 0, 1, 0.4, 0, "d", "g")], schema), "r0", 0, "n")
+    store.save(spark.createDataFrame([("a", 0, 1, 0.9, 1, "d", "g"), ("b", 1, 0, 0.1, 0, "d", "g")], schema), "r0", 0, "m")
+    assert {(r["method"], r["item_id"], r["score"]) for r in store.load("r0").collect()} == {("m", "a", 0.9), ("m", "b", 0.1), ("n", "a", 0.4)}
+    assert tuple(store.load().columns) == stores.OofStore.COLUMNS
