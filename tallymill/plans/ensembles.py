@@ -16,7 +16,7 @@ from tallymill.operators import sampling as G
 from tallymill.operators.paired import method_pairs
 from tallymill.plans.metrics import held_out_threshold, sql_held_out
 from tallymill.registry import CORE
-from tallymill.session import cut
+from tallymill.session import cores_of, cut
 from tallymill.sources import views as V
 
 q = CORE.query
@@ -207,9 +207,15 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     ab = ab.select("run", "seed", group, F.col("a.method").alias("method_a"), F.col("b.method").alias("method_b"), F.greatest("a.y", "b.y").alias("y"), F.col("a.pred").alias("pa"), F.col("b.pred").alias("pb"))
     keys = ["run", "seed", "method_a", "method_b"]
     c = ab.groupBy(*keys, "grp").agg(*[X.count_if((F.col("y") == t) & (F.col(f"p{m}") == s)).alias(f"{m}_{k}") for m in "ab" for k, (t, s) in _CELL.items()])
-    c = c.withColumn("g", G.group_number(F.lit("boot"), "run", F.col("seed").cast("string"), "grp")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(_REPS - 1)))).withColumn("r", F.col("r").cast("long"))
-    c = c.withColumn("times", G.bootstrap_weight(F.col("g"), F.col("r")))
-    b = c.groupBy(*keys, "r").agg(*[F.sum(F.col("times") * F.col(x)).alias(x) for x in _BOOT_COUNTS])
+    c = cut(c, "counts")
+    names = c.select(*keys).distinct().withColumn("pair", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*keys)))  # over a row per run, seed and pair
+    names = cut(names, "pairs")
+    c = c.join(F.broadcast(names), keys).select("pair", G.group_number(F.lit("boot"), "run", F.col("seed").cast("string"), "grp").alias("g"), *_BOOT_COUNTS)
+    c = c.repartition(4 * cores_of(spark), "pair", "g")  # groups are few beside their replicates: spread them first
+    c = c.select("pair", "g", *_BOOT_COUNTS, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_REPS - 1).cast("long"))).alias("r")).withColumn("times", G.bootstrap_weight(F.col("g"), F.col("r"))).filter("times > 0")
+    b = c.groupBy("pair", "r").agg(*[F.sum(F.col("times") * F.col(x)).alias(x) for x in _BOOT_COUNTS])
+    every = names.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_REPS - 1).cast("long"))))
+    b = every.join(b, ["pair", "r"], "left").na.fill(0, _BOOT_COUNTS)  # a replicate that draws no group of the pair differs by 0
     diff = X.mcc("a_tp", "a_fp", "a_fn", "a_tn") - X.mcc("b_tp", "b_fp", "b_fn", "b_tn")
     at = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))  # of a thousand numbers
     h = b.select(*keys, diff.alias("diff")).groupBy(*keys).agg(F.avg("diff").alias("mean"), at.alias("p")).withColumn("lo", F.col("p")[0]).withColumn("hi", F.col("p")[1])
@@ -451,12 +457,11 @@ def subset_vote(spark: SparkSession, d: str) -> DataFrame:
     The thresholds of the two mean ballots are chosen on the other folds.
     """
     w = folded(spark, d)
-    ranked = w
-    for m in V.METHODS:
-        n = R.average_ranks(w.withColumn("one", F.lit(1)), ["one"], m)
-        ranked = ranked.join(n.select(m, F.col("avg_rank").alias(f"rank_{m}")), m)
-    total = w.count()
-    ranked = ranked.select("*", *[(F.col(f"rank_{m}") / total).alias(f"rs_{m}") for m in V.METHODS])
+    p = cut(V.long(w), "scores")
+    n = p.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    r = p.join(R.average_ranks(p, ["method"]), ["method", "score"]).join(F.broadcast(n), "method").withColumn("rs", F.col("avg_rank") / F.col("n"))  # a row per method
+    of = lambda m, c: F.max(F.when(F.col("method") == m, F.col(c)))
+    ranked = r.groupBy("item_id", "dataset", "fold", "y").agg(*[of(m, "score").alias(m) for m in V.METHODS], *[of(m, "rs").alias(f"rs_{m}") for m in V.METHODS])
     v = cut(subsets(ranked, {"soft": list(V.METHODS), "rank": [f"rs_{m}" for m in V.METHODS]}), "subsets")
     bl = v.drop("pred").unpivot(["mask", "item_id", "dataset", "fold", "y"], ["soft", "rank"], "ballot", "score")
     t = held_out_threshold(bl, ["mask", "ballot"])
