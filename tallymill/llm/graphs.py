@@ -36,7 +36,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         for large in (True, False):
             both = state.select(F.col("v").alias("u"), F.col("m").alias("v")).union(state.select(F.col("m").alias("u"), F.col("v")))
-            state = cut(_star(both, large), "edges")
+            state = cut(_star(both, large), "edges", replaces=state)
         mark = state.agg(F.count(F.lit(1)).alias("n"), F.expr("sum(cast(xxhash64(v, m) as decimal(38, 0)))").alias("h")).first()
         if mark == before:
             break
