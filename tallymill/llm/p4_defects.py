@@ -220,7 +220,7 @@ def _language_columns(rows: DataFrame) -> DataFrame:
     return out.withColumn("a_own", own).withColumn("script_differs", differs)
 
 
-def endings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def endings(rows: DataFrame, lengths: list[int]) -> tuple[DataFrame, DataFrame]:
     """(word, seen, final) of all texts, and (stem, goes_on) of beginnings of words."""
     text = rows.select(F.explode(F.array("q", "a")).alias("t"))
     tokens = F.split(F.lower("t"), r"[^\p{L}\p{M}.!?]+")
@@ -229,8 +229,10 @@ def endings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = words.select(F.translate("w", ".!?", "").alias("word"), stop.cast("long").alias("f")).filter("word <> ''")
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.sum("f").alias("final"))
     counts = cut(counts, "words")
-    # Of each beginning, how often the most frequent word that goes on from it is seen.
-    longer = counts.filter(F.length("word") > 2).select("seen", F.explode(F.transform(F.sequence(F.lit(2), F.length("word") - 1), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem"))
+    # Of each beginning, how often the most frequent word that goes on from it is seen. Beginnings are
+    # taken at the lengths that the words in question have, so a very long word has few.
+    at = F.filter(F.array(*[F.lit(k) for k in lengths]), lambda k: k < F.length("word")) if lengths else F.array().cast("array<int>")
+    longer = counts.select("seen", F.explode(F.transform(at, lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem"))
     return counts, longer.groupBy("stem").agg(F.max("seen").alias("goes_on"))
 
 
@@ -261,8 +263,10 @@ def truncated(rows: DataFrame) -> DataFrame:
     """
     sure = rows.filter("sure").select("gen_id")
     maybe = rows.filter(~F.col("sure") & ~F.col("stop") & (F.col("n_words") >= LEAST_WORDS) & (F.col("last") != "")).select("gen_id", "last", "ran_out")
-    counts, stems = endings(rows)
-    words = maybe.select("last").distinct().join(counts, F.col("last") == F.col("word"), "left").join(stems, F.col("last") == F.col("stem"), "left")
+    words = maybe.select("last").distinct()
+    lengths = sorted(r[0] for r in words.select(F.length("last")).distinct().filter("length(last) >= 2").collect())  # a number per length
+    counts, stems = endings(rows, lengths)
+    words = words.join(counts, F.col("last") == F.col("word"), "left").join(stems, F.col("last") == F.col("stem"), "left")
     seen, most = F.coalesce("seen", F.lit(0)), F.coalesce("goes_on", F.lit(0))
     words = words.select(
         "last",

@@ -63,6 +63,12 @@ def test_tags_and_quotations_of_any_length(spark):
     assert {tuple(r) for r in m.defects(df).collect()} == {(1, "empty")}
 
 
+def test_a_very_long_word_is_read_whole(spark):
+    long = "ab" * 300_000
+    rows = [(k, Q, f"One cake lost {long}c and more.") for k in range(4)] + [(8, Q, "One cake lost a thin " + long)]
+    assert {tuple(r) for r in m.defects(spark.createDataFrame(rows, "gen_id long, question string, answer string")).collect()} == {(8, "truncated")}
+
+
 def test_null_question_long_text_and_empty_table(spark, extra):
     long = "The bird saw the boat. " * 20000
     df = extra(spark.createDataFrame([(1, None, "Velane"), (2, Q, long), (3, None, None)], "gen_id long, question string, answer string"))
