@@ -48,13 +48,13 @@ def _cells() -> list[Column]:
 
 @q(
     "kappa_pairs",
-    sql=S.with_(V.SQL_PREDICTIONS, SQL_PAIRS, f"c as (select unnest(list_filter(['pooled', dataset, case when dataset <> 'coqa' then 'pooled_no_coqa' end], lambda x: x is not null)) as scope, ma, mb, pa, pb from pr)", f"k as (select scope, ma as method_a, mb as method_b, count(*) as n, {_CELLS} from c group by all having count(*) >= 20)")
+    sql=S.with_(V.SQL_PREDICTIONS, SQL_PAIRS, f"c as (select unnest(list_filter(['pooled', dataset, case when dataset <> 'coqa' then 'pooled_no_coqa' end], lambda x: x is not null)) as scope, ma, mb, pa, pb from pr)", f"k as (select scope, ma as method_a, mb as method_b, count(*) as n, {_CELLS} from c group by all)")
     + f"select scope, method_a, method_b, n, round((n11 + n00) / cast(n as double), 9) as agreement, round({S.kappa('n11', 'n10', 'n01', 'n00')}, 9) as kappa from k",
 )
 def kappa_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Agreement and kappa of each pair of methods, pooled and by data set; 20 items at least."""
+    """Agreement and kappa of each pair of methods, in every scope; null where both decide one way only."""
     rows = R.scoped(pair_rows(spark, d))
-    k = rows.groupBy("scope", F.col("a.method").alias("method_a"), F.col("b.method").alias("method_b")).agg(F.count(F.lit(1)).alias("n"), *_cells()).filter("n >= 20")
+    k = rows.groupBy("scope", F.col("a.method").alias("method_a"), F.col("b.method").alias("method_b")).agg(F.count(F.lit(1)).alias("n"), *_cells())
     return k.select("scope", "method_a", "method_b", "n", out((F.col("n11") + F.col("n00")) / F.col("n").cast("double")).alias("agreement"), out(X.kappa("n11", "n10", "n01", "n00")).alias("kappa"))
 
 

@@ -123,6 +123,20 @@ def scan_features(traces: DataFrame, wanted: DataFrame, layer: int, required: bo
     return out_
 
 
+@q(
+    "block_rows",
+    sql=f"with a as (select distinct item_id from answers where item_id is not null), f as (select item_id, layer, coalesce(extracted_at, timestamp '0001-01-01') as t, list_transform(hidden_states, lambda v: round(cast(v as double), 6)) as x from forward_traces where i = seq_len - 1 and {_USABLE}), b as (select item_id, arg_max(x, struct_pack(t := t, x := x)) filter (where layer = 20) as x20, arg_max(x, struct_pack(t := t, x := x)) filter (where layer = 40) as x40 from f group by all) select a.item_id, x20, x40, (x20 is null)::int + (x40 is null)::int as n_missing from a left join b using (item_id)",
+)
+def block_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Two blocks of features beside each other in a row per answered item; a missing block stays null and is never filled with zeros."""
+    a = table(spark, d, "answers", "item_id").filter("item_id is not null").distinct()
+    f = usable(table(spark, d, "forward_traces", "item_id", "layer", "i", "seq_len", "hidden_states", "extracted_at").filter((F.col("i") == F.col("seq_len") - 1) & F.col("layer").isin(20, 40)))
+    f = f.select("item_id", "layer", F.struct(F.coalesce("extracted_at", F.lit("0001-01-01").cast("timestamp")).alias("t"), F.transform("hidden_states", lambda v: F.round(v.cast("double"), 6)).alias("x")).alias("r"))
+    b = f.groupBy("item_id").agg(*[F.max(F.when(F.col("layer") == k, F.col("r"))).alias(f"r{k}") for k in (20, 40)])
+    b = a.join(b, "item_id", "left").select("item_id", F.col("r20.x").alias("x20"), F.col("r40.x").alias("x40"))
+    return b.withColumn("n_missing", F.col("x20").isNull().cast("int") + F.col("x40").isNull().cast("int"))
+
+
 @q("unpivot_predictions", sql=S.with_(V.SQL_LONG) + "select item_id, y, method, round(score, 9) as score, pred from emb")
 def unpivot_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Wide scores to one row per method."""

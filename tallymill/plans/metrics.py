@@ -278,16 +278,16 @@ def answers_by_item(spark: SparkSession, d: str) -> DataFrame:
         "p as (select method, y, pred, tokens from pred join ans using (item_id) where tokens is not null)",
         "e as (select quantile_cont(tokens, [0.25e0, 0.5e0, 0.75e0]) as e from (select distinct item_id, tokens from ans where tokens is not null and item_id in (select item_id from pred)))",
         "b as (select p.*, len(list_filter(e.e, lambda t: t <= tokens)) as quartile from p, e)",
-        f"c as (select method, quartile, {S.confusion()}, count(*) as n from b group by all having count(*) > 20)",
+        f"c as (select method, quartile, {S.confusion()}, count(*) as n from b group by all having count(*) > 20 and min(y) <> max(y))",
     )
     + f"select method, cast(quartile as bigint) as quartile, n, round({S.mcc()}, 9) as mcc from c",
 )
 def length_quartile_mcc(spark: SparkSession, d: str) -> DataFrame:
-    """MCC by quartile of the answer's length; a value on an edge is in the upper bin; over 20 rows each."""
+    """MCC by quartile of the answer's length; a value on an edge is in the upper bin; over 20 rows and both labels each."""
     p = V.predictions(spark, d).join(answers_by_item(spark, d).filter("tokens is not null"), "item_id")
     edges = R.percentiles(p.select("item_id", "tokens").distinct().withColumn("one", F.lit(1)), ["one"], "tokens", [0.25, 0.5, 0.75]).select(F.col("cuts").alias("e"))
     b = p.join(F.broadcast(edges)).withColumn("quartile", F.size(F.filter("e", lambda t: t <= F.col("tokens"))).cast("long"))  # one row of three edges
-    c = b.groupBy("method", "quartile").agg(*X.confusion(), F.count(F.lit(1)).alias("n")).filter("n > 20")
+    c = b.groupBy("method", "quartile").agg(*X.confusion(), F.count(F.lit(1)).alias("n"), R.two_classes().alias("two")).filter("n > 20 and two")
     return c.select("method", "quartile", "n", out(X.mcc()).alias("mcc"))
 
 
@@ -314,20 +314,21 @@ def spearman_len(spark: SparkSession, d: str) -> DataFrame:
     sql=S.with_(
         V.SQL_PREDICTIONS, V.SQL_VOTES, _ANSWERS,
         "u as (select item_id, count(distinct label) = 1 as unanimous from votes group by all)",
-        "p as (select method, dataset, cast(y <> pred as int) as wrong, case when u.unanimous is null then 'unknown' when u.unanimous then 'unanimous' else 'split' end as agreement, case when n_gold is null then 'unknown' when n_gold <= 1 then '1' when n_gold <= 5 then '2-5' else '6+' end as golds from pred left join u using (item_id) left join ans using (item_id) where pred is not null)",
-        "s as (select method, wrong, unnest([{'stratum': 'dataset', 'value': dataset}, {'stratum': 'agreement', 'value': agreement}, {'stratum': 'golds', 'value': golds}], recursive := true) from p)",
+        "p as (select method, y, pred, dataset, case when u.unanimous is null then 'unknown' when u.unanimous then 'unanimous' else 'split' end as agreement, case when n_gold is null then 'unknown' when n_gold <= 1 then '1' when n_gold <= 5 then '2-5' else '6+' end as golds from pred left join u using (item_id) left join ans using (item_id) where pred is not null)",
+        "s as (select method, y, pred, unnest([{'stratum': 'dataset', 'value': dataset}, {'stratum': 'agreement', 'value': agreement}, {'stratum': 'golds', 'value': golds}], recursive := true) from p)",
+        f"c as (select method, stratum, value, count(*) as n, avg(cast(y as double)) as rate, {S.confusion()} from s group by all having count(*) >= 30 and min(y) <> max(y))",
     )
-    + "select method, stratum, value, count(*) as n, round(avg(cast(wrong as double)), 9) as error_rate from s group by all",
+    + f"select method, stratum, value, n, round(rate, 9) as positive_rate, round(1 - {S.accuracy()}, 9) as error_rate, round({S.mcc()}, 9) as mcc from c",
 )
 def error_strata(spark: SparkSession, d: str) -> DataFrame:
-    """Error rates by data set, by the judges' agreement and by the number of reference answers."""
+    """Errors and MCC by data set, by the judges' agreement and by the number of reference answers; 30 rows and both labels at least."""
     u = V.votes(spark, d).groupBy("item_id").agg((F.min("label") == F.max("label")).alias("unanimous"))
     p = V.predictions(spark, d).filter("pred is not null").join(u, "item_id", "left").join(answers_by_item(spark, d), "item_id", "left")
     agreement = F.when(F.col("unanimous").isNull(), "unknown").when(F.col("unanimous"), "unanimous").otherwise("split")
     golds = F.when(F.col("n_gold").isNull(), "unknown").when(F.col("n_gold") <= 1, "1").when(F.col("n_gold") <= 5, "2-5").otherwise("6+")
-    s = p.select("method", (F.col("y") != F.col("pred")).cast("double").alias("wrong"), F.col("dataset").alias("dataset"), agreement.alias("agreement"), golds.alias("golds"))
-    s = s.unpivot(["method", "wrong"], ["dataset", "agreement", "golds"], "stratum", "value")
-    return s.groupBy("method", "stratum", "value").agg(F.count(F.lit(1)).alias("n"), out(F.avg("wrong")).alias("error_rate"))
+    s = p.select("method", "y", "pred", F.col("dataset").alias("dataset"), agreement.alias("agreement"), golds.alias("golds")).unpivot(["method", "y", "pred"], ["dataset", "agreement", "golds"], "stratum", "value")
+    c = s.groupBy("method", "stratum", "value").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y").cast("double")).alias("rate"), R.two_classes().alias("two"), *X.confusion()).filter("n >= 30 and two")
+    return c.select("method", "stratum", "value", "n", out("rate").alias("positive_rate"), out(1 - X.accuracy()).alias("error_rate"), out(X.mcc()).alias("mcc"))
 
 
 _SIZES, _FRACTIONS = (20, 40, 80, 120, 200, 320, 500), (0.95, 0.99)
