@@ -178,14 +178,23 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", F.col("value").alias("group_value"), "split", F.sha2("part", 256).alias("component"))
 
 
-@LLM.query("p1_report")
+_REPORT = """
+with p as (select split, greatest(coalesce(share, 0), 0) / (select sum(greatest(coalesce(share, 0), 0)) from split_plan where split is not null) as share from split_plan where split is not null),
+     t as (select count(*) as n from items), e as (select split, n * share as exact, floor(n * share) as low, n from p, t),
+     r as (select *, row_number() over (order by low - exact, split) as r, n - sum(low) over () as spare from e)
+select split, cast(low + case when r <= spare then 1 else 0 end as bigint) as n_rows, cast(low + case when r <= spare then 1 else 0 end as bigint) as wanted,
+       round((low + case when r <= spare then 1 else 0 end) / n, 9) as share from r"""
+
+
+@LLM.query("p1_report", sql=_REPORT)
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, groups and share reached per split."""
-    out = assign(table(spark, sf_dir, "items", "item_id", "group_id"), table(spark, sf_dir, "split_plan"))
-    per = out.groupBy("split", "part").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_components"))
-    total = F.sum("n_rows").over(Window.partitionBy(F.lit(1)))  # over one row per split
-    return per.select("split", "n_rows", "n_components", (F.col("n_rows") / total).alias("share"))
+    """Rows of each split beside the rows its quota wants, and the share reached."""
+    plan = table(spark, sf_dir, "split_plan")
+    out = assign(table(spark, sf_dir, "items", "item_id", "group_id"), plan).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = {r["split"]: r["n_rows"] for r in out.collect()}  # a row per split
+    want = quotas(sum(rows.values()), [(r["split"], r["share"]) for r in plan.filter("split is not null").orderBy("split").collect()])
+    total = max(1, sum(rows.values()))
+    return spark.createDataFrame([(k, rows.get(k, 0), n, round(rows.get(k, 0) / total, 9)) for k, n in want.items()], "split string, n_rows long, wanted long, share double")
 
 
 def _sql_key() -> str:
