@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import expressions as X
 from tallymill.functions import graphnet
+from tallymill.functions import sqltext as S
 from tallymill.functions.expressions import order_hash, out
 from tallymill.operators import models as M
 from tallymill.operators import ranked as R
 from tallymill.operators import sampling as G
-from tallymill.plans.ensembles import applied, folded
+from tallymill.plans.ensembles import SQL_FOLDED, applied, folded
 from tallymill.plans.features import PROMPT, edges, node_features, top_k
-from tallymill.plans.metrics import answers_by_item
+from tallymill.plans.metrics import answers_by_item, sql_held_out
 from tallymill.registry import CORE
 from tallymill.session import cut, shared_folder
 from tallymill.sources import views as V
@@ -29,6 +30,16 @@ q = CORE.query
 FOLDS = 5
 
 
+def _recursive(*parts: str) -> str:
+    return "with recursive " + ",\n".join(p.strip() for p in parts) + "\n"
+
+
+# The rows of the probes in SQL, and the report of out-of-fold scores lo.
+SQL_ROWS = SQL_FOLDED + ",\nxr as materialized (select wf.item_id, fold, y, list_transform(embedding, lambda v: cast(v as double)) as x from wf join embeddings on vec_id = wf.item_id)"
+SQL_REPORT = ("pb as (select 'probe' as method, * from lo)", sql_held_out("pb", "method"), f"rc as (select 'probe' as method, {S.confusion('y', 'cast(score >= threshold as int)')}, count(*) as n from pb join ho using (method, fold) group by all)", S.auroc("pb", "method"))
+SQL_REPORT_OUT = f"select n, round(auroc, 9) as auroc, round({S.mcc()}, 9) as mcc from rc join roc using (method)"
+
+
 def rows(spark: SparkSession, d: str) -> DataFrame:
     """(item_id, dataset, group_id, y, fold, x) of the embedding table."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), X.doubles("embedding").alias("x"))
@@ -138,19 +149,23 @@ def detector_report(spark: SparkSession, d: str) -> DataFrame:
     return quality(store.load("r0").select("item_id", "fold", "y", "method", "score", "pred"))
 
 
-@q("logreg_oof")
+@q("logreg_oof", sql=_recursive(SQL_ROWS, S.logistic("xr", 64, steps=8)) + "select item_id, cast(fold as int) as fold, cast(y as int) as y, round(score, 6) as score from lo")
 def logreg_oof(spark: SparkSession, d: str) -> DataFrame:
     """Logistic regression over all rows, every fold in the same passes."""
     return M.logistic_oof(rows(spark, d)).select("item_id", "fold", "y", F.round("score", 6).alias("score"))
 
 
-@q("probe_report")
+@q("probe_report", sql=_recursive(SQL_ROWS, S.logistic("xr", 64, steps=8), *SQL_REPORT) + SQL_REPORT_OUT)
 def probe_report(spark: SparkSession, d: str) -> DataFrame:
     """Quality of the logistic probe's out-of-fold scores."""
     return report(M.logistic_oof(rows(spark, d)))
 
 
-@q("length_probe")
+@q(
+    "length_probe",
+    sql=_recursive(V.SQL_PREDICTIONS, "an as (select item_id, max(answer_tokens) as tokens from answers group by all)", "ib as (select item_id, max(y) as y, max(fold) as fold from pred group by all)", "xr as materialized (select item_id, fold, y, [ln(1e0 + tokens)] as x from ib join an using (item_id) where tokens is not null)", S.logistic("xr", 1), *SQL_REPORT)
+    + SQL_REPORT_OUT,
+)
 def length_probe(spark: SparkSession, d: str) -> DataFrame:
     """How much the answer's length alone tells: one column, over the real items."""
     p = V.predictions(spark, d).groupBy("item_id").agg(F.max("y").alias("y"), F.max("fold").alias("fold"))
@@ -201,7 +216,41 @@ def _pls(mean: np.ndarray, sd: np.ndarray, second: np.ndarray, components: int)
     return out_
 
 
-@q("supervised_components")
+def _sql_pls(components: int = 4) -> str:
+    """CTEs that end in p4(kind, held, …, coef1 … coef4): every step is a list expression on a row per kind and fold."""
+    dot, d = "list_dot_product", range(1, 65)
+    times = lambda w: f"list_transform(s, lambda r: list_dot_product(r, {w}))"
+    parts = ["p0 as materialized (select kind, held, s, c, mean, sd, c as r, list_transform(c, lambda v: 0e0) as coef0 from mo)"]
+    for k in range(1, components + 1):
+        w, src = f"list_transform(r, lambda v: v / greatest(sqrt({dot}(r, r)), 1e-12))", f"p{k - 1}"
+        parts.append(f"w{k}_0 as materialized (select *, {w} as w from {src})")
+        for j in range(1, k):
+            parts.append(f"w{k}_{j} as materialized (select * exclude (w), list_transform(range(1, {len(d) + 1}), lambda i: w[i] - v{j}[i] * {dot}(v{j}, {times('w')}) / greatest({dot}(v{j}, {times(f'v{j}')}), 1e-12)) as w from w{k}_{j - 1})")
+        parts.append(f"l{k} as materialized (select *, {times('w')} as sw, {dot}(w, c) / greatest({dot}(w, {times('w')}), 1e-12) as f from w{k}_{k - 1})")
+        parts.append(f"p{k} as materialized (select * exclude (w, sw, f, r), list_transform(range(1, {len(d) + 1}), lambda i: r[i] - sw[i] * f) as r, w as v{k}, list_transform(range(1, {len(d) + 1}), lambda i: coef{k - 1}[i] + w[i] * f) as coef{k} from l{k})")
+    return ",\n".join(parts)
+
+
+@q(
+    "supervised_components",
+    sql=S.with_(
+        SQL_ROWS, "ra as (select avg(cast(y as double)) as rate from xr)",
+        "zr as materialized (select item_id, fold, unnest([{'kind': 'real', 't': cast(y as double)}, {'kind': 'null', 't': cast(cast(('0x' || substr(md5('null:' || item_id), 1, 8)) as bigint) / 4294967296e0 < rate as int)}], recursive := true), x from xr, ra)",
+        "fo as (select distinct fold as held from xr)",
+        "zx as materialized (select kind, fold, list_append(x, cast(t as double)) as x from zr)",
+        "ms as materialized (select kind, held, i, avg(x[i]) as m, stddev_pop(x[i]) as sd from zx join fo on fold <> held, (select unnest(range(1, 66)) as i) group by all)",
+        "sc as materialized (select kind, held, list(m order by i) as mean, list(case when sd > 1e-12 then sd else 1e0 end order by i) as sd from ms group by all)",
+        "zz as materialized (select z.kind, c.held, list_transform(range(1, 66), lambda i: (x[i] - mean[i]) / sd[i]) as u from zx z join sc c on c.kind = z.kind and c.held <> z.fold)",
+        "co as (select kind, held, i, j, avg(u[i] * u[j]) as v from zz, (select unnest(range(1, 65)) as i), (select unnest(range(1, 66)) as j) group by all)",
+        "ro as (select kind, held, i, list(v order by j) filter (where j <= 64) as r, max(v) filter (where j = 65) as c from co group by all)",
+        "mo as materialized (select kind, held, list(r order by i) as s, list(c order by i) as c, any_value(mean) as mean, any_value(sd) as sd from ro join sc using (kind, held) group by all)",
+        _sql_pls(),
+        "mm as (select kind, held, mean, sd, unnest([1, 2, 3, 4]) as component, unnest([coef1, coef2, coef3, coef4]) as w from p4)",
+        "ft as (select m.kind, component, case when z.fold = m.held then 'held_out' else 'train' end as part, x[65] as t, list_dot_product(list_transform(range(1, 65), lambda i: (x[i] - mean[i]) / sd[i]), w) * sd[65] + mean[65] as s from zx z join mm m on m.kind = z.kind)",
+        "e as (select kind, component, part, 1 - sum(power(t - s, 2)) / nullif(var_pop(t) * count(*), 0) as r2 from ft group by all)",
+    )
+    + "select kind as labels, cast(component as int) as component, round(max(r2) filter (where part = 'train'), 6) as r2_train, round(max(r2) filter (where part = 'held_out'), 6) as r2_held_out from e group by all",
+)
 def supervised_components(spark: SparkSession, d: str) -> DataFrame:
     """Partial least squares by fold: the label's variance that each number of components explains, in training and held out, beside labels dealt at random.
 
@@ -223,7 +272,7 @@ def supervised_components(spark: SparkSession, d: str) -> DataFrame:
         both = _fitted(z, models, True).unionByName(_fitted(z, train, False)).withColumn("labels", F.lit(kind))
         out_ = both if out_ is None else out_.unionByName(both)
     e = out_.groupBy("labels", "component", "part").agg((1 - F.sum((F.col("t") - F.col("s")) * (F.col("t") - F.col("s"))) / F.nullif(F.var_pop("t") * F.count(F.lit(1)), F.lit(0.0))).alias("r2"))
-    return e.groupBy("labels", "component").agg(out(F.max(F.when(F.col("part") == "train", F.col("r2")))).alias("r2_train"), out(F.max(F.when(F.col("part") == "held_out", F.col("r2")))).alias("r2_held_out"))
+    return e.groupBy("labels", "component").agg(F.round(F.max(F.when(F.col("part") == "train", F.col("r2"))), 6).alias("r2_train"), F.round(F.max(F.when(F.col("part") == "held_out", F.col("r2"))), 6).alias("r2_held_out"))
 
 
 def _fitted(z: DataFrame, models: dict[int, list[tuple[str, str, dict]]], held: bool) -> DataFrame:
@@ -255,18 +304,40 @@ def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy("cluster").agg(F.sum("n").alias("n"), out(F.sum("pos") / F.sum("n").cast("double")).alias("rate"), F.max_by("dataset", F.struct("n", "dataset")).alias("main_dataset"))
 
 
-@q("two_stage_corrector")
+_FLIPS = [round(0.3 + 0.05 * k, 2) for k in range(14)]
+
+
+@q(
+    "two_stage_corrector",
+    sql=_recursive(
+        SQL_ROWS, S.logistic("xr", 64, steps=8), "jr as materialized (select xr.item_id, xr.fold, xr.y as truth, x, cast(score >= 0.5e0 as int) as d1 from xr join lo using (item_id))",
+        "x2 as materialized (select item_id, fold, cast(d1 <> truth as int) as y, x from jr)", S.logistic("x2", 64, "l2", c=0.03, steps=8),
+        "vr as (select jr.fold, truth as y, d1, round(l2.score, 9) as w from jr join l2 using (item_id))", f"gr as (select unnest([{', '.join(f'{t}e0' for t in _FLIPS)}]) as t)", "hr as (select distinct fold as held from vr)",
+        f"cr as (select held, t, {S.confusion('y', 'case when w >= t then 1 - d1 else d1 end')} from vr join hr on fold <> held, gr group by all)",
+        f"br as (select held as fold, arg_max(t, struct_pack(m := round({S.mcc()}, 12), t := t)) as t from cr group by held)",
+        "ar as (select y, d1, case when w >= t then 1 - d1 else d1 end as pred from vr join br using (fold))",
+        f"a1 as (select count(*) filter (where pred <> d1) as n_flipped, {S.confusion()} from ar)", f"a0 as (select {S.confusion('y', 'd1')} from ar)", f"f0 as (select round({S.mcc()}, 9) as mcc_first from a0)",
+    )
+    + f"select n_flipped, round({S.mcc()}, 9) as mcc, mcc_first from a1, f0",
+)
 def two_stage_corrector(spark: SparkSession, d: str) -> DataFrame:
-    """A second model for where the first is wrong; flips above a threshold that the other folds chose."""
+    """A second model for where the first is wrong; flips above a threshold that the other folds chose.
+
+    Rows are counted by fold and the thresholds they reach, so the choice works on a small table.
+    """
     b = rows(spark, d)
     first = M.logistic_oof(b).select("item_id", F.col("score").alias("p1"))
     j = cut(b.join(first, "item_id"), "first").withColumn("d1", (F.col("p1") >= 0.5).cast("int"))
-    wrong = M.logistic_oof(j.withColumn("truth", F.col("y")).withColumn("y", (F.col("d1") != F.col("y")).cast("int")), c=0.03).select("item_id", F.col("score").alias("w"))
+    wrong = M.logistic_oof(j.withColumn("y", (F.col("d1") != F.col("y")).cast("int")), c=0.03).select("item_id", F.round("score", 9).alias("w"))
     v = cut(j.join(wrong, "item_id").select("item_id", "fold", "y", "d1", "w"), "second")
-    held = v.select(F.col("fold").alias("held")).distinct()
-    grid = F.explode(F.array(*[F.lit(round(0.3 + 0.05 * k, 2)) for k in range(14)]))
-    t = v.join(F.broadcast(held), F.col("fold") != F.col("held")).withColumn("t", grid).withColumn("pred", F.when(F.col("w") >= F.col("t"), 1 - F.col("d1")).otherwise(F.col("d1")))
-    best = t.groupBy("held", "t").agg(*X.confusion()).groupBy(F.col("held").alias("fold")).agg(F.max_by("t", F.struct(F.round(X.mcc(), 12), F.col("t"))).alias("t"))
+    grid = F.array(*[F.lit(t) for t in _FLIPS])
+    cells = v.groupBy("fold", "y", "d1", F.size(F.filter(grid, lambda t: t <= F.col("w"))).alias("reach")).agg(F.count(F.lit(1)).alias("n"))
+    held = cells.select(F.col("fold").alias("held")).distinct()
+    t = cells.join(F.broadcast(held), F.col("fold") != F.col("held")).select("*", F.posexplode(grid).alias("k", "t"))  # a row per fold; cells are few
+    pred = F.when(F.col("reach") > F.col("k"), 1 - F.col("d1")).otherwise(F.col("d1"))
+    of = lambda y, p: F.sum(F.when((F.col("y") == y) & (pred == p), F.col("n")).otherwise(0))
+    best = t.groupBy("held", "t").agg(of(1, 1).alias("tp"), of(0, 1).alias("fp"), of(1, 0).alias("fn"), of(0, 0).alias("tn"))
+    best = best.groupBy(F.col("held").alias("fold")).agg(F.max_by("t", F.struct(F.round(X.mcc(), 12), F.col("t"))).alias("t"))
     a = v.join(F.broadcast(best), "fold").withColumn("pred", F.when(F.col("w") >= F.col("t"), 1 - F.col("d1")).otherwise(F.col("d1")))
     two = a.agg(*X.confusion(), X.count_if(F.col("pred") != F.col("d1")).alias("n_flipped"))
     base = a.agg(*X.confusion("y", "d1")).select(out(X.mcc()).alias("mcc_first"))
@@ -303,7 +374,17 @@ def component_importance(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(data, "component int, importance double, auroc double, variance double, likeness double")
 
 
-@q("referee_fit")
+@q(
+    "referee_fit",
+    sql=_recursive(
+        SQL_FOLDED, "pw as (select item_id, fold, y as truth, cast(saplma >= 0 as int) as pa, cast(lapeigvals >= 0 as int) as pb, [saplma, lapeigvals, abs(saplma), abs(lapeigvals), saplma - lapeigvals] as x from wf)",
+        "xr as materialized (select item_id, fold, cast(pa = truth as int) as y, x from pw where (pa = truth) <> (pb = truth))", S.logistic("xr", 5),
+        "ro as (select 'one' as one, * from lo)", S.auroc("ro", "one"),
+        "jo as (select pw.truth as y, score, unnest([{'who': 'pa', 'pred': pa}, {'who': 'pb', 'pred': pb}, {'who': 'routed', 'pred': case when score < 0.5e0 then pb else pa end}, {'who': 'best', 'pred': case when pa = truth or pb = truth then truth else 1 - truth end}], recursive := true) from pw left join lo using (item_id))",
+        f"cw as (select who, count(score) as n, {S.confusion()} from jo group by all)", f"mw as (select who, n, {S.mcc()} as m from cw)",
+    )
+    + "select max(n) as n_routable, round(max(m) filter (where who = 'routed'), 9) as routed_mcc, round(max(m) filter (where who = 'pa'), 9) as first_mcc, round(max(m) filter (where who = 'pb'), 9) as second_mcc, round(max(m) filter (where who = 'best'), 9) as oracle_mcc, round(max(auroc), 9) as referee_auroc from mw, roc",
+)
 def referee_fit(spark: SparkSession, d: str) -> DataFrame:
     """A model of which of two methods is right, fitted where exactly one is; it routes those items, the first method keeps the rest."""
     w = folded(spark, d)
