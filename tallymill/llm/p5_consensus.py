@@ -224,7 +224,49 @@ def _consensus_by_joins(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return best.join(about, "item_id").select("item_id", "n_votes", "differ", "label", "certainty"), model
 
 
-@LLM.query("p5_found")
+_VOTES = r"""
+v as (
+  select item_id, regexp_replace(lower(judge), '[^\p{L}\p{N}]', '', 'g') as judge,
+         regexp_replace(lower(label), '[^\p{L}\p{N}]', '', 'g') as l, judged_at, verdict_id
+  from verdicts where item_id is not null and judge is not null and label is not null),
+c as (
+  select item_id, judge, judged_at, verdict_id,
+         case when l like '%nothallucinated%' then 'NOT_HALLUCINATED' when l like '%invalid%' then 'INVALID'
+              when l like '%hallucinated%' then 'HALLUCINATED' end as label
+  from v where l not like '%unparseable%'),
+n as materialized (
+  select item_id, judge, label from c where label is not null
+  qualify row_number() over (partition by item_id, judge order by judged_at desc nulls last, verdict_id desc nulls last, label desc) = 1)"""
+
+
+def _sql_steps() -> str:
+    """Expectation and maximisation, unrolled; q holds each item's chances of the three labels in their order."""
+    t = range(len(LABELS))
+    each = lambda f, sep=", ": sep.join(f.replace("$", str(k)) for k in t)
+    parts = [
+        "w as materialized (select item_id, judge, list_position([" + ", ".join(f"'{x}'" for x in LABELS) + "], label) - 1 as g from n)",
+        "j as materialized (select judge, unnest([0, 1, 2]) as g from (select distinct judge from w))",
+        "q0 as materialized (select item_id, " + each("(count(*) filter (where g = $) + 0.01e0) / (count(*) + 0.03e0) as q$") + " from w group by item_id)",
+    ]
+    for i in range(STEPS):
+        parts += [
+            f"k{i} as materialized (select judge, g, {each('sum(q$) as m$')} from (select judge, g, q0, q1, q2 from w join q{i} using (item_id) union all select judge, g, 0e0, 0e0, 0e0 from j) group by all)",
+            f"o{i} as (select g, {each(f'(sum(m$) + {SMOOTH}e0) / sum(sum(m$) + {SMOOTH}e0) over () as p$')} from k{i} group by g)",
+            f"d{i} as materialized (select judge, g, {each(f'ln((m$ + {3 * SMOOTH}e0 * p$) / sum(m$ + {3 * SMOOTH}e0 * p$) over (partition by judge)) as c$')} from k{i} join o{i} using (g))",
+            f"r{i} as (select {each(f'ln((sum(m$) + {SMOOTH}e0) / (sum(m0) + sum(m1) + sum(m2) + {3 * SMOOTH}e0)) as a$')} from k{i})",
+            f"s{i} as (select item_id, {each('sum(c$) + max(a$) as s$')} from w join d{i} using (judge, g), r{i} group by item_id)",
+            f"q{i + 1} as materialized (select item_id, {each('exp(s$ - greatest(s0, s1, s2)) / (exp(s0 - greatest(s0, s1, s2)) + exp(s1 - greatest(s0, s1, s2)) + exp(s2 - greatest(s0, s1, s2))) as q$')} from s{i})",
+        ]
+    return ",\n".join(parts)
+
+
+_FOUND = f"""with {_VOTES.strip()},
+{_sql_steps()}
+select item_id, case when q0 >= q1 and q0 >= q2 then '{LABELS[0]}' when q1 >= q2 then '{LABELS[1]}' else '{LABELS[2]}' end as label
+from q{STEPS} where item_id in (select item_id from n group by item_id having min(label) <> max(label))"""
+
+
+@LLM.query("p5_found", sql=_FOUND)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consensus label of every item whose counting labels differ."""
     items, _ = consensus(table(spark, sf_dir, "verdicts"))
@@ -248,19 +290,7 @@ def p5_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("judge", "n_labels", (F.col("right") / F.col("n_labels")).alias("reliability"), "p_hallucinated", "p_not_hallucinated", "p_invalid")
 
 
-_ALPHA = r"""
-with v as (
-  select item_id, regexp_replace(lower(judge), '[^\p{L}\p{N}]', '', 'g') as judge,
-         regexp_replace(lower(label), '[^\p{L}\p{N}]', '', 'g') as l, judged_at, verdict_id
-  from verdicts where item_id is not null and judge is not null and label is not null),
-c as (
-  select item_id, judge, judged_at, verdict_id,
-         case when l like '%nothallucinated%' then 'NOT_HALLUCINATED' when l like '%invalid%' then 'INVALID'
-              when l like '%hallucinated%' then 'HALLUCINATED' end as label
-  from v where l not like '%unparseable%'),
-n as (
-  select item_id, judge, label from c where label is not null
-  qualify row_number() over (partition by item_id, judge order by judged_at desc nulls last, verdict_id desc nulls last, label desc) = 1),
+_ALPHA = "with " + _VOTES.strip() + r""",
 k as (select item_id, label, count(*) as k from n group by all),
 m as (select item_id, sum(k) as m, sum(k * k) as sq from k group by all having sum(k) > 1),
 g as (select label, sum(k) as g from k where item_id in (select item_id from m) group by all)
